@@ -1,0 +1,58 @@
+"""Every registered query against its SQL on DuckDB, over whole tables."""
+
+import math
+import os
+
+import duckdb
+import pytest
+from conftest import DATA
+
+import __spark_entry__ as entry
+
+SF = os.environ.get("ORACLE_SF", "sf0.01")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{SF}/{table}.parquet'")
+    return con
+
+
+def _cell(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else repr(value + 0.0)
+    return value if value is None else str(value)
+
+
+def _table(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return [columns[i] for i in order], sorted(
+        (tuple(_cell(row[i]) for i in order) for row in data), key=repr
+    )
+
+
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_matches_sql(spark, duck, name):
+    df = entry.queries()[name](spark, f"{DATA}/{SF}")
+    ours = _table(df.columns, map(tuple, df.collect()))
+    cursor = duck.execute(entry.oracle_sql()[name])
+    theirs = _table([c[0] for c in cursor.description], cursor.fetchall())
+    assert ours[0] == theirs[0]
+    assert len(ours[1]) == len(theirs[1])
+    assert len(ours[1]) > 0
+    for mine, other in zip(ours[1], theirs[1]):
+        assert mine == other
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
