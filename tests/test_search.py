@@ -1,0 +1,171 @@
+import numpy as np
+import pytest
+from conftest import DATA, rows
+from pyspark.sql import functions as F
+
+from newsloom.functions.vectors import TopK, cosine_similarity
+from newsloom.operators import search
+
+CHUNKS = "id bigint, news_id bigint, chunk_text string, embedding array<float>, metadata string"
+RAW = "id bigint, link string, content string"
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    data = [
+        (1, 10, "east", [1.0, 0.0], '{"n":1}'), (2, 10, "north", [0.0, 2.0], None),
+        (3, 11, "east again", [3.0, 0.0], None), (4, 12, "nothing", None, None),
+        (5, 13, "zero", [0.0, 0.0], None), (6, None, "west", [-1.0, 0.0], None),
+        (7, 14, "north-east", [1.0, 1.0], None),
+    ]
+    return spark.createDataFrame(data, CHUNKS)
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return spark.createDataFrame([(10, "l10", "full 10"), (11, "l11", None), (13, "l13", "full 13")], RAW)
+
+
+def test_order_ties_nulls_and_links(chunks, raw):
+    got = search.search_top_k(chunks, raw, [5.0, 0.0], k=100).collect()
+    assert [(r["rank"], r.id, r.news_id, r.link) for r in got] == [
+        (1, 1, 10, "l10"), (2, 3, 11, "l11"), (3, 7, 14, None), (4, 2, 10, "l10"), (5, 6, None, None), (6, 5, 13, "l13"),
+    ]
+    assert [r.similarity for r in got][:2] == [1.0, 1.0] and got[5].similarity is None
+    assert got[2].similarity == pytest.approx(0.5**0.5) and got[4].similarity == -1.0
+    assert (got[0].chunk_text, got[0].metadata) == ("east", '{"n":1}')
+
+
+def test_limits(chunks, raw):
+    assert [r.id for r in search.search_top_k(chunks, raw, [0.0, 1.0], k=1).collect()] == [2]
+    assert search.search_top_k(chunks.limit(0), raw, [0.0, 1.0]).count() == 0
+    with pytest.raises(ValueError):
+        search.search_top_k(chunks, raw, [0.0, 1.0], k=0)
+
+
+def test_zero_query_has_no_similarity(chunks, raw):
+    got = search.search_top_k(chunks, raw, [0.0, 0.0], k=3).collect()
+    assert [(r.id, r.similarity) for r in got] == [(1, None), (2, None), (3, None)]
+
+
+def test_dimension_mismatch(chunks, raw):
+    with pytest.raises(Exception, match="different vector dimensions"):
+        search.search_top_k(chunks, raw, [1.0, 0.0, 0.0]).collect()
+
+
+def brute(vectors, queries, k):
+    out = []
+    for qid, q in queries:
+        scored = []
+        for i, v in vectors:
+            a, b = np.asarray(v, np.float64), np.asarray(q, np.float64)
+            length = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+            scored.append((-(a * b).sum() / length if length else np.inf, i))
+        out += [(qid, i, rank + 1) for rank, (_, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+def test_batch_both_ways_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((60, 8)).astype(np.float32)
+    # A third of the vectors are one and the same, and some are zero.
+    data = [
+        (i, [float(x) for x in (base[0] if i % 3 == 0 else base[i % 60] * (i % 7 != 0))]) for i in range(400)
+    ]
+    queries = [(i, [float(x) for x in rng.standard_normal(8).astype(np.float32)]) for i in range(9)]
+    queries.append((9, data[0][1]))
+    chunks = spark.createDataFrame(data, "id bigint, embedding array<float>").withColumn(
+        "news_id", F.col("id")
+    ).repartition(5)
+    asked = spark.createDataFrame(queries, "query_id bigint, embedding array<float>")
+    expected = brute(data, queries, 7)
+
+    def ranks(df):
+        return sorted((r.query_id, r.id, r["rank"]) for r in df.collect())
+
+    assert ranks(search.nearest_batch(chunks, asked, 7)) == expected
+    monkeypatch.setattr(search, "_QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "_VECTOR_BLOCK", 64)
+    assert ranks(search.nearest_batch(chunks, asked, 7, max_query_bytes=0)) == expected
+    assert search.nearest_batch(chunks, asked.limit(0), 7).count() == 0
+
+
+def test_kernel_is_the_same_in_any_batching():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows_ = rng.standard_normal((1000, 16)).astype(np.float32)
+    rows_[::3] = rows_[0]
+    queries = rng.standard_normal((200, 16)).astype(np.float32)
+    results = []
+    for size in (1000, 64, 7):
+        top = TopK(range(200), queries, 5)
+        for lo in range(0, 1000, size):
+            part = rows_[lo : lo + size]
+            ids = pa.array(np.arange(lo, lo + len(part)))
+            top.add(ids, ids, pa.array(list(part), type=pa.list_(pa.float32())))
+        results.append(top.result())
+    assert results[0].equals(results[1]) and results[0].equals(results[2])
+
+
+def test_cosine_column(spark):
+    df = spark.createDataFrame(
+        [([1.0, 0.0], [2.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0])],
+        "a array<float>, b array<float>",
+    )
+    assert [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, None, None]
+    assert df.select(cosine_similarity(F.col("a"), F.col("b"), normalized=True)).first()[0] == 2.0
+
+
+def hits(spark, data):
+    return spark.createDataFrame(
+        data, "query_id bigint, rank int, id bigint, news_id bigint, similarity double, chunk_text string, "
+        "link string, metadata string",
+    )
+
+
+def test_full_articles_only_for_few_articles(spark, raw):
+    one = [(1, r, r, 10, 0.5, "c", "l", None) for r in (1, 2, 3)]
+    two = [(2, 1, 1, 10, 0.5, "c", "l", None), (2, 2, 2, 11, 0.5, "c", "l", None)]
+    three = [(3, r, r, 9 + r, 0.5, "c", "l", None) for r in (1, 2, 3)]
+    missing = [(4, 1, 1, 99, 0.5, "c", "l", None)]
+    got = search.enrich_full_article(hits(spark, one + two + three + missing), raw)
+    assert sorted((r.query_id, r["rank"], r.full_article) for r in got.collect()) == [
+        (1, 1, "full 10"), (1, 2, "full 10"), (1, 3, "full 10"),
+        (2, 1, "full 10"), (2, 2, ""), (3, 1, ""), (3, 2, ""), (3, 3, ""), (4, 1, ""),
+    ]
+
+
+def test_context_is_ordered(spark):
+    df = hits(spark, [(1, r, r, 10 + r, 1.0 / r, f"c{r}", None, "{}") for r in (3, 1, 2)])
+    got = search.build_context(df.withColumn("full_article", F.lit(""))).first()
+    assert [r.chunk_text for r in got.results] == ["c1", "c2", "c3"]
+    assert got.results[0].asDict() == {
+        "news_id": 11, "similarity": 1.0, "chunk_text": "c1", "full_article": "", "meta_data": "{}", "link": None,
+    }
+
+
+def test_metadata_search(spark):
+    metadata = spark.sql(
+        "SELECT * FROM VALUES (1, 't1', 'p', '社會', timestamp_ntz'2025-01-01 10:00:00'), "
+        "(2, 't2', 'q', '社會', timestamp_ntz'2025-01-02 10:00:00'), (9, 't9', 'p', NULL, NULL) "
+        "AS m(news_id, title, publisher, category, published_at)"
+    )
+    raw = spark.createDataFrame([(1, "l1"), (2, "l2")], "id bigint, link string")
+
+    def found(**given):
+        total, result = search.metadata_search(metadata, raw, **given)
+        assert total.first()[0] == result.count()
+        return rows(result)
+
+    assert found() == [("t1", "p", "l1"), ("t2", "q", "l2"), ("t9", "p", None)]
+    assert found(publisher="p") == [("t1", "p", "l1"), ("t9", "p", None)]
+    assert found(category="社會", publisher="q") == [("t2", "q", "l2")]
+    assert found(start="2025-01-01 10:00:00", end="2025-01-02 09:59:59") == [("t1", "p", "l1")]
+
+
+def test_sample_tables_both_ways(spark):
+    vectors = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet")
+    chunks = vectors.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("news_id"), "embedding")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    assert rows(search.nearest_batch(chunks, asked)) == rows(search.nearest_batch(chunks, asked, max_query_bytes=0))
