@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom import schemas
+from newsloom.functions.models import model_call
 from newsloom.providers import TextModel
 
 _PROMPT = (
@@ -57,29 +57,28 @@ def render_answer_prompt(query: Column, context: Column, template: str = _PROMPT
 def generate_answers(
     prompts: DataFrame, provider: Callable[[], TextModel], parallelism: int | None = None
 ) -> DataFrame:
-    """`query_id, response, status` from one call per row of `query_id, prompt, context`;
-    status is ok, empty or error."""
+    """Add `response, status` from one call per row of `prompt, context`, without a retry.
 
-    def ask(model: TextModel, prompt: str, context: str) -> tuple[str | None, str]:
+    Status is ok, empty or error, and null where the prompt is null: no call is made
+    then. Only prompt and context go to Python. `parallelism` spreads the calls over
+    that many tasks.
+    """
+
+    def ask(model: TextModel, prompt: str | None, context: str | None) -> dict:
+        if prompt is None:
+            return {"response": None, "status": None}
         try:
             response = model(prompt, context)
         except Exception:
-            return None, "error"
-        return (response, "ok") if response else (None, "empty")
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider()
-        for frame in frames:
-            answers = [ask(model, p, c) for p, c in zip(frame["prompt"], frame["context"])]
-            out = frame[["query_id"]].copy()
-            out["response"] = pd.Series([a[0] for a in answers], index=out.index, dtype=object)
-            out["status"] = pd.Series([a[1] for a in answers], index=out.index, dtype=object)
-            yield out
-
-    asked = prompts.select("query_id", "prompt", "context")
+            return {"response": None, "status": "error"}
+        return {"response": response or None, "status": "ok" if response else "empty"}
+
     if parallelism is not None:
-        asked = asked.repartition(parallelism)
-    return asked.mapInPandas(call, "query_id bigint, response string, status string")
+        prompts = prompts.repartition(parallelism)
+    reply = model_call(ask, provider)(F.col("prompt"), F.col("context"))
+    return prompts.withColumn("_reply", reply).select(
+        *prompts.columns, "_reply.response", "_reply.status"
+    )
 
 
 def _no_references() -> Column:

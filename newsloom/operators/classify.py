@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom import fixed_values as fv
 from newsloom import schemas
+from newsloom.functions.models import model_call
 from newsloom.functions.text import classifier_text
 from newsloom.providers import TextModel
 
@@ -89,23 +90,23 @@ def render_classify_prompt(
 
 def _ask(
     model: TextModel, prompt: str, items: str, attempts: int, pause: float
-) -> tuple[str | None, str]:
-    """(response, status). Empty answers and errors are tried again, broken JSON is not."""
+) -> dict:
+    """Empty answers and errors are tried again, broken JSON is not."""
     for attempt in range(attempts):
         if attempt:
             time.sleep(pause)
         try:
             response = model(prompt, items)
-            if not response:
-                continue
-            try:
-                json.loads(response)
-            except ValueError:
-                return response, fv.JSON_PARSE_ERROR
-            return response, "ok"
         except Exception:
             continue
-    return None, fv.API_ERROR
+        if not response:
+            continue
+        try:
+            json.loads(response)
+        except ValueError:
+            return {"response": response, "status": fv.JSON_PARSE_ERROR}
+        return {"response": response, "status": "ok"}
+    return {"response": None, "status": fv.API_ERROR}
 
 
 def classify_batches(
@@ -121,24 +122,12 @@ def classify_batches(
     calls over that many tasks. A task that Spark repeats repeats its calls, so store the
     result before joining it (`session.materialize`).
     """
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider()
-        for frame in frames:
-            answers = [
-                _ask(model, prompt, items, attempts, pause)
-                for prompt, items in zip(frame["prompt"], frame["items"])
-            ]
-            out = frame[["bucket", "batch", "ids"]].copy()
-            out["response"] = pd.Series([a[0] for a in answers], index=out.index, dtype=object)
-            out["status"] = pd.Series([a[1] for a in answers], index=out.index, dtype=object)
-            yield out
-
-    asked = batches.select("bucket", "batch", "ids", "prompt", "items")
     if parallelism is not None:
-        asked = asked.repartition(parallelism)
-    return asked.mapInPandas(
-        call, "bucket bigint, batch bigint, ids array<bigint>, response string, status string"
+        batches = batches.repartition(parallelism)
+    ask = partial(_ask, attempts=attempts, pause=pause)
+    reply = model_call(ask, provider)(F.col("prompt"), F.col("items"))
+    return batches.withColumn("_reply", reply).select(
+        "bucket", "batch", "ids", "_reply.response", "_reply.status"
     )
 
 

@@ -10,30 +10,21 @@ from pyspark.sql import functions as F
 from newsloom import fixed_values as fv
 
 
-def _rows(df: DataFrame, name: str, key: str | Column, count: str | Column) -> DataFrame:
-    key = F.col(key) if isinstance(key, str) else key
-    count = F.col(count) if isinstance(count, str) else count
+def _rows(df: DataFrame, name: Column, key: str, count: Column) -> DataFrame:
     return df.select(
-        F.lit(name).alias("violation"),
-        key.cast("string").alias("key"),
+        name.alias("violation"),
+        F.col(key).cast("string").alias("key"),
         count.cast("bigint").alias("rows"),
     )
 
 
-def repeated_keys(df: DataFrame, key: str, name: str) -> DataFrame:
-    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return _rows(counted.where("_rows > 1"), name, key, "_rows")
-
-
-def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
-    """Child keys without a parent, counted before the join."""
-    counted = (
-        child.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("_child"))
+def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows per key, so that a frequent key is one row in the joins that follow."""
+    return (
+        df.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias(name))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    known = parent.select(F.col(parent_key).alias("_parent")).distinct()
-    return _rows(counted.join(known, F.col("_child") == F.col("_parent"), "left_anti"), name, "_child", "_rows")
 
 
 def check_constraints(
@@ -45,6 +36,22 @@ def check_constraints(
 ) -> DataFrame:
     """`violation, key, rows`: repeated metadata keys, missing parents, vectors of the
     wrong length, and categories outside the taxonomy."""
+    known = raw.select(F.col("id").alias("_article"))
+    per_article = _counted(metadata, "news_id", "_id").join(
+        known.distinct(), F.col("_id") == F.col("_article"), "left"
+    )
+    broken = F.array_compact(
+        F.array(
+            F.when(F.col("_rows") > 1, "metadata.news_id repeated"),
+            F.when(F.col("_article").isNull(), "metadata.news_id without article"),
+        )
+    )
+    keys = per_article.select("_id", "_rows", F.explode(broken).alias("_name"))
+
+    parents = metadata.select(F.col("news_id").alias("_parent")).distinct()
+    orphans = _counted(chunks, "news_id", "_id").join(
+        parents, F.col("_id") == F.col("_parent"), "left_anti"
+    )
     wrong = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") != dim))
     outside = (
         metadata.where(F.col("category").isNull() | ~F.col("category").isin(*categories))
@@ -52,9 +59,10 @@ def check_constraints(
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     return (
-        repeated_keys(metadata, "news_id", "metadata.news_id repeated")
-        .unionByName(orphans(metadata, "news_id", raw, "id", "metadata.news_id without article"))
-        .unionByName(orphans(chunks, "news_id", metadata, "news_id", "chunk.news_id without metadata"))
-        .unionByName(_rows(wrong, "chunk.embedding length", "id", F.lit(1)))
-        .unionByName(_rows(outside, "metadata.category outside taxonomy", "category", "_rows"))
+        _rows(keys, F.col("_name"), "_id", F.col("_rows"))
+        .unionByName(_rows(orphans, F.lit("chunk.news_id without metadata"), "_id", F.col("_rows")))
+        .unionByName(_rows(wrong, F.lit("chunk.embedding length"), "id", F.lit(1)))
+        .unionByName(
+            _rows(outside, F.lit("metadata.category outside taxonomy"), "category", F.col("_rows"))
+        )
     )

@@ -51,7 +51,8 @@ def vectors_of(
                         out[i] = (_unit(vector) if normalize else vector).astype(np.float32)
             yield pa.array(out, type=pa.list_(pa.float32()))
 
-    return encode(text)
+    # A model call: neither repeated nor moved by the optimizer.
+    return encode.asNondeterministic()(text)
 
 
 def embed_chunks(

@@ -48,6 +48,8 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
     """Best k of the per-task candidates. The shuffle by query is what makes the scan
     above it run once, however often the hits are used in one plan."""
     window = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
+    # Written out, so that joins on these columns add no filter that sets the uses apart.
+    partial = partial.where("query_id IS NOT NULL AND id IS NOT NULL")
     return partial.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 

@@ -259,8 +259,8 @@ def chunk_metadata(s: Sample) -> DataFrame:
 def embed_chunks(s: Sample) -> DataFrame:
     chunks = s.articles().select("news_id", F.col("content").alias("chunk_text"))
     return embed.embed_chunks(chunks, HashedTokenEmbedder(64)).select(
-        "news_id", F.posexplode("embedding").alias("dim", "value")
-    ).select("news_id", "dim", F.round(F.col("value").cast("double"), 6).alias("value"))
+        "news_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")
+    ).select("news_id", "dim", F.round("value", 6).alias("value"))
 
 
 @_query
@@ -269,8 +269,8 @@ def embed_queries(s: Sample) -> DataFrame:
         "conv_id", "turn", F.col("text").alias("query")
     )
     return embed.embed_queries(asked, HashedTokenEmbedder(64)).select(
-        "conv_id", "turn", F.posexplode("embedding").alias("dim", "value")
-    ).select("conv_id", "turn", "dim", F.col("value").cast("double").alias("value"))
+        "conv_id", "turn", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")
+    )
 
 
 # Search
@@ -362,38 +362,32 @@ def parse_answer(s: Sample) -> DataFrame:
 
 def _answered(s: Sample) -> DataFrame:
     """One row per document as a query; those without a vector have no hits."""
-    prompts = _prompts(s)
-    responses = answer.generate_answers(prompts, FirstHitAnswerer())
-    return (
-        s.raw().select(F.col("id").alias("query_id"))
-        .join(prompts.select("query_id", "results"), "query_id", "left")
-        .join(responses, "query_id", "left")
-        .select(
-            "query_id",
-            F.coalesce("results", F.array().cast(CONTEXT)).alias("results"),
-            F.when(F.col("results").isNull(), answer.no_hits_answer())
-            .otherwise(answer.parse_answer(F.col("response"), F.col("status")))
-            .alias("answer"),
-        )
-        .withColumn(
-            "resolved", answer.resolve_references(F.col("answer.references"), F.col("results"))
-        )
+    asked = s.raw().select(F.col("id").alias("query_id")).join(_prompts(s), "query_id", "left")
+    answers = answer.generate_answers(asked, FirstHitAnswerer())
+    return answers.select(
+        "query_id",
+        F.coalesce("results", F.array().cast(CONTEXT)).alias("results"),
+        F.when(F.col("results").isNull(), answer.no_hits_answer())
+        .otherwise(answer.parse_answer(F.col("response"), F.col("status")))
+        .alias("answer"),
     )
 
 
 @_query
 def resolve_references(s: Sample) -> DataFrame:
-    return _answered(s).select("query_id", F.posexplode("resolved").alias("place", "r")).select(
+    resolved = answer.resolve_references(F.col("answer.references"), F.col("results"))
+    return _answered(s).select("query_id", F.posexplode(resolved).alias("place", "r")).select(
         "query_id", "place", "r.news_id", "r.title", "r.publisher", "r.link"
     )
 
 
 @_query
 def render_answer(s: Sample) -> DataFrame:
+    resolved = answer.resolve_references(F.col("answer.references"), F.col("results"))
     return _answered(s).select(
         "query_id",
         F.col("answer.status").alias("status"),
-        answer.render_answer(F.col("answer.summary"), F.col("resolved")).alias("text"),
+        answer.render_answer(F.col("answer.summary"), resolved).alias("text"),
     )
 
 

@@ -124,17 +124,15 @@ def answer_queries(
     """
     asked = materialize(embed.embed_queries(queries.select("query_id", "query"), embedder), "queries")
     hits = materialize(search.search_top_k_batch(chunks, raw, asked, k), "hits")
-    enriched = search.enrich_full_article(hits, raw, max_articles)
-    context = asked.select("query_id", "query").join(search.build_context(enriched), "query_id")
-    prompts = context.withColumn("context", answer.context_json(F.col("results"))).withColumn(
-        "prompt", answer.render_answer_prompt(F.col("query"), F.col("context"))
-    )
-    prompts = materialize(prompts, "prompts")
-    responses = materialize(answer.generate_answers(prompts, model, parallelism), "answers")
-    answered = (
+    context = search.build_context(search.enrich_full_article(hits, raw, max_articles))
+    prompts = (
         asked.select("query_id", "query")
-        .join(prompts.select("query_id", "results"), "query_id", "left")
-        .join(responses, "query_id", "left")
+        .join(context, "query_id", "left")
+        .withColumn("context", answer.context_json(F.col("results")))
+        .withColumn("prompt", answer.render_answer_prompt(F.col("query"), F.col("context")))
+    )
+    answered = materialize(
+        answer.generate_answers(prompts, model, parallelism).drop("prompt", "context"), "answers"
     )
     return answered.select(
         "query_id",

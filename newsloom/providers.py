@@ -22,7 +22,7 @@ TextModel = Callable[[str, str], str]
 
 
 class HashedTokenEmbedder:
-    """Counts of tokens hashed into `dim` buckets by the first eight md5 hex digits.
+    """Counts of tokens hashed into `dim` buckets by the first four md5 bytes.
 
     Tokens are what lies between single spaces.
     """
@@ -40,8 +40,8 @@ class HashedTokenEmbedder:
             if slot is None:
                 if len(seen) >= self._REMEMBERED:
                     seen.clear()
-                digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()
-                slot = seen[token] = int(digest[:8], 16) % self.dim
+                digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
+                slot = seen[token] = int.from_bytes(digest[:4], "big") % self.dim
             return slot
 
         def embed(texts: list[str]) -> np.ndarray:
