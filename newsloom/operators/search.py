@@ -20,9 +20,9 @@ from newsloom import fixed_values as fv
 from newsloom.functions import vectors
 from newsloom.functions.sizes import BROADCAST_BYTES, broadcast_ids, measure
 
-# Rows per side of a block when queries are too many to send everywhere.
-_QUERY_BLOCK = 8192
-_VECTOR_BLOCK = 131072
+# Bytes per side of a block when queries are too many to send everywhere.
+_QUERY_BLOCK_BYTES = 16 * 1024 * 1024
+_VECTOR_BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def _check_k(k: int) -> None:
@@ -85,7 +85,7 @@ def _nearest_batch(chunks, queries, k, max_query_bytes) -> tuple[DataFrame, int]
     if count == 0:
         partial = chunks.sparkSession.createDataFrame([], vectors.TOP_K_SCHEMA)
     elif size > max_query_bytes:
-        partial = _blocks(chunks, asked, count, k)
+        partial = _blocks(chunks, asked, count, size, k)
     else:
         table = asked.toArrow()
         partial = _scan(
@@ -94,11 +94,16 @@ def _nearest_batch(chunks, queries, k, max_query_bytes) -> tuple[DataFrame, int]
     return _ranked(partial, k), count * k
 
 
-def _blocks(chunks: DataFrame, asked: DataFrame, count: int, k: int) -> DataFrame:
-    """Candidates of every (vector block, query block) pair; both blocks are bounded."""
+def _blocks(chunks: DataFrame, asked: DataFrame, count: int, size: int, k: int) -> DataFrame:
+    """Candidates of every (vector block, query block) pair.
+
+    Blocks are hashed from unique ids, so none is larger than the others, and their
+    number follows from the table sizes, so each fits in one task.
+    """
     stored = _vectors(chunks)
-    query_blocks = -(-count // _QUERY_BLOCK)
-    vector_blocks = max(-(-stored.count() // _VECTOR_BLOCK), 1)
+    query_blocks = -(-size // _QUERY_BLOCK_BYTES)
+    # All vectors have one length, so queries tell the bytes per stored row as well.
+    vector_blocks = max(-(-stored.count() * size // (count * _VECTOR_BLOCK_BYTES)), 1)
 
     def own(key: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.dates import stringify_timestamp
+from newsloom.functions.dates import parse_feed_date, stringify_timestamp
 from newsloom.functions.html import page_parts
 from newsloom.functions.text import classifier_text, split_sentences
 from newsloom.functions.vectors import cosine_similarity
@@ -74,6 +74,14 @@ def full_articles_(s: Sample) -> DataFrame:
     return full_articles(s.raw(), s.chunks())
 
 
+@_query
+def parse_feed_date_(s: Sample) -> DataFrame:
+    text = F.concat(
+        F.lit("Mon, "), F.date_format("published_at", "d MMM yyyy HH:mm:ss"), F.lit(" +0800")
+    )
+    return s.metadata().select("news_id", parse_feed_date(text).alias("published_at"))
+
+
 # Keyed writes
 
 

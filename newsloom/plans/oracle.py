@@ -163,6 +163,7 @@ SELECT f.title, f.link, CAST(length(p.html) AS INTEGER) AS page_length
 FROM feed f LEFT JOIN pages p ON p.url = f.link""",
     "full_articles": f"""WITH {RAW}
 SELECT id, content FROM raw WHERE id IN (SELECT vec_id FROM embeddings)""",
+    "parse_feed_date": """SELECT event_id AS news_id, date_trunc('second', ts) AS published_at FROM events""",
     "append_new": f"""WITH {RAW}
 SELECT id, link, title FROM raw WHERE link NOT IN (SELECT 'doc://' || doc_id FROM labels)""",
     "insert_if_absent": """SELECT conv_id AS news_id, turn, role, text FROM conversations c

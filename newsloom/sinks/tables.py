@@ -32,11 +32,13 @@ def _read_if_present(spark: SparkSession, target: str) -> DataFrame | None:
 
 def _write(df: DataFrame, target: str, mode: str = "append") -> int:
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).format("parquet")
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if is_path(target):
-        writer.save(target)
+        writer.parquet(target)
+    elif mode == "append" and df.sparkSession.catalog.tableExists(target):
+        writer.insertInto(target)  # by position, which _conform has put right
     else:
-        writer.saveAsTable(target)
+        writer.format("parquet").saveAsTable(target)
     return int(seen.get["rows"])
 
 

@@ -43,7 +43,8 @@ def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) ->
     """
     rest = [c for c in pages.columns if c not in ("url", order)]
     if order is not None:
-        pages = pages.groupBy("url").agg(
-            *[F.max_by(F.struct(*rest), F.col(order)).alias("page")]
-        ).select("url", *[F.col(f"page.`{c}`").alias(c) for c in rest])
+        latest = F.max(F.struct(order, *rest)).alias("_page")
+        pages = pages.groupBy("url").agg(latest).select(
+            "url", *[F.col(f"_page.`{c}`").alias(c) for c in rest]
+        )
     return feed.join(pages, F.col("link") == F.col("url"), "left").select(*feed.columns, *rest)

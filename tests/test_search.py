@@ -84,8 +84,8 @@ def test_batch_both_ways_against_brute_force(spark, monkeypatch):
         return sorted((r.query_id, r.id, r["rank"]) for r in df.collect())
 
     assert ranks(search.nearest_batch(chunks, asked, 7)) == expected
-    monkeypatch.setattr(search, "_QUERY_BLOCK", 3)
-    monkeypatch.setattr(search, "_VECTOR_BLOCK", 64)
+    monkeypatch.setattr(search, "_QUERY_BLOCK_BYTES", 300)
+    monkeypatch.setattr(search, "_VECTOR_BLOCK_BYTES", 6000)
     assert ranks(search.nearest_batch(chunks, asked, 7, max_query_bytes=0)) == expected
     assert search.nearest_batch(chunks, asked.limit(0), 7).count() == 0
 

@@ -4,7 +4,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 
-from newsloom import schemas
 from newsloom.operators.constraints import check_constraints
 from newsloom.operators.upsert import first_per_key, unseen, update_by_key
 from newsloom.sinks import append, append_new, ensure_table, insert_if_absent, update_table
@@ -160,6 +159,10 @@ def test_full_articles(spark):
     assert full_articles(raw, ids.limit(0)).count() == 0
 
 
-def test_ensure_table_partitioned(spark):
-    ensure_table(spark, "by_day", schemas.NEWS_METADATA + ", day date", partition_by=["day"])
+def test_partitioned_table(spark):
+    ensure_table(spark, "by_day", "day date, k string, v int", partition_by=["day"])
     assert [c.name for c in spark.catalog.listColumns("by_day") if c.isPartition] == ["day"]
+    batch = spark.sql("SELECT 1 AS v, 'a' AS k, date'2025-01-01' AS day")
+    assert append_new(batch, "by_day", "k") == 1
+    assert append_new(batch, "by_day", "k") == 0
+    assert spark.table("by_day").where("day = '2025-01-01'").select("k", "v").first() == ("a", 1)
