@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Query vectors are scored in tiles so that one score matrix stays small.
-_TILE = 128
-# Slack of the first, BLAS-computed pass; far above its rounding error.
-_SLACK = 1e-9
+# Rows and queries are scored in tiles, so that one score matrix stays small.
+_ROWS, _QUERIES = 16384, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,6 +46,10 @@ def norms(rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", rows, rows))
 
 
+def _unit(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return (rows / np.where(lengths > 0, lengths, 1.0)[:, None]).astype(np.float32)
+
+
 def _cosine(rows, row_norms, query, query_norm) -> np.ndarray:
     """Similarity summed in one fixed order, so that equal vectors tie exactly."""
     scale = row_norms * query_norm
@@ -62,47 +64,63 @@ class TopK:
     """Running exact top-k of every query over the batches one task reads.
 
     Order: similarity descending, undefined similarity last, then id ascending.
-    Each batch is scored by one matrix product per tile of queries; rows within a
-    hair of the k-th score are scored again in a fixed order before they are kept.
+    A matrix product in single precision finds the rows that come near the k-th score;
+    those are scored again, in double precision and in a fixed order, before they are
+    kept.
     """
 
     def __init__(self, query_ids: Sequence[int], queries: np.ndarray, k: int):
         self.query_ids = np.asarray(query_ids, dtype=np.int64)
-        self.queries = np.asarray(queries, dtype=np.float32)
+        self.queries = np.asarray(queries, dtype=np.float64)
+        self.query_norms = norms(self.queries)
+        self.unit_queries = _unit(self.queries, self.query_norms)
         self.k = k
+        # Above twice the rounding error of a single-precision product of unit vectors.
+        self.slack = np.float32(4 * (self.queries.shape[1] + 8) * np.finfo(np.float32).eps)
         # Per query: ids, owners and scores of the best rows so far.
         nothing = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         self.best = [nothing] * len(self.query_ids)
+        self.floors = np.full(len(self.query_ids), -np.inf)  # k-th score once there is one
 
     def add(self, ids: pa.Array, owners: pa.Array, embeddings: pa.Array) -> None:
         ids = ids.to_numpy()
         owners = owners.fill_null(_MISSING).to_numpy()
-        rows = matrix(embeddings, self.queries.shape[1]).astype(np.float64)
+        vectors = matrix(embeddings, self.queries.shape[1])
+        for lo in range(0, len(vectors), _ROWS):
+            part = slice(lo, lo + _ROWS)
+            self._add(ids[part], owners[part], vectors[part].astype(np.float64))
+
+    def _add(self, ids: np.ndarray, owners: np.ndarray, rows: np.ndarray) -> None:
         row_norms = norms(rows)
-        safe = np.where(row_norms > 0, row_norms, 1.0)
-        for lo in range(0, len(self.query_ids), _TILE):
-            tile = self.queries[lo : lo + _TILE].astype(np.float64)
-            tile_norms = norms(tile)
-            unit = tile / np.where(tile_norms > 0, tile_norms, 1.0)[:, None]
-            rough = (unit @ rows.T) / safe
-            rough[:, row_norms == 0] = -np.inf
-            rough[tile_norms == 0, :] = -np.inf
-            for j in range(len(tile)):
-                near = self._near(self.best[lo + j][2], rough[j])
-                if len(near):
-                    scores = _cosine(rows[near], row_norms[near], tile[j], tile_norms[j])
-                    self._keep(lo + j, ids[near], owners[near], scores)
-
-    def _near(self, kept: np.ndarray, rough: np.ndarray) -> np.ndarray:
-        floor = kept[-1] if len(kept) == self.k else -np.inf
-        if len(rough) > self.k:
-            floor = max(floor, np.partition(rough, len(rough) - self.k)[len(rough) - self.k])
-        return np.flatnonzero(rough >= floor - _SLACK)
+        unit_rows = _unit(rows, row_norms).T
+        no_direction = np.flatnonzero(row_norms == 0)
+        for lo in range(0, len(self.query_ids), _QUERIES):
+            part = slice(lo, lo + _QUERIES)
+            rough = self.unit_queries[part] @ unit_rows
+            rough[:, no_direction] = -np.inf
+            rough[self.query_norms[part] == 0, :] = -np.inf
+            passed = rough >= (self.floors[part, None] - self.slack).astype(np.float32)
+            for j in np.flatnonzero(passed.any(axis=1)):
+                near = self._near(rough[j], np.flatnonzero(passed[j]))
+                query, length = self.queries[lo + j], self.query_norms[lo + j]
+                scores = _cosine(rows[near], row_norms[near], query, length)
+                self._keep(lo + j, ids[near], owners[near], scores)
+
+    def _near(self, rough: np.ndarray, passed: np.ndarray) -> np.ndarray:
+        """Those of the rows that passed the k-th score so far which can still be among
+        the best k of this batch."""
+        if len(passed) <= self.k:
+            return passed
+        scores = rough[passed]
+        floor = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+        return passed[scores >= floor - self.slack]
 
     def _keep(self, i: int, ids: np.ndarray, owners: np.ndarray, scores: np.ndarray) -> None:
         merged = [np.concatenate(pair) for pair in zip(self.best[i], (ids, owners, scores))]
         order = np.lexsort((merged[0], -merged[2]))[: self.k]
         self.best[i] = tuple(column[order] for column in merged)
+        if len(order) == self.k:
+            self.floors[i] = merged[2][order[-1]]
 
     def result(self) -> pa.RecordBatch:
         counts = [len(best[0]) for best in self.best]
