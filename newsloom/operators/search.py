@@ -205,23 +205,31 @@ def search_top_k_batch(
     return _hit_columns(attach_links(attach_chunks(hits, chunks, max_hits), raw, max_hits, ids=hits))
 
 
+def _mark_wanted(hits: DataFrame, max_articles: int) -> DataFrame:
+    """Add `_wanted`: the article id where the query's hits cover few articles."""
+    per_query = Window.partitionBy("query_id")
+    articles = F.size(F.collect_set("news_id").over(per_query))
+    unknown = F.max(F.col("news_id").isNull().cast("int")).over(per_query)
+    few = articles + unknown <= max_articles
+    return hits.withColumn("_wanted", F.when(few, F.col("news_id")))
+
+
 def enrich_full_article(
     hits: DataFrame,
     raw: DataFrame,
     max_articles: int = fv.MAX_FULL_ARTICLES,
     max_hits: int | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Add `full_article`: the article text where a query's hits cover at most
     `max_articles` articles, otherwise, or if it is missing, `''`.
 
-    `hits` has `query_id` and `news_id`, at most k rows per query.
+    `hits` has `query_id` and `news_id`, at most k rows per query. `ids` may be the same
+    hits from an earlier, cheaper stage of the plan. Apply it last: texts are large.
     """
-    per_query = Window.partitionBy("query_id")
-    articles = F.size(F.collect_set("news_id").over(per_query))
-    unknown = F.max(F.col("news_id").isNull().cast("int")).over(per_query)
-    few = articles + unknown <= max_articles
-    marked = hits.withColumn("_wanted", F.when(few, F.col("news_id")))
-    texts = _articles_of(marked, raw, "content", max_hits, key="_wanted")
+    marked = _mark_wanted(hits, max_articles)
+    wanted = marked if ids is None else _mark_wanted(ids, max_articles)
+    texts = _articles_of(wanted, raw, "content", max_hits, key="_wanted")
     return (
         marked.join(texts, F.col("_wanted") == F.col("_article"), "left")
         .withColumn("full_article", F.coalesce("_content", F.lit("")))

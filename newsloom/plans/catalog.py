@@ -305,19 +305,24 @@ def search_top_k_batch(s: Sample) -> DataFrame:
     return _rounded(search.search_top_k_batch(s.chunks(), s.raw(), s.queries()))
 
 
+def _label_hits(s: Sample) -> tuple[DataFrame, int]:
+    """Hits of every query and their greatest number; labels are the articles, so that
+    many queries hit few of them."""
+    queries = s.queries()
+    return search.nearest_batch(s.chunks("label"), queries), queries.count() * 5
+
+
 def _enriched(s: Sample) -> DataFrame:
-    """Hits of every query with article texts; labels are the articles, so that many
-    queries hit few of them."""
-    chunks, raw = s.chunks("label"), s.raw()
-    hits = search.nearest_batch(chunks, s.queries())
-    enriched = search.enrich_full_article(hits, raw)
-    return search.attach_links(search.attach_chunks(enriched, chunks), raw, ids=hits)
+    raw, (hits, bound) = s.raw(), _label_hits(s)
+    found = search.attach_chunks(hits, s.chunks("label"), bound)
+    linked = search.attach_links(found, raw, bound, ids=hits)
+    return search.enrich_full_article(linked, raw, max_hits=bound, ids=hits)
 
 
 @_query
 def enrich_full_article(s: Sample) -> DataFrame:
-    hits = search.nearest_batch(s.chunks("label"), s.queries())
-    return search.enrich_full_article(hits, s.raw()).select(
+    hits, bound = _label_hits(s)
+    return search.enrich_full_article(hits, s.raw(), max_hits=bound).select(
         "query_id", "rank", "news_id", "full_article"
     )
 
