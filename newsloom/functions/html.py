@@ -22,6 +22,10 @@ _VOID = frozenset(
 )
 
 
+class _Complete(Exception):
+    """The container and the linked data are read; the rest of the page is of no use."""
+
+
 class _PageReader(HTMLParser):
     """Collects the first JSON-LD script, the paragraph text of the first container
     and the first meta description of one page."""
@@ -75,7 +79,9 @@ class _PageReader(HTMLParser):
             elif inside and popped == "p":
                 self.paragraphs -= 1
             if popped == tag:
-                return
+                break
+        if self.closed and self.json_ld is not None and not self.in_json_ld:
+            raise _Complete
 
     def handle_data(self, data):
         if self.in_json_ld:
@@ -94,7 +100,8 @@ def page_parts(
     """`struct<json_ld, body, description>` of a page; null for a null page.
 
     `body` is null when the container is missing and `''` when it holds no
-    paragraph text. Text under several open paragraphs counts once.
+    paragraph text. Text under several open paragraphs counts once. `description` stands
+    in for a missing body and is not looked for behind the container.
     """
 
     @F.arrow_udf(PAGE_PARTS)
@@ -106,8 +113,11 @@ def page_parts(
                     rows.append(None)
                     continue
                 reader = _PageReader(tag, css_class)
-                reader.feed(page)
-                reader.close()
+                try:
+                    reader.feed(page)
+                    reader.close()
+                except _Complete:
+                    pass
                 rows.append(dict(zip(("json_ld", "body", "description"), reader.parts())))
             yield pa.array(rows, type=_PA_PARTS)
 

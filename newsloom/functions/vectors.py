@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Rows and queries are scored in tiles, so that one score matrix stays small.
-_ROWS, _QUERIES = 16384, 128
+# Rows are scored in tiles of about this many numbers against tiles of queries, so that
+# the working set of a task stays small for any vector length.
+_NUMBERS, _QUERIES = 1 << 20, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -86,8 +87,9 @@ class TopK:
         ids = ids.to_numpy()
         owners = owners.fill_null(_MISSING).to_numpy()
         vectors = matrix(embeddings, self.queries.shape[1])
-        for lo in range(0, len(vectors), _ROWS):
-            part = slice(lo, lo + _ROWS)
+        step = max(_NUMBERS // max(vectors.shape[1], 1), 1)
+        for lo in range(0, len(vectors), step):
+            part = slice(lo, lo + step)
             self._add(ids[part], owners[part], vectors[part].astype(np.float64))
 
     def _add(self, ids: np.ndarray, owners: np.ndarray, rows: np.ndarray) -> None:

@@ -65,7 +65,7 @@ def attach_pages_(s: Sample) -> DataFrame:
     feed = s.raw().select("title", "link").union(
         pages.select(F.concat(F.lit("page "), "page_id"), "url")
     )
-    landed = pages.select("url", F.length("html").alias("page_length"))
+    landed = pages.select("url", F.length("html").cast("string").alias("page_length"))
     return attach_pages(feed, landed)
 
 

@@ -36,7 +36,7 @@ scored AS (
     list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
   FROM embeddings q, chunks c WHERE c.embedding IS NOT NULL),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS INTEGER) AS rank
   FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
@@ -159,7 +159,7 @@ ORACLE: dict[str, str] = {
 SELECT category, publisher, count(*) AS articles FROM metadata GROUP BY category, publisher""",
     "attach_pages": f"""WITH {RAW},
 feed AS (SELECT title, link FROM raw UNION ALL SELECT 'page ' || page_id, url FROM pages)
-SELECT f.title, f.link, CAST(length(p.html) AS INTEGER) AS page_length
+SELECT f.title, f.link, CAST(length(p.html) AS VARCHAR) AS page_length
 FROM feed f LEFT JOIN pages p ON p.url = f.link""",
     "full_articles": f"""WITH {RAW}
 SELECT id, content FROM raw WHERE id IN (SELECT vec_id FROM embeddings)""",

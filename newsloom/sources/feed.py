@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_feed_date
@@ -10,28 +10,49 @@ from newsloom.functions.dates import parse_feed_date
 _ITEM = "title string, link string, pubDate string, description string"
 
 
-def _items(df: DataFrame) -> DataFrame:
-    return df.select(
-        "title",
-        F.trim("link").alias("link"),
-        parse_feed_date(F.col("pubDate")).alias("published_at"),
-        F.col("description").alias("summary"),
+def _loose(entry: Column, element: str) -> Column:
+    """Text between an element's tags, for entries that are not well-formed."""
+    text = F.regexp_extract(entry, rf"(?s)<{element}(?:\s[^>]*)?>(.*?)</{element}>", 1)
+    text = F.regexp_replace(text, r"<!\[CDATA\[|\]\]>", "")
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    return F.when(text != "", text)
+
+
+def _items(files: DataFrame, row_tag: str) -> DataFrame:
+    """One row per entry of feed files read as whole texts.
+
+    Entries are cut out before they are parsed, so a broken one leaves its neighbours
+    alone; what XML parsing does not give is taken from between the tags.
+    """
+    pattern = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}>"
+    entries = files.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("entry"))
+    parsed = entries.select("entry", F.from_xml("entry", _ITEM).alias("e"))
+
+    def text(element: str) -> Column:
+        return F.coalesce(F.col(f"e.{element}"), _loose(F.col("entry"), element))
+
+    return parsed.select(
+        text("title").alias("title"),
+        F.trim(text("link")).alias("link"),
+        parse_feed_date(text("pubDate")).alias("published_at"),
+        text("description").alias("summary"),
     )
 
 
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """RSS entries of every file under `path`; a missing element is null."""
-    return _items(spark.read.format("xml").option("rowTag", row_tag).schema(_ITEM).load(path))
+    return _items(spark.read.text(path, wholetext=True), row_tag)
 
 
 def read_feed_stream(
     spark: SparkSession, path: str, row_tag: str = "item", max_files: int | None = None
 ) -> DataFrame:
     """`read_feed` over files as they land, at most `max_files` per micro-batch."""
-    reader = spark.readStream.format("xml").option("rowTag", row_tag).schema(_ITEM)
+    reader = spark.readStream.option("wholetext", True)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _items(reader.load(path))
+    return _items(reader.text(path), row_tag)
 
 
 def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:

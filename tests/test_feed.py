@@ -34,6 +34,27 @@ def test_read_feed(spark, tmp_path):
     assert got["http://n/2"] == (None, "http://n/2", None, None)
 
 
+def test_broken_feed_costs_only_the_broken_entry(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        "<rss xmlns:media='m'><channel><title>feed</title>"
+        "<item><title>a &amp; b</title><link> http://n/1?x=1&amp;y=2 </link><media:content url='z'/></item>"
+        "<item><title>c & d &nbsp; e</title><link>http://n/2?x=1&y=2</link></item>"
+        "<item><title>open <b>tag</title><link>http://n/3</link></item>"
+        "<item attr='1'><description><![CDATA[<p>f & g</p>]]></description></item>"
+        "<item></item><item><title>cut off",
+        encoding="utf-8",
+    )
+    (tmp_path / "b.xml").write_text("", encoding="utf-8")
+    got = [(r.title, r.link, r.summary) for r in read_feed(spark, str(tmp_path)).collect()]
+    assert got == [
+        ("a & b", "http://n/1?x=1&y=2", None),
+        ("c & d &nbsp; e", "http://n/2?x=1&y=2", None),
+        ("open <b>tag", "http://n/3", None),
+        (None, None, "<p>f & g</p>"),
+        (None, None, None),
+    ]
+
+
 def test_feed_dates(spark):
     cases = [
         ("Mon, 07 Jul 2025 03:04:05 GMT", dt.datetime(2025, 7, 7, 3, 4, 5)),

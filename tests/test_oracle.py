@@ -54,5 +54,15 @@ def test_query_matches_sql(spark, duck, name):
         assert mine == other
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz"}
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_types_match_sql(spark, duck, name):
+    df = entry.queries()[name](spark, f"{DATA}/{SF}")
+    described = duck.execute(f"DESCRIBE {entry.oracle_sql()[name]}").fetchall()
+    assert dict(df.dtypes) == {row[0]: TYPES.get(row[1], row[1]) for row in described}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
