@@ -92,3 +92,33 @@ def test_backlog_never_shuffles_text(spark, sample):
     below = text[text.index("BroadcastExchange"):]
     assert "Exchange hash" in below and "text" not in below
     assert "Exchange hash" not in text[: text.index("BroadcastExchange")]
+
+
+def test_hot_link_is_split(spark):
+    """A third of the feed shares one link: its partition is read in pieces."""
+    from newsloom.sources import attach_pages
+
+    feed = spark.range(300_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("http://n/"), "id")).alias("link"),
+        F.sha2(F.col("id").cast("string"), 512).alias("title"),
+    )
+    pages = spark.range(1000).select(F.concat(F.lit("http://n/"), "id").alias("url"), F.lit("c").alias("content"))
+    pages = pages.union(spark.sql("SELECT 'hot', 'h'"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        joined = attach_pages(feed, pages)
+        text = final(joined)
+        counts = joined.groupBy("content").count().collect()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert "skew=true" in text
+    assert {r.content: r["count"] for r in counts} == {"h": 100_000, "c": 666, None: 199_334}
