@@ -21,34 +21,42 @@ Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 TextModel = Callable[[str, str], str]
 
 
+class _Buckets(dict):
+    """Bucket of a token, computed once; forgets everything when it grows too large."""
+
+    _REMEMBERED = 1 << 20
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self._REMEMBERED:
+            self.clear()
+        digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
+        # Empty tokens get a bucket of their own, behind the others.
+        slot = int.from_bytes(digest[:4], "big") % self.dim if token else self.dim
+        self[token] = slot
+        return slot
+
+
 class HashedTokenEmbedder:
     """Counts of tokens hashed into `dim` buckets by the first four md5 bytes.
 
     Tokens are what lies between single spaces.
     """
 
-    _REMEMBERED = 1 << 17
-
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def __call__(self) -> Embedder:
-        seen: dict[str, int] = {}
-
-        def bucket(token: str) -> int:
-            slot = seen.get(token)
-            if slot is None:
-                if len(seen) >= self._REMEMBERED:
-                    seen.clear()
-                digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
-                slot = seen[token] = int.from_bytes(digest[:4], "big") % self.dim
-            return slot
+        buckets = _Buckets(self.dim)
 
         def embed(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), self.dim))
+            out = np.empty((len(texts), self.dim))
             for row, text in enumerate(texts):
-                slots = [bucket(token) for token in text.split(" ") if token]
-                out[row] = np.bincount(slots, minlength=self.dim) if slots else 0.0
+                slots = list(map(buckets.__getitem__, text.split(" ")))
+                out[row] = np.bincount(slots, minlength=self.dim + 1)[: self.dim]
             return out
 
         return embed
