@@ -1,7 +1,5 @@
 """Table and record schemas, as DDL text."""
 
-FEED_ITEMS = "title string, link string, published_at timestamp_ntz, summary string"
-
 PAGES = "url string, html string"
 
 NEWS_RAW_DATA = (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.operators.upsert import first_per_key, unseen, update_by_key
+from newsloom.session import materialize
 from newsloom.sources.tables import is_path, read_table
 
 _MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
@@ -42,8 +43,13 @@ def _write(df: DataFrame, target: str, mode: str = "append") -> int:
     return int(seen.get["rows"])
 
 
-def _conform(df: DataFrame, stored: DataFrame | None, id_col: str | None) -> DataFrame:
-    """Number the new rows above the stored ids, then take the stored columns in order."""
+def _conform(
+    df: DataFrame, stored: DataFrame | None, id_col: str | None, strict: bool = True
+) -> DataFrame:
+    """Number the new rows above the stored ids, then take the stored columns in order.
+
+    A stored column the rows lack is null; one the table lacks is an error if `strict`.
+    """
     if id_col is not None and id_col not in df.columns:
         top = 0
         if stored is not None:
@@ -51,6 +57,9 @@ def _conform(df: DataFrame, stored: DataFrame | None, id_col: str | None) -> Dat
         df = df.select((F.monotonically_increasing_id() + top + 1).alias(id_col), *df.columns)
     if stored is None:
         return df
+    unknown = set(df.columns) - set(stored.columns)
+    if strict and unknown:
+        raise ValueError(f"columns not in the table: {', '.join(sorted(unknown))}")
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -115,10 +124,7 @@ def append_new(
     if if_exists == "append":
         return _write(_conform(df, stored, id_col), target)
     if if_exists == "replace" and unique_col and stored is not None:
-        # The rows depend on the table they replace.
-        from newsloom.session import materialize
-
-        df = materialize(df, "replace")
+        df = materialize(df, "replace")  # the rows depend on the table they replace
         if df.isEmpty():
             return 0
     return _write(_conform(df, None, id_col), target, _MODES[if_exists])
@@ -134,6 +140,7 @@ def insert_if_absent(
     category_col: str = "category",
 ) -> int:
     """Insert the first row of every key that is not stored; returns the rows inserted.
+    Columns the table does not have are left out.
 
     A null key conflicts with nothing, so those rows are all inserted. `skip_failed`
     leaves out rows labelled with a failure, so that they are tried again.
@@ -145,7 +152,7 @@ def insert_if_absent(
     df = first_per_key(df, key, *order, nulls_distinct=True)
     if stored is not None:
         df = unseen(df, stored, key, null_safe=False)
-    return _write(_conform(df, stored, id_col), target)
+    return _write(_conform(df, stored, id_col, strict=False), target)
 
 
 def update_table(

@@ -50,6 +50,15 @@ def test_append_without_key_checks_nothing(spark, target):
     assert len(stored(spark, target)) == 3
 
 
+def test_columns_follow_the_table(spark, target):
+    append(frame(spark, [("a", 1)]), target)
+    assert append(frame(spark, [(2.0,)], "v double"), target) == 1
+    with pytest.raises(ValueError, match="extra"):
+        append(frame(spark, [("a", 1, 1)], PAIR + ", extra int"), target)
+    assert insert_if_absent(frame(spark, [("b", 1, 1)], PAIR + ", extra int"), target, "k", ["v"]) == 1
+    assert stored(spark, target) == rows(frame(spark, [("a", 1), (None, 2), ("b", 1)]))
+
+
 def test_if_exists(spark, target):
     assert append_new(frame(spark, [("a", 1)]), target, if_exists="fail") == 1
     with pytest.raises(AnalysisException):
