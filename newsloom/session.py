@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,15 +30,17 @@ def ship_package(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, or the session's
-    checkpoint directory. A local session without either gets a temporary one."""
+    checkpoint directory. Only where neither is set and all tasks run inside the driver
+    (`local` or `local[...]`, not `local-cluster`) a temporary one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="newsloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    if not hasattr(context, "_newsloom_folder"):
+        context._newsloom_folder = tempfile.mkdtemp(prefix="newsloom-")
+    return context._newsloom_folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,3 +53,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a copy that `materialize` made, through the store it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
