@@ -16,20 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm import bloom
 from newsloom.llm.common import column, free_name
 from newsloom.session import materialize
 
-BITS_PER_ROW = 16
-#: 2 million words of 16 bytes in the broadcast table, some 64 MB in memory.
-MAX_BITS = 1 << 27
-
-
 def mark_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    bits_per_row: int = BITS_PER_ROW,
-    max_bits: int = MAX_BITS,
+    bits_per_row: int = bloom.BITS_PER_KEY,
+    max_bits: int = bloom.MAX_BITS,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_rows.
 
@@ -45,30 +41,9 @@ def mark_copies(
         ),
         "signatures",
     )
-    bits = 1 << 12
-    rows = signed.count()
-    while bits < min(rows * bits_per_row, max_bits):
-        bits *= 2
-
-    place = F.xxhash64("text_sha256")
-    word = place.bitwiseAND(F.lit(bits // 64 - 1))
-    first = F.shiftrightunsigned(place, 52).bitwiseAND(F.lit(63))
-    second = F.shiftrightunsigned(place, 58)
-    probed = signed.select("*", word.alias("word"), first.alias("first"), second.alias("second"))
-
-    repeated = materialize(
-        probed.select("word", F.explode(F.array("first", "second")).alias("bit"))
-        .groupBy("word", "bit")
-        .count()
-        .filter("count > 1")
-        .groupBy("word")
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("mask")),
-        "bloom",
-    )
-    own = F.expr("shiftleft(1L, cast(first as int)) | shiftleft(1L, cast(second as int))")
-    tested = probed.join(F.broadcast(repeated), "word", "left").withColumn(
-        "maybe", F.coalesce(F.col("mask").bitwiseAND(own) == own, F.lit(False))
-    )
+    bits = bloom.bits_for(signed.count(), bits_per_row, max_bits)
+    words = materialize(bloom.filter_of(signed, "text_sha256", bits, at_least=2), "bloom")
+    tested = bloom.tested(signed, "text_sha256", words, bits, "maybe")
     alone = tested.filter(~F.col("maybe")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),

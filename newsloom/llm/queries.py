@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact, mixing, repetition, sharding, simhash
+from newsloom.llm import exact, lines, mixing, repetition, sharding, simhash
 from newsloom.llm.sql import SQL
 from newsloom.session import ship_package
 
@@ -25,6 +25,17 @@ def _query(build: Callable[[DataFrame], DataFrame]):
     return build
 
 
+@_query
+def op1_line_templates(docs: DataFrame) -> DataFrame:
+    kept = lines.drop_recurring_lines(docs, dropped_col="n_dropped")
+    return kept.select(
+        "doc_id",
+        F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 @_query
 def op2_curriculum_mix(docs: DataFrame) -> DataFrame:
     mixed = mixing.mix(docs)

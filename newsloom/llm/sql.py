@@ -2,6 +2,49 @@
 
 SQL: dict[str, str] = {}
 
+SQL["op1_line_templates"] = r"""
+WITH cut AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+           generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+    FROM documents
+), masked AS (
+    SELECT doc_id, line_no, raw,
+           list_transform(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+                          lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+    FROM cut
+), lines AS (
+    SELECT *, len(tokens) AS n, tokens[1:3] AS lead, array_to_string(tokens, ' ') AS line
+    FROM masked WHERE len(tokens) >= 5
+), texts AS (
+    SELECT n, lead, line, any_value(tokens) AS tokens, count(*) AS c FROM lines GROUP BY ALL
+), leaves AS (
+    SELECT n, lead FROM lines GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT line) > 1
+), ranked AS (
+    SELECT t.*, first_value(tokens) OVER (PARTITION BY n, lead ORDER BY c DESC, encode(line) DESC) AS seed
+    FROM texts t JOIN leaves USING (n, lead)
+), joined AS (
+    SELECT n, lead, line FROM ranked
+    WHERE len(list_filter(list_zip(tokens, seed), lambda p: p[1] = p[2])) >= 0.7 * n
+), named AS (
+    SELECT l.doc_id, l.line_no, l.n, l.lead, CASE WHEN j.line IS NULL THEN l.line END AS own
+    FROM lines l LEFT JOIN joined j USING (n, lead, line)
+), counted AS (
+    SELECT *, min((doc_id, line_no)) OVER same AS first, dense_rank() OVER (PARTITION BY n, lead, own ORDER BY doc_id) AS dr
+    FROM named WINDOW same AS (PARTITION BY n, lead, own)
+), dropped AS (
+    SELECT doc_id, line_no FROM (SELECT *, max(dr) OVER (PARTITION BY n, lead, own) AS docs FROM counted)
+    WHERE docs >= 3 AND (doc_id, line_no) <> first
+), kept AS (
+    SELECT c.doc_id, string_agg(raw, chr(10) ORDER BY c.line_no) FILTER (d.doc_id IS NULL) AS text,
+           count(d.doc_id) AS n_dropped
+    FROM cut c LEFT JOIN dropped d USING (doc_id, line_no) GROUP BY c.doc_id
+)
+SELECT doc_id, coalesce(n_dropped, 0) AS n_dropped,
+       CASE WHEN o.text IS NOT NULL THEN length(coalesce(k.text, '')) END AS kept_chars,
+       CASE WHEN o.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM documents o LEFT JOIN kept k USING (doc_id)
+"""
+
 SQL["op2_curriculum_mix"] = r"""
 WITH sized AS (
     SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
