@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact, lines, mixing, repetition, sharding, simhash
+from newsloom.llm import exact, lines, mixing, packing, repetition, sharding, simhash
 from newsloom.llm.sql import SQL
 from newsloom.session import ship_package
 
@@ -54,6 +55,15 @@ def op3_repetition_rules(docs: DataFrame) -> DataFrame:
     return repetition.repetition_rules(docs)
 
 
+#: Folder of the public vocabulary files.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op4_bm25_packing(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, TOKENIZER)
+
+
 @_query
 def op5_bloom_dedup(docs: DataFrame) -> DataFrame:
     return exact.mark_copies(docs).drop("n_rows")
