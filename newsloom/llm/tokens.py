@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 #: Words remembered by a task. More only cost time again, as all is forgotten then.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: UTF-8 bytes of text handled at a time.
 CHUNK_BYTES = 8 << 20
 
@@ -40,7 +41,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # word -> its ids, 4 bytes each
 
     def _plain(self, word: str) -> bool:
         """Letters whose lower case and normal form hold no surprise."""
@@ -54,18 +55,18 @@ class WordEncoder:
             word = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
         return [t.id for t in self.model.tokenize(word)]
 
-    def _new(self, word: str) -> np.ndarray:
+    def _new(self, word: str) -> bytes:
         core = word.rstrip(string.punctuation)
         tail = word[len(core) :]
         if self._plain(core) and "'" not in tail:
             ids = self._letters_only(core)
             if tail:
-                ids = ids + self.of_word(tail).tolist()
+                return array("I", ids).tobytes() + self.of_word(tail)
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, np.uint32)
+        return array("I", ids).tobytes()
 
-    def of_word(self, word: str) -> np.ndarray:
+    def of_word(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
             if len(self.known) >= REMEMBERED:
@@ -82,8 +83,8 @@ class WordEncoder:
         codes = coded.indices.to_numpy()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         ids = [self.of_word(w) for w in words]
-        each = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begins = np.cumsum(each) - each
         lengths = each[codes]
         ends = np.cumsum(lengths)
