@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact, lines, mixing, packing, repetition, sharding, simhash
+from newsloom.llm import exact, html_text, lines, mixing, ngram_lm, packing, repetition, secrets, sharding, simhash
 from newsloom.llm.sql import SQL
 from newsloom.session import ship_package
 
@@ -69,11 +69,26 @@ def op5_bloom_dedup(docs: DataFrame) -> DataFrame:
     return exact.mark_copies(docs).drop("n_rows")
 
 
+@_query
+def op6_backoff_scores(docs: DataFrame) -> DataFrame:
+    return ngram_lm.backoff_scores(docs)
+
+
 @_query
 def op7_simhash_dedup(docs: DataFrame) -> DataFrame:
     return simhash.near_duplicates(docs)
 
 
+@_query
+def op8_secret_formats(docs: DataFrame) -> DataFrame:
+    return secrets.find_secrets(docs)
+
+
+@_query
+def op9_layout_text(pages: DataFrame) -> DataFrame:
+    return html_text.extract_text(pages)
+
+
 @_query
 def op10_virtual_slots(docs: DataFrame) -> DataFrame:
     return sharding.shard_documents(docs)
