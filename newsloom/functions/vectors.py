@@ -47,6 +47,15 @@ def norms(rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", rows, rows))
 
 
+def _directed(rows: np.ndarray) -> np.ndarray:
+    """Norms; rows with a missing or endless element have no direction and become zero."""
+    with np.errstate(over="ignore"):
+        lengths = norms(rows)
+    lost = ~np.isfinite(lengths)
+    rows[lost], lengths[lost] = 0.0, 0.0
+    return lengths
+
+
 def _unit(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return (rows / np.where(lengths > 0, lengths, 1.0)[:, None]).astype(np.float32)
 
@@ -72,8 +81,8 @@ class TopK:
 
     def __init__(self, query_ids: Sequence[int], queries: np.ndarray, k: int):
         self.query_ids = np.asarray(query_ids, dtype=np.int64)
-        self.queries = np.asarray(queries, dtype=np.float64)
-        self.query_norms = norms(self.queries)
+        self.queries = np.array(queries, dtype=np.float64)
+        self.query_norms = _directed(self.queries)
         self.unit_queries = _unit(self.queries, self.query_norms)
         self.k = k
         # Above twice the rounding error of a single-precision product of unit vectors.
@@ -93,7 +102,7 @@ class TopK:
             self._add(ids[part], owners[part], vectors[part].astype(np.float64))
 
     def _add(self, ids: np.ndarray, owners: np.ndarray, rows: np.ndarray) -> None:
-        row_norms = norms(rows)
+        row_norms = _directed(rows)
         unit_rows = _unit(rows, row_norms).T
         no_direction = np.flatnonzero(row_norms == 0)
         for lo in range(0, len(self.query_ids), _QUERIES):

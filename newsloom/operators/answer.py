@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom import schemas
-from newsloom.functions.models import model_call
+from newsloom.functions.models import model_call, spread
 from newsloom.providers import TextModel
 
 _PROMPT = (
@@ -61,7 +61,7 @@ def generate_answers(
 
     Status is ok, empty or error, and null where the prompt is null: no call is made
     then. Only prompt and context go to Python. `parallelism` spreads the calls over
-    that many tasks.
+    that many tasks, by default as many as a shuffle has.
     """
 
     def ask(model: TextModel, prompt: str | None, context: str | None) -> dict:
@@ -73,8 +73,7 @@ def generate_answers(
             return {"response": None, "status": "error"}
         return {"response": response or None, "status": "ok" if response else "empty"}
 
-    if parallelism is not None:
-        prompts = prompts.repartition(parallelism)
+    prompts = spread(prompts, parallelism)
     reply = model_call(ask, provider)(F.col("prompt"), F.col("context"))
     return prompts.withColumn("_reply", reply).select(
         *prompts.columns, "_reply.response", "_reply.status"
@@ -87,13 +86,19 @@ def _no_references() -> Column:
 
 def parse_answer(response: Column, status: Column) -> Column:
     """`struct<summary, references, status>`. A response that is no JSON object, an empty
-    one and a failed call each give their fixed text and no references."""
+    one and a failed call each give their fixed text and no references. Fields of another
+    type than expected do not spoil an answer: ids may be text, the rest is null."""
+    text = F.when(F.ltrim(response).startswith("{"), response)
     parsed = F.from_json(
-        F.when(F.ltrim(response).startswith("{"), response),
-        f"summary string, references array<{schemas.REFERENCE}>, _broken string",
-        {"columnNameOfCorruptRecord": "_broken"},
+        text, "summary string, references array<struct<news_id: string, title: string, publisher: string>>"
     )
-    good = (status == "ok") & parsed.isNotNull() & parsed["_broken"].isNull()
+    references = F.transform(
+        F.filter(parsed["references"], lambda r: r.isNotNull()),
+        lambda r: F.struct(
+            r["news_id"].try_cast("bigint").alias("news_id"), r["title"].alias("title"), r["publisher"].alias("publisher")
+        ),
+    )
+    good = (status == "ok") & F.try_parse_json(text).isNotNull()
     outcome = F.when(status != "ok", status).when(good, F.lit("ok")).otherwise(F.lit("bad_json"))
     return F.struct(
         F.when(status == "empty", F.lit(fv.EMPTY_ANSWER_SUMMARY))
@@ -101,7 +106,7 @@ def parse_answer(response: Column, status: Column) -> Column:
         .when(good, parsed["summary"])
         .otherwise(F.lit(fv.BAD_JSON_SUMMARY))
         .alias("summary"),
-        F.coalesce(F.when(good, parsed["references"]), _no_references()).alias("references"),
+        F.coalesce(F.when(good, references), _no_references()).alias("references"),
         outcome.alias("status"),
     )
 

@@ -13,12 +13,12 @@ from pyspark.sql.window import Window
 
 from newsloom import fixed_values as fv
 from newsloom import schemas
-from newsloom.functions.models import model_call
+from newsloom.functions.models import model_call, spread
 from newsloom.functions.text import classifier_text
 from newsloom.providers import TextModel
 
 # Batches per bucket when the number of buckets follows from the row count.
-_BATCHES_PER_BUCKET = 4096
+_BATCHES_PER_BUCKET = 32
 
 _PROMPT = (
     "Assign each of the following articles to exactly one of these categories: [{categories}]. "
@@ -91,7 +91,7 @@ def render_classify_prompt(
 def _ask(
     model: TextModel, prompt: str, items: str, attempts: int, pause: float
 ) -> dict:
-    """Empty answers and errors are tried again, broken JSON is not."""
+    """Empty answers, errors and JSON without labels are tried again, broken JSON is not."""
     for attempt in range(attempts):
         if attempt:
             time.sleep(pause)
@@ -102,10 +102,11 @@ def _ask(
         if not response:
             continue
         try:
-            json.loads(response)
+            labels = json.loads(response)
         except ValueError:
             return {"response": response, "status": fv.JSON_PARSE_ERROR}
-        return {"response": response, "status": "ok"}
+        if isinstance(labels, list) or isinstance(labels, dict) and {"id", "category"} <= labels.keys():
+            return {"response": response, "status": "ok"}
     return {"response": None, "status": fv.API_ERROR}
 
 
@@ -119,11 +120,10 @@ def classify_batches(
     """Call the model once per batch: adds `response` and `status`.
 
     `batches` has the columns of `make_batches` plus `prompt`. `parallelism` spreads the
-    calls over that many tasks. A task that Spark repeats repeats its calls, so store the
+    calls over that many tasks, by default as many as a shuffle has. A task that Spark repeats repeats its calls, so store the
     result before joining it (`session.materialize`).
     """
-    if parallelism is not None:
-        batches = batches.repartition(parallelism)
+    batches = spread(batches, parallelism, "bucket", "batch")
     ask = partial(_ask, attempts=attempts, pause=pause)
     reply = model_call(ask, provider)(F.col("prompt"), F.col("items"))
     return batches.withColumn("_reply", reply).select(

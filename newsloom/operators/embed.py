@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.models import spread
 from newsloom.functions.text import strip
 from newsloom.providers import Embedder
 
@@ -63,17 +64,19 @@ def embed_chunks(
 ) -> DataFrame:
     """Add `embedding`, of unit length; blank text has none and keeps its row.
 
-    `parallelism` spreads the rows over that many tasks first, for inputs that sit in
-    one partition.
+    Rows are spread over `parallelism` tasks first, by default as many as a shuffle has,
+    since inputs behind a limit sit in one.
     """
-    if parallelism is not None:
-        chunks = chunks.repartition(parallelism)
+    chunks = spread(chunks, parallelism)
     filled = F.when(strip(F.col(text)) != "", F.col(text))
     return chunks.withColumn("embedding", vectors_of(filled, provider, normalize=True))
 
 
 def embed_queries(
-    queries: DataFrame, provider: Callable[[], Embedder], text: str = "query"
+    queries: DataFrame,
+    provider: Callable[[], Embedder],
+    text: str = "query",
+    parallelism: int | None = None,
 ) -> DataFrame:
-    """Add `embedding`, as the model returns it."""
-    return queries.withColumn("embedding", vectors_of(F.col(text), provider, normalize=False))
+    """Add `embedding`, as the model returns it. Rows are spread as by `embed_chunks`."""
+    return spread(queries, parallelism).withColumn("embedding", vectors_of(F.col(text), provider, normalize=False))

@@ -21,7 +21,7 @@ from newsloom.functions import vectors
 from newsloom.functions.sizes import BROADCAST_BYTES, broadcast_ids, measure
 
 # Bytes per side of a block when queries are too many to send everywhere.
-_QUERY_BLOCK_BYTES = 16 * 1024 * 1024
+_QUERY_BLOCK_BYTES = 256 * 1024 * 1024
 _VECTOR_BLOCK_BYTES = 64 * 1024 * 1024
 
 
@@ -31,7 +31,8 @@ def _check_k(k: int) -> None:
 
 
 def _vectors(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("embedding").isNotNull()).select(
+    """Chunks that can be hits: they have an id and a vector."""
+    return chunks.where("id IS NOT NULL AND embedding IS NOT NULL").select(
         F.col("id").cast("bigint"),
         F.col("news_id").cast("bigint"),
         F.col("embedding").cast("array<float>"),
@@ -185,8 +186,8 @@ def search_top_k(
     """The k chunks most similar to a query vector, best first: `rank, id, news_id,
     similarity, chunk_text, link, metadata`.
 
-    Chunks without a vector are no hits; ties go to the lower id; a zero vector has no
-    similarity and comes last.
+    Chunks without an id or a vector are no hits; ties go to the lower id; a zero vector, or
+    one with a missing, undefined or endless element, has no similarity and comes last.
     """
     hits = nearest(chunks, query, k)
     found = attach_links(attach_chunks(hits, chunks, k), raw, k, ids=hits)

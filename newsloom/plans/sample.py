@@ -22,7 +22,10 @@ class Sample:
             F.concat(F.lit("doc://"), "doc_id").alias("link"),
             (
                 F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-                + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+                # days and the minutes left, as one count of minutes ends at 2**31 documents
+                + F.make_dt_interval(
+                    days=F.floor(F.col("doc_id") / 1440).cast("int"), mins=F.pmod("doc_id", F.lit(1440)).cast("int")
+                )
             ).alias("published_at"),
             F.col("text").alias("summary"),
             F.col("source").alias("publisher"),

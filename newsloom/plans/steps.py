@@ -14,10 +14,10 @@ from newsloom.operators.extract import extract_pages
 from newsloom.operators.upsert import unseen
 from newsloom.providers import Embedder, TextModel
 from newsloom.schemas import CONTEXT
-from newsloom.session import materialize
+from newsloom.session import discard, materialize
 from newsloom.sinks import append, insert_if_absent
 from newsloom.sources.feed import attach_pages
-from newsloom.sources.tables import read_table
+from newsloom.sources.tables import read_if_present, read_table
 
 
 def ingest_batch(
@@ -32,11 +32,14 @@ def ingest_batch(
 
     Stored links are dropped first, and only the pages of the remaining ones are parsed.
     """
-    stored = read_table(feed.sparkSession, raw)
-    fresh = materialize(unseen(feed, stored, "link"), "fresh")
-    links = fresh.select(F.col("link").alias("url")).where("url IS NOT NULL").distinct()
-    landed = pages.join(broadcast_if_small(links), "url", "left_semi")
-    return append(attach_pages(fresh, extract(landed), page_order), raw, id_col="id")
+    stored = read_if_present(feed.sparkSession, raw)
+    fresh = materialize(feed if stored is None else unseen(feed, stored, "link"), "fresh")
+    try:
+        links = fresh.select(F.col("link").alias("url")).where("url IS NOT NULL").distinct()
+        landed = pages.join(broadcast_if_small(links), "url", "left_semi")
+        return append(attach_pages(fresh, extract(landed), page_order), raw, id_col="id")
+    finally:
+        discard(fresh)
 
 
 def classify_step(
@@ -62,21 +65,25 @@ def classify_step(
         backlog.unclassified_backlog(read_table(spark, raw), read_table(spark, metadata), limit),
         "backlog",
     )
-    results = materialize(
-        classify.classify_articles(
-            waiting, provider, categories, size, None, attempts, pause, parallelism
-        ),
-        "classified",
-    )
-    rows = classify.join_back(results, waiting)
-    return insert_if_absent(
-        rows,
-        metadata,
-        "news_id",
-        ("bucket", "batch", "place"),
-        id_col="id",
-        skip_failed=skip_failed,
-    )
+    copies = [waiting]
+    try:
+        results = materialize(
+            classify.classify_articles(
+                waiting, provider, categories, size, None, attempts, pause, parallelism
+            ),
+            "classified",
+        )
+        copies.append(results)
+        return insert_if_absent(
+            classify.join_back(results, waiting),
+            metadata,
+            "news_id",
+            ("bucket", "batch", "place"),
+            id_col="id",
+            skip_failed=skip_failed,
+        )
+    finally:
+        discard(*copies)
 
 
 def embed_step(
@@ -120,7 +127,8 @@ def answer_queries(
 ) -> DataFrame:
     """`query_id, query, results, answer, text` for a table of `query_id, query`.
 
-    Queries without a hit get the fixed answer and cause no model call.
+    Queries without a hit get the fixed answer and cause no model call. The result reads
+    the stored answers in the shared folder.
     """
     asked = materialize(embed.embed_queries(queries.select("query_id", "query"), embedder), "queries")
     hits = materialize(search.search_top_k_batch(chunks, raw, asked, k), "hits")
@@ -134,6 +142,7 @@ def answer_queries(
     answered = materialize(
         answer.generate_answers(prompts, model, parallelism).drop("prompt", "context"), "answers"
     )
+    discard(asked, hits)
     return answered.select(
         "query_id",
         "query",

@@ -47,15 +47,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Used where a plan is read more than once or must not be computed twice, such as
-    model responses. The copy outlives lost executors.
+    model responses. The copy outlives lost executors, until `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._newsloom_path = path
+    return copy
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a copy that `materialize` made, through the store it lies in."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*copies: DataFrame) -> None:
+    """Remove what `materialize` wrote. Frames that still read it must be done by then."""
+    for copy in copies:
+        spark = copy.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(copy._newsloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,54 +7,64 @@ The rows written are counted while they are written.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.operators.upsert import first_per_key, unseen, update_by_key
-from newsloom.session import materialize
-from newsloom.sources.tables import is_path, read_table
+from newsloom.session import discard, materialize
+from newsloom.sources.tables import is_path, partition_columns, read_if_present, read_table
 
 _MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
-def _read_if_present(spark: SparkSession, target: str) -> DataFrame | None:
-    if not is_path(target) and not spark.catalog.tableExists(target):
-        return None
-    try:
-        return read_table(spark, target)
-    except AnalysisException as error:
-        if is_path(target) and error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def _write(df: DataFrame, target: str, mode: str = "append") -> int:
+def _write(df: DataFrame, target: str, mode: str = "append", partitions: Sequence[str] = ()) -> int:
+    """One write that keeps the target's partitioning, so that what it adds is read back."""
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if is_path(target):
-        writer.parquet(target)
+        writer.partitionBy(*partitions).parquet(target)
     elif mode == "append" and df.sparkSession.catalog.tableExists(target):
         writer.insertInto(target)  # by position, which _conform has put right
     else:
-        writer.format("parquet").saveAsTable(target)
+        writer.format("parquet").partitionBy(*partitions).saveAsTable(target)
     return int(seen.get["rows"])
 
 
-def _conform(
-    df: DataFrame, stored: DataFrame | None, id_col: str | None, strict: bool = True
-) -> DataFrame:
-    """Number the new rows above the stored ids, then take the stored columns in order.
+# monotonically_increasing_id: the task above these bits, the row's place below
+_PLACE_BITS = 33
+
+
+def _numbered(df: DataFrame, stored: DataFrame | None, id_col: str) -> DataFrame:
+    """`df` with ids that follow the largest stored one without a gap.
 
-    A stored column the rows lack is null; one the table lacks is an error if `strict`.
+    `df` must give the same rows in the same tasks twice, such as a stored copy: rows are
+    counted per task first, and each task then numbers its own.
     """
-    if id_col is not None and id_col not in df.columns:
-        top = 0
-        if stored is not None:
-            top = stored.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-        df = df.select((F.monotonically_increasing_id() + top + 1).alias(id_col), *df.columns)
+    top = 0
+    if stored is not None:
+        top = stored.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    spark, place = df.sparkSession, F.monotonically_increasing_id()
+    task = F.shiftrightunsigned(place, _PLACE_BITS)
+    counts = df.select(task.alias("task")).groupBy("task").count().orderBy("task").collect()
+    before, offsets = top, []
+    for row in counts:
+        offsets.append((row["task"], before))
+        before += row["count"]
+    first = F.broadcast(spark.createDataFrame(offsets, "_task bigint, _first bigint"))
+    placed = df.select("*", place.alias("_place")).withColumn(
+        "_task", F.shiftrightunsigned("_place", _PLACE_BITS)
+    )
+    return placed.join(first, "_task").select(
+        (F.col("_first") + F.col("_place").bitwiseAND((1 << _PLACE_BITS) - 1) + 1).alias(id_col), *df.columns
+    )
+
+
+def _conform(df: DataFrame, stored: DataFrame | None, strict: bool = True) -> DataFrame:
+    """The stored columns in order. A stored column the rows lack is null; one the table
+    lacks is an error if `strict`."""
     if stored is None:
         return df
     unknown = set(df.columns) - set(stored.columns)
@@ -68,6 +78,34 @@ def _conform(
     )
 
 
+def _store(
+    df: DataFrame,
+    target: str,
+    stored: DataFrame | None,
+    id_col: str | None,
+    strict: bool = True,
+    mode: str = "append",
+) -> int:
+    """Number, conform and write. Rows to be numbered, or that depend on what they replace,
+    go through a copy in the shared folder, which is removed afterwards."""
+    spark, copy = df.sparkSession, None
+    partitions = partition_columns(spark, target) if stored is not None else []
+    conform_to = stored if mode == "append" else None
+    number = id_col is not None and id_col not in df.columns
+    try:
+        if number or (mode == "overwrite" and stored is not None):
+            df = copy = materialize(df, "rows")
+            if mode == "overwrite" and df.isEmpty():
+                return 0
+        if number:
+            df = _numbered(df, conform_to, id_col)
+        kept = [c for c in partitions if conform_to is not None or c in df.columns]
+        return _write(_conform(df, conform_to, strict), target, mode, kept)
+    finally:
+        if copy is not None:
+            discard(copy)
+
+
 def ensure_table(
     spark: SparkSession,
     name: str,
@@ -87,11 +125,9 @@ def ensure_table(
 def append(df: DataFrame, target: str, id_col: str | None = None) -> int:
     """Append every row, without looking for duplicates; returns the rows written.
 
-    `id_col` names a generated key: new rows get unique ids above the stored ones,
-    with gaps.
+    `id_col` names a generated key: new rows get the ids that follow the stored ones.
     """
-    stored = _read_if_present(df.sparkSession, target)
-    return _write(_conform(df, stored, id_col), target)
+    return _store(df, target, read_if_present(df.sparkSession, target), id_col)
 
 
 def append_new(
@@ -116,18 +152,12 @@ def append_new(
         raise ValueError("dedup_within needs unique_col and order")
     if if_exists != "append" and df.isEmpty():
         return 0
-    stored = _read_if_present(df.sparkSession, target)
+    stored = read_if_present(df.sparkSession, target)
     if dedup_within:
         df = first_per_key(df, unique_col, *order)
     if unique_col and stored is not None:
         df = unseen(df, stored, unique_col)
-    if if_exists == "append":
-        return _write(_conform(df, stored, id_col), target)
-    if if_exists == "replace" and unique_col and stored is not None:
-        df = materialize(df, "replace")  # the rows depend on the table they replace
-        if df.isEmpty():
-            return 0
-    return _write(_conform(df, None, id_col), target, _MODES[if_exists])
+    return _store(df, target, stored, id_col, mode=_MODES[if_exists])
 
 
 def insert_if_absent(
@@ -148,11 +178,11 @@ def insert_if_absent(
     if skip_failed:
         failed = F.coalesce(F.col(category_col).isin(*fv.FAILURE_LABELS), F.lit(False))
         df = df.where(~failed)
-    stored = _read_if_present(df.sparkSession, target)
+    stored = read_if_present(df.sparkSession, target)
     df = first_per_key(df, key, *order, nulls_distinct=True)
     if stored is not None:
         df = unseen(df, stored, key, null_safe=False)
-    return _write(_conform(df, stored, id_col, strict=False), target)
+    return _store(df, target, stored, id_col, strict=False)
 
 
 def update_table(
@@ -166,18 +196,37 @@ def update_table(
 ) -> int:
     """Write the updated rows of a table as a new snapshot at `location`.
 
-    A catalog table is pointed at the snapshot once it is complete. Returns the number
-    of rows that matched an update.
+    The snapshot is partitioned like the table. A catalog table is pointed at it once it
+    is complete, and so is each of its partitions. Returns the number of rows that matched
+    an update.
     """
     matched = Observation()
+    partitions = partition_columns(spark, target)
     updated = update_by_key(read_table(spark, target), updates, key, columns, *order, flag="_matched")
     (
         updated.observe(matched, F.count(F.when(F.col("_matched"), 1)).alias("rows"))
         .drop("_matched")
         .write.mode("errorifexists")
+        .partitionBy(*partitions)
         .parquet(location)
     )
     if not is_path(target):
         spark.sql(f"ALTER TABLE {target} SET LOCATION '{location}'")
+        if partitions:
+            _point_partitions(spark, target, location)
         spark.catalog.refreshTable(target)
     return int(matched.get["rows"])
+
+
+def _point_partitions(spark: SparkSession, table: str, location: str) -> None:
+    """Point every partition of a table into a new snapshot; those that have no rows there
+    go, new ones come. This is one statement a partition, and moves no data."""
+    for (folder,) in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        parts = [p.partition("=") for p in folder.split("/")]
+        spec = ", ".join(f"`{unquote(name)}` = {_quoted(unquote(value))}" for name, _, value in parts)
+        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION {_quoted(f'{location}/{folder}')}")
+    spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

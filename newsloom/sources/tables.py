@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,27 @@ def read_table(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target) if is_path(target) else spark.table(target)
 
 
+def read_if_present(spark: SparkSession, target: str) -> DataFrame | None:
+    """`read_table`, or None if there is no such table or nothing at the path yet."""
+    if not is_path(target) and not spark.catalog.tableExists(target):
+        return None
+    try:
+        return read_table(spark, target)
+    except AnalysisException as error:
+        if is_path(target) and error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def partition_columns(spark: SparkSession, target: str) -> list[str]:
+    """Columns that a table is partitioned by; of a path, those that its folders hold and
+    its files do not."""
+    if not is_path(target):
+        return [c.name for c in spark.catalog.listColumns(target) if c.isPartition]
+    inside = spark.read.option("recursiveFileLookup", True).parquet(target).columns
+    return [c for c in spark.read.parquet(target).columns if c not in inside]
+
+
 def read_query(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:
     """Rows of a SQL query; `{name}` in the text refers to a frame passed as `name=`."""
     return spark.sql(query, **frames)

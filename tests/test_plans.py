@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from newsloom.operators import analytics, search
 from newsloom.operators.upsert import first_per_key, unseen
+from newsloom.plans.catalog import registered
 from newsloom.plans.sample import Sample
 
 PYTHON = {"article_body", "first_json_ld", "extract_pages", "classify_articles", "join_back", "embed_chunks",
@@ -29,9 +30,9 @@ def sample(spark):
     return Sample(spark, f"{DATA}/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_no_pairing_joins_and_python_once(spark, name):
-    text = final(entry.queries()[name](spark, f"{DATA}/sf0.001"))
+    text = final(registered()[name](spark, f"{DATA}/sf0.001"))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert text.count("ArrowEvalPython") == (1 if name in PYTHON else 0)
     assert text.count("MapInArrow") <= 1
