@@ -11,8 +11,8 @@ TEXT_PATTERN = "yyyy-MM-dd HH:mm:ss"
 
 # Day, month name, year and time of an RFC 822 date; weekday and zone are left out.
 _RFC822 = (
-    r"^\s*(?:[A-Za-z]+\.?,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*\.?[\s-]+(\d{4})"
-    r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+    r"^\s*(?:[A-Za-z]+\.?,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*\.?[\s-]+(\d{4}|\d{2})"
+    r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?s:.*)"
 )
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -25,20 +25,20 @@ def stringify_timestamp(ts: Column) -> Column:
 def parse_feed_date(text: Column) -> Column:
     """Feed date to timestamp_ntz: wall clock time as written, null if it is no date.
 
-    RFC 822 dates are rewritten to ISO first, since Spark's formatter refuses
-    weekday names; everything else goes through the ISO cast.
+    RFC 822 dates are cut once into their parts, since Spark's formatter refuses weekday
+    names; two-digit years up to 49 are of this century, the others of the last. Everything
+    else goes through the ISO cast.
     """
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _RFC822, i)
-
-    month = F.floor((F.instr(F.lit(_MONTHS), F.lower(part(2))) + 2) / 3).cast("string")
-    seconds = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
+    parts = F.split(F.regexp_replace(text, _RFC822, "$3 $2 $1 $4 $5 $6"), " ")
+    year, month, day, hour, minute, second = (F.try_element_at(parts, F.lit(i)) for i in range(1, 7))
+    century = F.when(F.length(year) == 4, "").when(year < "50", "20").otherwise("19")
+    number = F.floor((F.instr(F.lit(_MONTHS), F.lower(month)) + 2) / 3).cast("string")
     iso = F.concat(
-        part(3), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"),
-        F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), seconds,
+        century, year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "),
+        F.lpad(hour, 2, "0"), F.lit(":"), minute, F.lit(":"), F.when(second == "", "00").otherwise(second),
     )
-    return F.when(text.rlike(_RFC822), iso).otherwise(F.trim(text)).try_cast("timestamp_ntz")
+    rewritten = (F.size(parts) == 6) & month.rlike("^[A-Za-z]{3}$")
+    return F.when(rewritten, iso).otherwise(F.trim(text)).try_cast("timestamp_ntz")
 
 
 def _as_date(value: dt.date | str) -> dt.date:

@@ -2,69 +2,119 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_feed_date
 
-_ITEM = "title string, link string, pubDate string, description string"
+# Elements of RSS and of Atom that hold the same thing, the one to prefer first.
+_TITLE = ("title",)
+_DATE = ("pubDate", "dc:date", "published", "updated")
+_SUMMARY = ("description", "summary", "content")
+
+# Names of characters in HTML, the five of XML among them.
+_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_PIECE = r"&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
+
+
+def decode_references(text: Column) -> Column:
+    """Character references, by name or number, as characters; unknown ones stay as written."""
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        code = F.when(
+            F.lower(F.left(piece, F.lit(3))) == "&#x",
+            F.conv(F.regexp_extract(piece, "(?i)&#x([0-9a-f]+);", 1), 16, 10),
+        ).otherwise(F.regexp_extract(piece, "&#([0-9]+);", 1)).try_cast("int")
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        numbered = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
+        return F.when(F.startswith(piece, F.lit("&#")), F.coalesce(numbered, piece)).when(
+            F.startswith(piece, F.lit("&")),
+            F.coalesce(F.try_element_at(names, F.substring_index(F.substring(piece, 2, 40), ";", 1)), piece),
+        ).otherwise(piece)
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
+def _inside(entry: Column, element: str) -> Column:
+    """Text between the first tags of an element: marked sections as they are, references
+    decoded in the rest. Null if there is none or it is empty."""
+    body = F.regexp_extract(entry, rf"(?s)<{element}(?:\s[^>]*)?(?<!/)>(.*?)</{element}\s*>", 1)
+    sections = F.regexp_extract_all(body, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|(?:(?!<!\[CDATA\[).)+"), F.lit(0))
+    text = F.array_join(
+        F.transform(
+            sections,
+            lambda x: F.when(
+                x.startswith("<![CDATA["), F.regexp_extract(x, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+            ).otherwise(decode_references(x)),
+        ),
+        "",
+    )
+    return F.when(text != "", text)
 
 
-def _loose(entry: Column, element: str) -> Column:
-    """Text between an element's tags, for entries that are not well-formed."""
-    text = F.regexp_extract(entry, rf"(?s)<{element}(?:\s[^>]*)?>(.*?)</{element}>", 1)
-    text = F.regexp_replace(text, r"<!\[CDATA\[|\]\]>", "")
-    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
-    return F.when(text != "", text)
+def _first(entry: Column, elements: tuple[str, ...]) -> Column:
+    return F.coalesce(*[_inside(entry, e) for e in elements])
 
 
-def _items(files: DataFrame, row_tag: str) -> DataFrame:
-    """One row per entry of feed files read as whole texts.
+def _link(entry: Column) -> Column:
+    """Text of the element, or the address in the attribute of the first that is no link to
+    something beside the article."""
+    tags = F.regexp_extract_all(entry, F.lit(r"<link\s[^>]*>"), F.lit(0))
+    main = F.filter(tags, lambda t: ~t.rlike(r"\srel\s*=") | t.rlike(r"""\srel\s*=\s*["']?alternate\b"""))
+    address = F.regexp_extract(F.try_element_at(main, F.lit(1)), r"""\shref\s*=\s*(["'])(.*?)\1""", 2)
+    return F.trim(F.coalesce(_inside(entry, "link"), F.when(address != "", decode_references(address))))
 
-    Entries are cut out before they are parsed, so a broken one leaves its neighbours
-    alone; what XML parsing does not give is taken from between the tags.
-    """
-    pattern = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*?</{row_tag}>"
-    entries = files.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("entry"))
-    parsed = entries.select("entry", F.from_xml("entry", _ITEM).alias("e"))
-
-    def text(element: str) -> Column:
-        return F.coalesce(F.col(f"e.{element}"), _loose(F.col("entry"), element))
-
-    return parsed.select(
-        text("title").alias("title"),
-        F.trim(text("link")).alias("link"),
-        parse_feed_date(text("pubDate")).alias("published_at"),
-        text("description").alias("summary"),
+
+def _entries(pieces: DataFrame, row_tag: str) -> DataFrame:
+    """One row per entry from texts cut where `<row_tag` stands. Each entry is read by itself,
+    so that a broken one leaves its neighbours alone; one that is cut off gives no row."""
+    whole = rf"(?s)^(?:\s[^>]*)?>(.*?)</{row_tag}\s*>"
+    entries = pieces.where(F.col("value").rlike(whole)).select(
+        F.regexp_extract("value", whole, 1).alias("entry")
+    )
+    e = F.col("entry")
+    return entries.select(
+        _first(e, _TITLE).alias("title"),
+        _link(e).alias("link"),
+        parse_feed_date(_first(e, _DATE)).alias("published_at"),
+        _first(e, _SUMMARY).alias("summary"),
     )
 
 
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """RSS entries of every file under `path`; a missing element is null."""
-    return _items(spark.read.text(path, wholetext=True), row_tag)
+    """Entries of every feed file under `path`; a missing element is null.
+
+    `row_tag` is `item` for RSS and `entry` for Atom. Files are split where entries begin,
+    so that one file may be read by many tasks.
+    """
+    return _entries(spark.read.text(path, lineSep=f"<{row_tag}"), row_tag)
 
 
 def read_feed_stream(
     spark: SparkSession, path: str, row_tag: str = "item", max_files: int | None = None
 ) -> DataFrame:
     """`read_feed` over files as they land, at most `max_files` per micro-batch."""
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream.option("lineSep", f"<{row_tag}")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _items(reader.text(path), row_tag)
+    return _entries(reader.text(path), row_tag)
 
 
 def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:
     """Give every feed entry the columns of its page; entries without one get nulls.
 
     `pages` is keyed by `url`. Hand it extracted columns rather than the HTML, so only
-    those are shuffled. Where a page may have landed more than once, `order` names the
-    column whose greatest value is kept.
+    those are shuffled. Where a page landed more than once, one is kept: that with the
+    greatest value of the column `order`, if one is named, then the greatest of the rest.
     """
     rest = [c for c in pages.columns if c not in ("url", order)]
-    if order is not None:
-        latest = F.max(F.struct(order, *rest)).alias("_page")
+    place = [order] if order is not None else []
+    if place or rest:
+        latest = F.max(F.struct(*place, *rest)).alias("_page")
         pages = pages.groupBy("url").agg(latest).select(
             "url", *[F.col(f"_page.`{c}`").alias(c) for c in rest]
         )

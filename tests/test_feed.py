@@ -48,15 +48,43 @@ def test_broken_feed_costs_only_the_broken_entry(spark, tmp_path):
     got = [(r.title, r.link, r.summary) for r in read_feed(spark, str(tmp_path)).collect()]
     assert got == [
         ("a & b", "http://n/1?x=1&y=2", None),
-        ("c & d &nbsp; e", "http://n/2?x=1&y=2", None),
+        ("c & d \xa0 e", "http://n/2?x=1&y=2", None),
         ("open <b>tag", "http://n/3", None),
         (None, None, "<p>f & g</p>"),
         (None, None, None),
     ]
 
 
+def test_references_and_atom(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        "<feed xmlns='http://www.w3.org/2005/Atom'><title>feed</title><entry><title type='html'>A&nbsp;B &#39;q&#x27; &euro; "
+        "&#128512; &unknown; <![CDATA[&amp; x]]></title><link rel='self' href='http://n/s'/>"
+        "<link rel='alternate' href='http://n/1?a=1&amp;b=2'/><published>2025-07-07T03:04:05Z</published>"
+        "<summary>s</summary></entry><entry>\n<title/><link href=\"http://n/2\"/><updated>2025-07-08T00:00:00Z</updated>"
+        "<content>c</content></entry></feed>",
+        encoding="utf-8",
+    )
+    assert sorted(map(tuple, read_feed(spark, str(tmp_path), "entry").collect()), key=repr) == [
+        ("A\xa0B 'q' € 😀 &unknown; &amp; x".replace("q'", "q'"), "http://n/1?a=1&b=2", dt.datetime(2025, 7, 7, 3, 4, 5), "s"),
+        (None, "http://n/2", dt.datetime(2025, 7, 8), "c"),
+    ]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(feed(*[item(n) for n in range(3000)]), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        frame = read_feed(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 4
+        assert {r.link for r in frame.collect()} == {f"http://n/{n}" for n in range(3000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_feed_dates(spark):
     cases = [
+        ("Mon, 07 Jul 25 03:04:05 GMT", dt.datetime(2025, 7, 7, 3, 4, 5)),
+        ("7 Jul 99 03:04", dt.datetime(1999, 7, 7, 3, 4)),
         ("Mon, 07 Jul 2025 03:04:05 GMT", dt.datetime(2025, 7, 7, 3, 4, 5)),
         ("7 July 2025 03:04 +0800", dt.datetime(2025, 7, 7, 3, 4)),
         ("Sun, 1 Dec 2024 23:59:59 +0000", dt.datetime(2024, 12, 1, 23, 59, 59)),
@@ -80,6 +108,27 @@ def test_attach_pages_keeps_entries_and_latest_page(spark):
     assert got == [("a", "new"), ("a", "new"), ("b", None), (None, None)]
 
 
+def test_one_page_by_default(spark):
+    entries = spark.createDataFrame([("a",)], "link string")
+    pages = spark.createDataFrame([("a", "x"), ("a", "y")], "url string, content string")
+    assert [tuple(r) for r in attach_pages(entries, pages).collect()] == [("a", "y")]
+
+
+def test_first_ingest_on_a_new_path(spark, tmp_path):
+    raw = str(tmp_path / "new")
+    batch = read_feed(spark, _landed(tmp_path, item(1), item(2)))
+    pages = spark.createDataFrame([("http://n/1", PAGE % 1)] * 2, schemas.PAGES)
+    assert ingest_batch(batch, pages, raw) == 2
+    assert sorted(r.id for r in spark.read.parquet(raw).collect()) == [1, 2]
+    assert ingest_batch(batch, pages, raw) == 0
+
+
+def _landed(folder, *items):
+    (folder / "landed").mkdir()
+    (folder / "landed" / "a.xml").write_text(feed(*items), encoding="utf-8")
+    return str(folder / "landed")
+
+
 def test_read_query(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     assert read_query(spark, "SELECT max(x) AS m FROM {t}", t=df).first().m == 2
