@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,15 @@ from pyspark.sql import types as T
 # Largest measured side that is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+# Most ids that are written into a plan as literals, where the caller's limit proves them few.
+LITERAL_IDS = 200
+
+
+def with_ids(df: DataFrame, column: str, ids: Iterable[int | None]) -> DataFrame:
+    """Rows with one of a few ids, as a filter that the Parquet reader sees: row groups
+    without any are skipped where a table is sorted by id."""
+    return df.where(F.col(column).isin(sorted({i for i in ids if i is not None})))
+
 
 def _row_bytes(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")

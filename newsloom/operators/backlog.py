@@ -1,7 +1,7 @@
 """Articles still to be classified or embedded.
 
-Selection runs on keys and dates alone; article text is read afterwards, by a join
-with the few selected rows, so it is never shuffled.
+Selection runs on keys and dates alone; article text is read afterwards, with
+the few selected ids, so it is never shuffled behind a limit. Without one it is joined.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions.dates import stringify_timestamp
-from newsloom.functions.sizes import broadcast_ids
+from newsloom.functions.sizes import LITERAL_IDS, broadcast_ids, with_ids
 
 
 def _without(rows: DataFrame, key: str, done: DataFrame, null_aware: bool) -> DataFrame:
@@ -26,6 +26,14 @@ def _without(rows: DataFrame, key: str, done: DataFrame, null_aware: bool) -> Da
     return left.where(F.col(key).isNotNull()) if ids.limit(1).count() else left
 
 
+def _few(rows: DataFrame, ids: DataFrame, limit: int, key: str = "id") -> DataFrame:
+    """Rows whose key is in `ids`, at most `limit` of them: as literals while they are few,
+    so that they reach the Parquet reader, else by a join."""
+    if limit <= LITERAL_IDS:
+        return with_ids(rows, key, [r[0] for r in ids.collect()])
+    return rows.join(broadcast_ids(ids, limit), key, "left_semi")
+
+
 def _check(limit: int | None) -> None:
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
@@ -53,7 +61,7 @@ def unclassified_backlog(
             .limit(limit)
             .select("id")
         )
-        rows = raw.join(broadcast_ids(newest, limit), "id", "left_semi")
+        rows = _few(raw, newest, limit)
         rows = rows.orderBy(*newest_first).limit(limit)
     return rows.select(
         F.col("id").alias("news_id"),
@@ -90,11 +98,11 @@ def unembedded_backlog(
         if require_metadata:
             known = metadata.select(F.col("news_id").alias("_classified")).distinct()
             ids = ids.join(known, F.col("id") == F.col("_classified"), "left_semi")
-        ids = broadcast_ids(ids.orderBy("id").limit(limit), limit)
-        articles = articles.join(ids, "id", "left_semi")
-        facts = facts.join(
-            ids.withColumnRenamed("id", "_id"), F.col("_classified") == F.col("_id"), "left_semi"
-        )
+        ids = ids.orderBy("id").limit(limit)
+        if limit <= LITERAL_IDS:
+            ids = ids.sparkSession.createDataFrame(ids.collect(), ids.schema)
+        articles = _few(articles, ids, limit)
+        facts = _few(facts, ids.withColumnRenamed("id", "_classified"), limit, "_classified")
     how = "inner" if require_metadata else "left"
     rows = articles.join(facts, F.col("id") == F.col("_classified"), how)
     if limit is not None:

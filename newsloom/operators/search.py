@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from newsloom import fixed_values as fv
 from newsloom.functions import vectors
-from newsloom.functions.sizes import BROADCAST_BYTES, broadcast_ids, measure
+from newsloom.functions.sizes import BROADCAST_BYTES, LITERAL_IDS, broadcast_ids, measure, with_ids
 
 # Bytes per side of a block when queries are too many to send everywhere.
 _QUERY_BLOCK_BYTES = 256 * 1024 * 1024
@@ -190,6 +190,12 @@ def search_top_k(
     one with a missing, undefined or endless element, has no similarity and comes last.
     """
     hits = nearest(chunks, query, k)
+    if k <= LITERAL_IDS:
+        # the hits themselves, so that their ids reach the Parquet reader
+        rows = hits.collect()
+        hits = chunks.sparkSession.createDataFrame(rows, hits.schema)
+        chunks = with_ids(chunks, "id", [r["id"] for r in rows])
+        raw = with_ids(raw, "id", [r["news_id"] for r in rows])
     found = attach_links(attach_chunks(hits, chunks, k), raw, k, ids=hits)
     return _hit_columns(found).orderBy("rank").limit(k)
 

@@ -14,10 +14,12 @@ from newsloom.functions.vectors import cosine_similarity
 from newsloom.operators import analytics, answer, backlog, chunk, classify, constraints, embed, extract, search
 from newsloom.operators.upsert import first_per_key, unseen, update_by_key
 from newsloom.plans.sample import Sample
-from newsloom.providers import FirstHitAnswerer, HashedTokenEmbedder, KeywordClassifier
+from newsloom.plans.steps import answer_queries
+from newsloom.providers import FirstHitAnswerer, HashedTokenEmbedder, KeywordClassifier, TextIds, Unsteady
 from newsloom.schemas import CONTEXT
 from newsloom.session import ship_package
 from newsloom.sources import attach_pages, full_articles, read_query
+from newsloom.sources.feed import entries_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +61,32 @@ def read_query_(s: Sample) -> DataFrame:
     )
 
 
+@_query
+def read_feed(s: Sample) -> DataFrame:
+    """Every document as an entry of a feed, in turn of RSS with references, RSS with marked
+    sections, and Atom."""
+    title = F.concat(F.col("title"), F.lit(" & \u00e9\u4e2d"))
+    escaped = F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#60;"))
+    at = F.date_format("published_at", "dd MMM yyyy HH:mm:ss")
+    plain = F.concat(
+        F.lit("<title>"), F.replace(title, F.lit(" & \u00e9\u4e2d"), F.lit("&nbsp;&amp;&#32;&eacute;&#x4E2D;")),
+        F.lit("</title><link>"), "link", F.lit("?a=1&amp;b</link><pubDate>"), at,
+        F.lit("</pubDate><description>"), escaped, F.lit("</description></item>"),
+    )
+    marked = F.concat(
+        F.lit("<title><![CDATA["), title, F.lit("]]></title><link> "), "link", F.lit("?a=1&b </link><pubDate>"), at,
+        F.lit("</pubDate><description><![CDATA["), "content", F.lit("]]></description></item>"),
+    )
+    atom = F.concat(
+        F.lit("<title type='text'>"), F.replace(title, F.lit("&"), F.lit("&amp;")),
+        F.lit("</title><link rel='self' href='x'/><link href='"), "link", F.lit("?a=1&#38;b'/><updated>"),
+        F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("</updated><content>"), escaped, F.lit("</content></item>"),
+    )
+    form = F.element_at(F.array(plain, marked, atom), (F.col("id") % 3 + 1).cast("int"))
+    return entries_of(s.raw().select(F.concat(F.lit(">"), form).alias("value")), "item")
+
+
 @_query
 def attach_pages_(s: Sample) -> DataFrame:
     pages = s.table("pages")
@@ -76,9 +104,14 @@ def full_articles_(s: Sample) -> DataFrame:
 
 @_query
 def parse_feed_date_(s: Sample) -> DataFrame:
-    text = F.concat(
-        F.lit("Mon, "), F.date_format("published_at", "d MMM yyyy HH:mm:ss"), F.lit(" +0800")
+    at = F.col("published_at")
+    forms = F.array(
+        F.concat(F.lit("Mon, "), F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" +0800")),
+        F.concat(F.date_format(at, "dd-MMMM-yy HH:mm"), F.lit(" GMT")),
+        F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")),
+        F.concat(F.lit(" on "), F.date_format(at, "yyyy-MM-dd")),
     )
+    text = F.element_at(forms, (F.col("news_id") % 4 + 1).cast("int"))
     return s.metadata().select("news_id", parse_feed_date(text).alias("published_at"))
 
 
@@ -190,7 +223,7 @@ def classifier_text_(s: Sample) -> DataFrame:
 
 
 def _batches(s: Sample) -> DataFrame:
-    return classify.make_batches(s.articles(), bucket=F.col("news_id") % 8)
+    return classify.make_batches(s.articles(), bucket=F.floor(F.col("news_id") / 480))
 
 
 @_query
@@ -213,6 +246,24 @@ def _classified(s: Sample) -> DataFrame:
     )
 
 
+@_query
+def classify_batches(s: Sample) -> DataFrame:
+    """A model that fails in every way, asked once for each batch."""
+    prompt = classify.render_classify_prompt(
+        F.col("items"), CATEGORIES, "Categories: {categories}. Articles: {items}"
+    )
+    model = Unsteady(KeywordClassifier(KEYWORDS, DEFAULT_CATEGORY), ("error", "empty", "[{", "5", None))
+    asked = _batches(s).withColumn("prompt", prompt)
+    return classify.explode_classified(classify.classify_batches(asked, model, attempts=1)).select("id", "category")
+
+
+@_query
+def classify_backlog(s: Sample) -> DataFrame:
+    waiting = backlog.unclassified_backlog(s.raw(), s.labelled(), limit=None)
+    results = classify.classify_articles(waiting, KeywordClassifier(KEYWORDS, DEFAULT_CATEGORY))
+    return classify.join_back(results.select("id", "category"), waiting.drop("summary"))
+
+
 @_query
 def classify_articles(s: Sample) -> DataFrame:
     return _classified(s).select("id", "category")
@@ -271,6 +322,16 @@ def embed_chunks(s: Sample) -> DataFrame:
     ).select("news_id", "dim", F.round("value", 6).alias("value"))
 
 
+@_query
+def embed_backlog(s: Sample) -> DataFrame:
+    waiting = backlog.unembedded_backlog(s.raw(), s.metadata(), s.chunks(), limit=None)
+    chunks = chunk.chunk_articles(waiting, delimiters=SENTENCE_END)
+    vectors = embed.embed_chunks(chunks.select("news_id", "chunk_idx", "chunk_text"), HashedTokenEmbedder(64))
+    return vectors.select(
+        "news_id", "chunk_idx", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")
+    ).where("value > 0").select("news_id", "chunk_idx", "dim", F.round("value", 6).alias("value"))
+
+
 @_query
 def embed_queries(s: Sample) -> DataFrame:
     asked = s.table("conversations").select(
@@ -296,7 +357,7 @@ def cosine_similarity_(s: Sample) -> DataFrame:
 
 @_query
 def search_top_k(s: Sample) -> DataFrame:
-    query = s.table("embeddings").orderBy("vec_id").select("embedding").first()[0]
+    query = s.table("embeddings").orderBy("vec_id").select("embedding").first()[0]  # one vector is the feature
     return _rounded(search.search_top_k(s.chunks(), s.raw(), query))
 
 
@@ -309,7 +370,7 @@ def _label_hits(s: Sample) -> tuple[DataFrame, int]:
     """Hits of every query and their greatest number; labels are the articles, so that
     many queries hit few of them."""
     queries = s.queries()
-    return search.nearest_batch(s.chunks("label"), queries), queries.count() * 5
+    return search.nearest_batch(s.chunks("label"), queries), s.questions().count() * 5
 
 
 def _enriched(s: Sample) -> DataFrame:
@@ -356,7 +417,7 @@ def _prompts(s: Sample) -> DataFrame:
     prompt = answer.render_answer_prompt(
         F.col("query"), F.col("context"), "Question: {query} Articles: {results} Answer:"
     )
-    return s.queries().drop("embedding").join(_context(s), "query_id").withColumn("prompt", prompt)
+    return s.questions().join(_context(s), "query_id").withColumn("prompt", prompt)
 
 
 @_query
@@ -366,10 +427,15 @@ def render_answer_prompt(s: Sample) -> DataFrame:
 
 @_query
 def parse_answer(s: Sample) -> DataFrame:
-    responses = answer.generate_answers(_prompts(s), FirstHitAnswerer())
+    """A model that fails in every way; the answers that come name articles by text."""
+    model = Unsteady(TextIds(FirstHitAnswerer()), ("error", "empty", '{"summary": ', "[]", None, None, None))
+    responses = answer.generate_answers(_prompts(s), model)
     parsed = answer.parse_answer(F.col("response"), F.col("status"))
     return responses.select("query_id", parsed.alias("a")).select(
-        "query_id", "a.summary", F.size("a.references").alias("references"), "a.status"
+        "query_id",
+        "a.summary",
+        F.array_join(F.transform("a.references", lambda r: r["news_id"].cast("string")), ",").alias("references"),
+        "a.status",
     )
 
 
@@ -386,6 +452,14 @@ def _answered(s: Sample) -> DataFrame:
     )
 
 
+@_query
+def answer_questions(s: Sample) -> DataFrame:
+    """All questions against all documents, from vectors to rendered answers."""
+    return answer_queries(
+        s.questions(), s.document_chunks(), s.raw(), HashedTokenEmbedder(64), FirstHitAnswerer()
+    ).select("query_id", F.size("results").alias("hits"), "answer.status", "text")
+
+
 @_query
 def resolve_references(s: Sample) -> DataFrame:
     resolved = answer.resolve_references(F.col("answer.references"), F.col("results"))

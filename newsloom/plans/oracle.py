@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from newsloom import fixed_values as fv
+
 RAW = """raw AS (
   SELECT doc_id AS id, source || '/' || lang || '/' || doc_id AS title, 'doc://' || doc_id AS link,
     TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at,
@@ -28,19 +30,42 @@ def chunks(news_id: str = "vec_id") -> str:
   FROM embeddings)"""
 
 
-def hits(news_id: str = "vec_id") -> str:
-    """Every vector against every vector, the best five of each."""
-    return f"""{chunks(news_id)},
+def hashed(table: str, keys: str) -> str:
+    """Tokens hashed into 64 buckets, every bucket of every text."""
+    names = ", ".join(f"t.{k.strip()}" for k in keys.split(","))
+    return f"""tokens AS (
+  SELECT {keys}, unnest(string_split(text, ' ')) AS token FROM {table}),
+counted AS (
+  SELECT {keys}, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS n
+  FROM tokens WHERE token <> '' GROUP BY ALL),
+grid AS (
+  SELECT {names}, CAST(d.dim AS INTEGER) AS dim, coalesce(c.n, 0) AS n
+  FROM {table} t CROSS JOIN (SELECT unnest(range(64)) AS dim) d
+  LEFT JOIN counted c ON c.dim = d.dim AND {" AND ".join(f"c.{k.strip()} = t.{k.strip()}" for k in keys.split(","))})"""
+
+
+QUESTIONS = f"""{hashed("benchmark", "item_id")},
+questions AS (
+  SELECT item_id AS query_id, list(CAST(n AS DOUBLE) ORDER BY dim) AS embedding FROM grid GROUP BY item_id)"""
+
+SCORED = """
 scored AS (
-  SELECT q.vec_id AS query_id, c.id, c.news_id, c.chunk_text, c.metadata,
-    list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
-  FROM embeddings q, chunks c WHERE c.embedding IS NOT NULL),
+  SELECT q.query_id, c.id, c.news_id, c.chunk_text, c.metadata,
+    CASE WHEN list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0
+      AND list_dot_product(q.embedding, q.embedding) > 0
+      THEN list_cosine_similarity(c.embedding::DOUBLE[], q.embedding) END AS similarity
+  FROM questions q, chunks c WHERE c.embedding IS NOT NULL),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS INTEGER) AS rank
   FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
 
+def hits(news_id: str = "vec_id") -> str:
+    """Every question against every vector, the best five of each."""
+    return f"""{chunks(news_id)}, {QUESTIONS}, {SCORED}"""
+
+
 ENRICHED = f"""{RAW}, {hits("label")},
 covered AS (SELECT query_id, count(DISTINCT news_id) AS articles FROM hits GROUP BY query_id),
 enriched AS (
@@ -120,8 +145,8 @@ texts AS (
 
 BATCHED = f"""{RAW},
 placed AS (
-  SELECT id, id % 8 AS bucket, '標題：' || title || '; 摘要：' || summary AS line,
-    (row_number() OVER (PARTITION BY id % 8 ORDER BY id) - 1) // 15 AS batch
+  SELECT id, id // 480 AS bucket, '標題：' || title || '; 摘要：' || summary AS line,
+    (row_number() OVER (PARTITION BY id // 480 ORDER BY id) - 1) // 15 AS batch
   FROM raw),
 batches AS (
   SELECT bucket, batch, CAST(count(*) AS INTEGER) AS articles,
@@ -133,20 +158,6 @@ CATEGORY = """CASE WHEN contains(line, 'que') THEN '生活' WHEN contains(line,
     WHEN contains(line, 'the') THEN '科技' ELSE '社會' END"""
 
 
-def hashed(table: str, keys: str) -> str:
-    """Tokens hashed into 64 buckets, every bucket of every text."""
-    names = ", ".join(f"t.{k.strip()}" for k in keys.split(","))
-    return f"""tokens AS (
-  SELECT {keys}, unnest(string_split(text, ' ')) AS token FROM {table}),
-counted AS (
-  SELECT {keys}, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS n
-  FROM tokens WHERE token <> '' GROUP BY ALL),
-grid AS (
-  SELECT {names}, CAST(d.dim AS INTEGER) AS dim, coalesce(c.n, 0) AS n
-  FROM {table} t CROSS JOIN (SELECT unnest(range(64)) AS dim) d
-  LEFT JOIN counted c ON c.dim = d.dim AND {" AND ".join(f"c.{k.strip()} = t.{k.strip()}" for k in keys.split(","))})"""
-
-
 REFERENCES = f"""{RAW}, {hits("label")},
 linked AS (
   SELECT h.query_id, CAST(h.rank - 1 AS INTEGER) AS place, h.news_id, 'vector ' || h.id AS title,
@@ -163,7 +174,11 @@ SELECT f.title, f.link, CAST(length(p.html) AS VARCHAR) AS page_length
 FROM feed f LEFT JOIN pages p ON p.url = f.link""",
     "full_articles": f"""WITH {RAW}
 SELECT id, content FROM raw WHERE id IN (SELECT vec_id FROM embeddings)""",
-    "parse_feed_date": """SELECT event_id AS news_id, date_trunc('second', ts) AS published_at FROM events""",
+    "read_feed": f"""WITH {RAW}
+SELECT title || CASE WHEN id % 3 = 0 THEN chr(160) ELSE ' ' END || '& é中' AS title, link || '?a=1&b' AS link,
+  published_at, content AS summary FROM raw""",
+    "parse_feed_date": """SELECT event_id AS news_id, CASE event_id % 4 WHEN 1 THEN date_trunc('minute', ts)
+  WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS published_at FROM events""",
     "append_new": f"""WITH {RAW}
 SELECT id, link, title FROM raw WHERE link NOT IN (SELECT 'doc://' || doc_id FROM labels)""",
     "insert_if_absent": """SELECT conv_id AS news_id, turn, role, text FROM conversations c
@@ -219,6 +234,15 @@ SELECT id AS news_id, '標題：' || title || '; 摘要：' || summary AS summar
     "render_classify_prompt": f"""WITH {BATCHED}
 SELECT bucket, batch, 'Categories: click, view, purchase. Articles: ' || items AS prompt FROM batches""",
     "classify_articles": f"""WITH {BATCHED} SELECT id, {CATEGORY} AS category FROM placed""",
+    "classify_batches": f"""WITH {BATCHED},
+asked AS (
+  SELECT bucket, batch, length('Categories: click, view, purchase. Articles: ' || items) % 5 AS outcome FROM batches)
+SELECT id, CASE outcome WHEN 4 THEN {CATEGORY} WHEN 2 THEN 'JSON_Parse_Error' ELSE 'API_Error' END AS category
+FROM placed JOIN asked USING (bucket, batch)""",
+    "classify_backlog": f"""WITH {BATCHED}
+SELECT id AS news_id, title, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, publisher,
+  {CATEGORY} AS category
+FROM placed JOIN raw USING (id) WHERE id NOT IN (SELECT doc_id FROM labels)""",
     "join_back": f"""WITH {BATCHED}
 SELECT id AS news_id, title, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, publisher,
   {CATEGORY} AS category
@@ -243,14 +267,25 @@ FROM chunked c JOIN raw r ON r.id = c.news_id""",
 lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM grid GROUP BY doc_id)
 SELECT g.doc_id AS news_id, g.dim, round(CAST(CAST(g.n / l.length AS FLOAT) AS DOUBLE), 6) AS value
 FROM grid g JOIN lengths l USING (doc_id) WHERE l.length > 0""",
+    "embed_backlog": f"""WITH RECURSIVE {CHUNKED},
+waiting AS (
+  SELECT news_id, chunk_idx, chunk_text AS text FROM chunked
+  WHERE news_id IN (SELECT event_id FROM events) AND news_id NOT IN (SELECT vec_id FROM embeddings)),
+{hashed("waiting", "news_id, chunk_idx")},
+lengths AS (SELECT news_id, chunk_idx, sqrt(sum(n * n)) AS length FROM grid GROUP BY ALL)
+SELECT g.news_id, g.chunk_idx, g.dim, round(CAST(CAST(g.n / l.length AS FLOAT) AS DOUBLE), 6) AS value
+FROM grid g JOIN lengths l USING (news_id, chunk_idx) WHERE g.n > 0""",
     "embed_queries": f"""WITH {hashed("conversations", "conv_id, turn")}
 SELECT conv_id, turn, dim, CAST(n AS DOUBLE) AS value FROM grid""",
     "cosine_similarity": """SELECT a.vec_id AS id,
   round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "search_top_k": f"""WITH {RAW}, {hits()}
+    "search_top_k": f"""WITH {RAW}, {chunks()},
+questions AS (
+  SELECT vec_id AS query_id, embedding::DOUBLE[] AS embedding FROM embeddings
+  WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), {SCORED}
 SELECT h.rank, h.id, h.news_id, round(h.similarity, 6) AS similarity, h.chunk_text, r.link, h.metadata
-FROM hits h LEFT JOIN raw r ON r.id = h.news_id WHERE h.query_id = (SELECT min(vec_id) FROM embeddings)""",
+FROM hits h LEFT JOIN raw r ON r.id = h.news_id""",
     "search_top_k_batch": f"""WITH {RAW}, {hits()}
 SELECT h.query_id, h.rank, h.id, h.news_id, round(h.similarity, 6) AS similarity, h.chunk_text, r.link, h.metadata
 FROM hits h LEFT JOIN raw r ON r.id = h.news_id""",
@@ -265,11 +300,39 @@ WHERE m.category = 'purchase' AND m.published_at BETWEEN TIMESTAMP '2024-01-05 0
 SELECT count(*) AS total_count FROM metadata
 WHERE publisher = 'u7' AND published_at <= TIMESTAMP '2024-01-20'""",
     "render_answer_prompt": f"""WITH {CONTEXT}
-SELECT query_id, 'Question: What is near vector ' || query_id || '? Articles: ' || context || ' Answer:' AS prompt
-FROM context""",
-    "parse_answer": f"""WITH {hits("label")}
-SELECT query_id, arg_min(chunk_text, rank) AS summary, CAST(count(*) AS INTEGER) AS "references", 'ok' AS status
-FROM hits GROUP BY query_id""",
+SELECT query_id, 'Question: ' || b.text || ' Articles: ' || context || ' Answer:' AS prompt
+FROM context JOIN benchmark b ON b.item_id = query_id""",
+    "parse_answer": f"""WITH {CONTEXT},
+best AS (
+  SELECT query_id, arg_min(chunk_text, rank) AS summary, string_agg(news_id, ',' ORDER BY rank) AS ids
+  FROM hits GROUP BY query_id),
+asked AS (
+  SELECT query_id, length('Question: ' || b.text || ' Articles: ' || context || ' Answer:') % 7 AS outcome
+  FROM context JOIN benchmark b ON b.item_id = query_id)
+SELECT query_id, CASE outcome WHEN 0 THEN '{fv.CALL_ERROR_SUMMARY}' WHEN 1 THEN '{fv.EMPTY_ANSWER_SUMMARY}'
+    WHEN 2 THEN '{fv.BAD_JSON_SUMMARY}' WHEN 3 THEN '{fv.BAD_JSON_SUMMARY}' ELSE summary END AS summary,
+  CASE WHEN outcome > 3 THEN ids ELSE '' END AS "references",
+  CASE outcome WHEN 0 THEN 'error' WHEN 1 THEN 'empty' WHEN 2 THEN 'bad_json' WHEN 3 THEN 'bad_json' ELSE 'ok' END AS status
+FROM asked JOIN best USING (query_id)""",
+    "answer_questions": f"""WITH {RAW},
+{QUESTIONS},
+doc_tokens AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents),
+doc_counts AS (
+  SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS n
+  FROM doc_tokens WHERE token <> '' GROUP BY ALL),
+doc_grid AS (
+  SELECT t.doc_id, d.dim, coalesce(c.n, 0) AS n
+  FROM documents t CROSS JOIN (SELECT unnest(range(64)) AS dim) d
+  LEFT JOIN doc_counts c ON c.dim = d.dim AND c.doc_id = t.doc_id),
+lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM doc_grid GROUP BY doc_id),
+chunks AS (
+  SELECT doc_id AS id, doc_id AS news_id, any_value(r.content) AS chunk_text, '' AS metadata,
+    list(CAST(CAST(n / length AS FLOAT) AS DOUBLE) ORDER BY dim) AS embedding
+  FROM doc_grid JOIN lengths USING (doc_id) JOIN raw r ON r.id = doc_id WHERE length > 0 GROUP BY doc_id), {SCORED}
+SELECT query_id, CAST(count(*) AS INTEGER) AS hits, 'ok' AS status,
+  arg_min(h.chunk_text, rank) || chr(10) || chr(10) || '**參考資料：**' || chr(10)
+    || string_agg('- [' || title || '](' || link || ') - ' || publisher || chr(10), '' ORDER BY rank) AS text
+FROM hits h JOIN raw r ON r.id = h.news_id GROUP BY query_id""",
     "resolve_references": f"""WITH {REFERENCES}
 SELECT query_id, place, news_id, title, publisher, link FROM linked""",
     "render_answer": f"""WITH {REFERENCES},

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.embed import embed_chunks, embed_queries
+from newsloom.providers import HashedTokenEmbedder
+
 
 class Sample:
     """Model tables derived from one folder of Parquet files."""
@@ -74,10 +77,21 @@ class Sample:
             ).alias("metadata"),
         )
 
+    def questions(self) -> DataFrame:
+        return self.table("benchmark").select(
+            F.col("item_id").alias("query_id"), F.col("text").alias("query")
+        )
+
     def queries(self) -> DataFrame:
-        """Every stored vector asks for its neighbours."""
-        return self.table("embeddings").select(
-            F.col("vec_id").alias("query_id"),
-            F.concat(F.lit("What is near vector "), "vec_id", F.lit("?")).alias("query"),
-            "embedding",
+        """Every question with its vector."""
+        return embed_queries(self.questions(), HashedTokenEmbedder(64))
+
+    def document_chunks(self) -> DataFrame:
+        """Every document as one chunk with its vector."""
+        chunks = self.raw().select(
+            "id",
+            F.col("id").alias("news_id"),
+            F.col("content").alias("chunk_text"),
+            F.to_json(F.struct(F.col("id").alias("news_id"), "title", "publisher")).alias("metadata"),
         )
+        return embed_chunks(chunks, HashedTokenEmbedder(64))

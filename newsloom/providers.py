@@ -104,3 +104,42 @@ class FirstHitAnswerer:
             )
 
         return answer
+
+
+class Unsteady:
+    """Another text model that fails now and then, by the length of the prompt, in the way
+    named there: error, empty, one of the texts given, or, for None, not at all."""
+
+    def __init__(self, provider: Callable[[], TextModel], outcomes: Sequence[str | None]):
+        self.provider, self.outcomes = provider, tuple(outcomes)
+
+    def __call__(self) -> TextModel:
+        model = self.provider()
+
+        def answer(prompt: str, payload: str) -> str:
+            outcome = self.outcomes[len(prompt) % len(self.outcomes)]
+            if outcome == "error":
+                raise RuntimeError("the model is away")
+            if outcome == "empty":
+                return ""
+            return model(prompt, payload) if outcome is None else outcome
+
+        return answer
+
+
+class TextIds:
+    """Another text model whose references name their articles by text."""
+
+    def __init__(self, provider: Callable[[], TextModel]):
+        self.provider = provider
+
+    def __call__(self) -> TextModel:
+        model = self.provider()
+
+        def answer(prompt: str, payload: str) -> str:
+            result = json.loads(model(prompt, payload))
+            for reference in result["references"]:
+                reference["news_id"] = str(reference["news_id"])
+            return json.dumps(result, ensure_ascii=False)
+
+        return answer

@@ -69,7 +69,7 @@ def _link(entry: Column) -> Column:
     return F.trim(F.coalesce(_inside(entry, "link"), F.when(address != "", decode_references(address))))
 
 
-def _entries(pieces: DataFrame, row_tag: str) -> DataFrame:
+def entries_of(pieces: DataFrame, row_tag: str) -> DataFrame:
     """One row per entry from texts cut where `<row_tag` stands. Each entry is read by itself,
     so that a broken one leaves its neighbours alone; one that is cut off gives no row."""
     whole = rf"(?s)^(?:\s[^>]*)?>(.*?)</{row_tag}\s*>"
@@ -91,7 +91,7 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     `row_tag` is `item` for RSS and `entry` for Atom. Files are split where entries begin,
     so that one file may be read by many tasks.
     """
-    return _entries(spark.read.text(path, lineSep=f"<{row_tag}"), row_tag)
+    return entries_of(spark.read.text(path, lineSep=f"<{row_tag}"), row_tag)
 
 
 def read_feed_stream(
@@ -101,7 +101,7 @@ def read_feed_stream(
     reader = spark.readStream.option("lineSep", f"<{row_tag}")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _entries(reader.text(path), row_tag)
+    return entries_of(reader.text(path), row_tag)
 
 
 def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:
@@ -118,4 +118,8 @@ def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) ->
         pages = pages.groupBy("url").agg(latest).select(
             "url", *[F.col(f"_page.`{c}`").alias(c) for c in rest]
         )
-    return feed.join(pages, F.col("link") == F.col("url"), "left").select(*feed.columns, *rest)
+    # The second key keeps the join in a stage behind the one that picks pages, where a link
+    # that very many entries share can be split.
+    pages = pages.withColumn("_hash", F.xxhash64("url"))
+    same = (F.col("link") == F.col("url")) & (F.xxhash64("link") == F.col("_hash"))
+    return feed.join(pages, same, "left").select(*feed.columns, *rest)
