@@ -3,8 +3,8 @@
 Words become numbers in order of first sight. Windows of each n-gram length get a rolling
 hash: the hash of n words is that of the first n - 1 times a factor plus the next word, so
 that one array operation per length covers the whole text. Equal hashes are found by
-sorting and compared word by word. Characters of words inside a repeated window count once,
-however many windows cover them. A longer window can only repeat where a shorter one does,
+sorting and compared word by word. Characters of words inside a window that occurred before
+count once, however many windows cover them; first occurrences are no repetition. A longer window can only repeat where a shorter one does,
 so that lengths after one without repeats are not looked at.
 """
 
@@ -35,10 +35,19 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ngram_share double, line_share double, base_failed boolean, kept boolean"
 
 
-def repeated_words(ids: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray]:
-    """Per length, which words lie in a window of so many words that occurs twice or more.
-    Lengths that cannot repeat, as a shorter one does not, are left out."""
-    found: dict[int, np.ndarray] = {}
+def _covered(words: int, starts: np.ndarray, n: int) -> np.ndarray:
+    """Words inside the windows of n words at `starts`."""
+    change = np.zeros(words + 1, np.int64)
+    change[starts] += 1
+    change[starts + n] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def repeated_words(ids: np.ndarray, lengths: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length, which words lie in a window of so many words that occurs twice or more,
+    and which in one that occurred before. Lengths that cannot repeat, as a shorter one does
+    not, are left out."""
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(32)
     hashes, at = mixed, 1
@@ -54,19 +63,16 @@ def repeated_words(ids: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndar
         if not same.any():
             break
         windows = np.lib.stride_tricks.sliding_window_view(ids, n)
-        a, b = order[:-1][same], order[1:][same]
-        if (windows[a] != windows[b]).any():  # two windows share a hash
-            _, number, count = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
-            starts = np.flatnonzero(count[number.ravel()] > 1)
-        else:
-            starts = np.unique(np.concatenate((a, b)))
-        change = np.zeros(len(ids) + 1, np.int64)
-        change[starts] += 1
-        change[starts + n] -= 1
-        covered = np.cumsum(change[:-1]) > 0
-        if not covered.any():
+        often, later = np.unique(np.concatenate((order[:-1][same], order[1:][same]))), order[1:][same]
+        if (windows[order[:-1][same]] != windows[later]).any():  # two windows share a hash
+            _, first, number, count = np.unique(
+                windows, axis=0, return_index=True, return_inverse=True, return_counts=True
+            )
+            often = np.flatnonzero(count[number.ravel()] > 1)
+            later = np.setdiff1d(often, first)
+        if not len(often):
             break
-        found[n] = covered
+        found[n] = _covered(len(ids), often, n), _covered(len(ids), later, n)
     return found
 
 
@@ -79,7 +85,7 @@ def measures(text: str | None) -> tuple:
     chars = np.fromiter(map(len, words), np.int64, len(words))
     word_chars = int(chars.sum())
     found = repeated_words(ids, sorted({BASE_LENGTH, *NGRAM_SHARES})) if len(numbers) < len(words) else {}
-    repeats = int(found[BASE_LENGTH].sum()) if BASE_LENGTH in found else 0
+    repeats = int(found[BASE_LENGTH][0].sum()) if BASE_LENGTH in found else 0
 
     seen: set[str] = set()
     dup_lines = dup_chars = 0
@@ -90,7 +96,7 @@ def measures(text: str | None) -> tuple:
         elif _WORD.search(line):
             seen.add(line)
     line_share = dup_chars / len(text) if text else 0.0
-    shares = {n: int(chars[covered].sum()) / word_chars for n, covered in found.items()}
+    shares = {n: int(chars[later].sum()) / word_chars for n, (_, later) in found.items()}
     base_failed = len(words) < MIN_WORDS or 100 * repeats > 20 * len(words)
     repetitive = line_share > LINE_SHARE or any(shares.get(n, 0.0) > most for n, most in NGRAM_SHARES.items())
     return (

@@ -140,3 +140,18 @@ def test_map_versions(spark, tmp_path):
     assert sum(grown[i] == 8 for i in moved) > 0.9 * len(moved)
     assert [sharding.read_map(spark, path, v).count() for v in (1, 2, 3)] == [sharding.SLOTS] * 3
     assert sharding.read_map(spark, path).first().version == 3
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch, documents):
+    import numpy as np
+
+    texts = [r.text for r in documents.collect() if len(r.text or "") < 5000] + ["a b c d e f a b c d e g h a b c d"]
+    expected = [repetition.measures(t) for t in texts]
+    monkeypatch.setattr(repetition, "_MIX", np.uint64(0))
+    assert [repetition.measures(t) for t in texts] == expected
+
+
+def test_first_occurrences_are_no_repetition():
+    words = [f"w{i}" for i in range(90)]
+    m = repetition.measures(" ".join([*words, *words[:10]]))
+    assert (m[4], m[5]) == (20, pytest.approx(sum(map(len, words[:10])) / m[1]))
