@@ -24,3 +24,12 @@ def column(name: str) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def join_apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join with what an aggregation by `key` gave. The key's hash as a second key
+    keeps the join in a stage behind the aggregation, where adaptive execution can split a
+    key that very many rows of `left` share."""
+    apart = free_name(left, "key_hash")
+    hashed = F.xxhash64(column(key))
+    return left.withColumn(apart, hashed).join(right.withColumn(apart, hashed), [key, apart]).drop(apart)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import join_apart
 from newsloom.session import materialize
 
 
@@ -22,7 +23,7 @@ def _smallest(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
     return (
-        both.join(_smallest(both), "node")
+        join_apart(both, _smallest(both), "node")
         .filter("other > node")
         .select(F.col("other").alias("node"), F.col("least").alias("other"))
         .filter("node <> other")
@@ -34,7 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
     least = _smallest(down)
     moved = (
-        down.join(least, "node")
+        join_apart(down, least, "node")
         .select(F.col("other").alias("node"), F.col("least").alias("other"))
         .unionByName(least.select("node", F.col("least").alias("other")))
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import bloom
-from newsloom.llm.common import column, free_name
+from newsloom.llm.common import column, free_name, join_apart
 from newsloom.session import materialize
 
 def mark_copies(
@@ -56,7 +56,7 @@ def mark_copies(
     groups = documents.groupBy("text_sha256").agg(
         F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")
     )
-    grouped = documents.join(groups, "text_sha256").select(
+    grouped = join_apart(documents, groups, "text_sha256").select(
         "doc_id",
         "keep_id",
         "group_size",
