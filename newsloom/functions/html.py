@@ -1,6 +1,6 @@
-"""Page parsing. Nesting, quoting and character references are beyond regular
-expressions, so this one step runs in Python, over Arrow batches and once per page;
-everything derived from its three strings is a Spark expression.
+"""Page parsing. Scripts are cut out by expressions. Nesting and character references are
+beyond those, so the body is read in Python, over Arrow batches and once per page, up to the
+end of the container.
 """
 
 from __future__ import annotations
@@ -14,8 +14,25 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 
-PAGE_PARTS = "struct<json_ld: string, body: string, description: string>"
-_PA_PARTS = pa.struct([("json_ld", pa.string()), ("body", pa.string()), ("description", pa.string())])
+PAGE_PARTS = "struct<body: string, description: string>"
+_PA_PARTS = pa.struct([("body", pa.string()), ("description", pa.string())])
+
+# Comments and scripts in the order of the page, so that neither hides in the other.
+_SCRIPTS = r"""(?is)<!--.*?(?:-->|\z)|<script(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>.*?(?:</script\s*>|\z)"""
+_JSON_LD = (
+    r"""(?is)^<script\s(?:[^>"']++|"[^"]*+"|'[^']*+')*?(?-i:\btype)\s*=\s*"""
+    r"""(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))"""
+    r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>(.*?)(?:</script\s*>|\z)"""
+)
+
+
+def json_ld_text(html: Column) -> Column:
+    """Text of the page's first linked-data script; null without one."""
+    linked = F.filter(
+        F.regexp_extract_all(html, F.lit(_SCRIPTS), F.lit(0)), lambda script: script.rlike(_JSON_LD)
+    )
+    return F.regexp_extract(F.try_element_at(linked, F.lit(1)), _JSON_LD, 1)
+
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -23,12 +40,12 @@ _VOID = frozenset(
 
 
 class _Complete(Exception):
-    """The container and the linked data are read; the rest of the page is of no use."""
+    """The container is read; the rest of the page is of no use."""
 
 
 class _PageReader(HTMLParser):
-    """Collects the first JSON-LD script, the paragraph text of the first container
-    and the first meta description of one page."""
+    """Collects the paragraph text of the first container and the first meta description
+    of one page."""
 
     def __init__(self, tag: str, css_class: str | None):
         super().__init__(convert_charrefs=True)
@@ -38,8 +55,6 @@ class _PageReader(HTMLParser):
         self.closed = False
         self.paragraphs = 0  # open <p> inside the container
         self.text: list[str] = []
-        self.json_ld: str | None = None
-        self.in_json_ld = False
         self.description: str | None = None
         self.seen_description = False
 
@@ -50,8 +65,6 @@ class _PageReader(HTMLParser):
             self.description = (given["content"] or "") if "content" in given else None
         if tag in _VOID:
             return
-        if tag == "script" and self.json_ld is None and given.get("type") == "application/ld+json":
-            self.in_json_ld, self.json_ld = True, ""
         if self.base is None:
             if tag == self.tag and (
                 self.css_class is None or self.css_class in (given.get("class") or "").split()
@@ -72,32 +85,28 @@ class _PageReader(HTMLParser):
         inside = self.base is not None and not self.closed
         while True:
             popped = self.open_tags.pop()
-            if popped == "script":
-                self.in_json_ld = False
             if inside and len(self.open_tags) == self.base:
                 self.closed, inside = True, False
             elif inside and popped == "p":
                 self.paragraphs -= 1
             if popped == tag:
                 break
-        if self.closed and self.json_ld is not None and not self.in_json_ld:
+        if self.closed:
             raise _Complete
 
     def handle_data(self, data):
-        if self.in_json_ld:
-            self.json_ld += data
         if self.base is not None and not self.closed and self.paragraphs:
             if self.open_tags[-1] not in ("script", "style"):
                 self.text.append(data)
 
-    def parts(self) -> tuple[str | None, str | None, str | None]:
-        return self.json_ld, "".join(self.text) if self.base is not None else None, self.description
+    def parts(self) -> tuple[str | None, str | None]:
+        return "".join(self.text) if self.base is not None else None, self.description
 
 
 def page_parts(
     html: Column, tag: str = fv.CONTAINER_TAG, css_class: str | None = fv.CONTAINER_CLASS
 ) -> Column:
-    """`struct<json_ld, body, description>` of a page; null for a null page.
+    """`struct<body, description>` of a page; null for a null page.
 
     `body` is null when the container is missing and `''` when it holds no
     paragraph text. Text under several open paragraphs counts once. `description` stands
@@ -118,7 +127,7 @@ def page_parts(
                     reader.close()
                 except _Complete:
                     pass
-                rows.append(dict(zip(("json_ld", "body", "description"), reader.parts())))
+                rows.append(dict(zip(("body", "description"), reader.parts())))
             yield pa.array(rows, type=_PA_PARTS)
 
     return read(html)

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.functions.html import page_parts
+from newsloom.functions.html import json_ld_text, page_parts
 
 _PARTY = "struct<`@type`: string, name: string>"
 _LINKED_DATA = f"creator {_PARTY}, provider {_PARTY}"
 
 
-def first_json_ld(parts: Column) -> Column:
+def first_json_ld(html: Column) -> Column:
     """JSON text of the page's first linked-data script."""
-    return parts["json_ld"]
+    return json_ld_text(html)
 
 
 def resolve_publisher(json_ld: Column) -> Column:
@@ -46,10 +46,14 @@ def extract_pages(
 ) -> DataFrame:
     """Replace the HTML column by `publisher` and `content`."""
     rest = [c for c in pages.columns if c != html]
-    parsed = pages.select(*rest, page_parts(F.col(html), tag, css_class).alias("_parts"))
+    parsed = pages.select(
+        *rest,
+        first_json_ld(F.col(html)).alias("_json_ld"),
+        page_parts(F.col(html), tag, css_class).alias("_parts"),
+    )
     parts = F.col("_parts")
     return parsed.select(
         *rest,
-        resolve_publisher(first_json_ld(parts)).alias("publisher"),
+        resolve_publisher(F.col("_json_ld")).alias("publisher"),
         body_fallback(parts).alias("content"),
     )

@@ -126,8 +126,11 @@ def append_new(s: Sample) -> DataFrame:
 
 @_query
 def insert_if_absent(s: Sample) -> DataFrame:
-    turns = s.table("conversations").withColumnRenamed("conv_id", "news_id")
-    return unseen(first_per_key(turns, "news_id", "turn"), s.labelled(), "news_id", null_safe=False)
+    """Turns of conversations, every seventh without a key: those are all kept."""
+    key = F.when(F.col("conv_id") % 7 != 3, F.col("conv_id")).alias("news_id")
+    turns = s.table("conversations").select(key, "turn", "role", "text")
+    first = first_per_key(turns, "news_id", "turn", nulls_distinct=True)
+    return unseen(first, s.labelled(), "news_id", null_safe=False)
 
 
 @_query
@@ -180,17 +183,22 @@ def stringify_timestamp_(s: Sample) -> DataFrame:
 
 
 def _marked_pages(s: Sample) -> DataFrame:
-    """Pages with linked data and a description, both made from their address."""
+    """The pages with linked data and a description made from their address put into their
+    heads, and the articles of every other page in the container."""
     secure = F.col("url").startswith("https")
     party = F.when(secure, "Organization").otherwise("Person")
+    head = F.concat(
+        F.lit("<head><!-- <script type='application/ld+json'>{}</script> --><script type='application/ld+json' id='>'>"),
+        F.lit('{"creator":{"@type":"'), party,
+        F.lit('","name":"'), "url", F.lit('"},"provider":{"@type":"Organization","name":"page '),
+        "page_id", F.lit('"}}</script><meta content="'), "url", F.lit('" name="description">'),
+    )
+    page = F.replace("html", F.lit("<head>"), head)
+    held = F.replace(
+        F.replace(page, F.lit("<article>"), F.lit("<div class='x atoms'>")), F.lit("</article>"), F.lit("</div>")
+    )
     return s.table("pages").select(
-        "page_id",
-        F.concat(
-            F.lit('<script type="application/ld+json">{"creator":{"@type":"'), party,
-            F.lit('","name":"'), "url", F.lit('"},"provider":{"@type":"Organization","name":"page '),
-            "page_id", F.lit('"}}</script><meta name="description" content="'), "url", F.lit('">'),
-            "html",
-        ).alias("html"),
+        "page_id", F.when(F.col("page_id") % 2 == 0, held).otherwise(page).alias("html")
     )
 
 
@@ -203,7 +211,7 @@ def article_body(s: Sample) -> DataFrame:
 @_query
 def first_json_ld(s: Sample) -> DataFrame:
     return _marked_pages(s).select(
-        "page_id", extract.first_json_ld(page_parts(F.col("html"))).alias("json_ld")
+        "page_id", extract.first_json_ld(F.col("html")).alias("json_ld")
     )
 
 

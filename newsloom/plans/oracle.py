@@ -181,9 +181,13 @@ SELECT title || CASE WHEN id % 3 = 0 THEN chr(160) ELSE ' ' END || '& é中' AS
   WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS published_at FROM events""",
     "append_new": f"""WITH {RAW}
 SELECT id, link, title FROM raw WHERE link NOT IN (SELECT 'doc://' || doc_id FROM labels)""",
-    "insert_if_absent": """SELECT conv_id AS news_id, turn, role, text FROM conversations c
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.conv_id)
-QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""",
+    "insert_if_absent": """WITH turns AS (
+  SELECT CASE WHEN conv_id % 7 <> 3 THEN conv_id END AS news_id, turn, role, text FROM conversations)
+SELECT * FROM turns WHERE news_id IS NULL
+UNION ALL
+(SELECT * FROM turns t
+WHERE news_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.news_id)
+QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY turn) = 1)""",
     "update_by_key": f"""WITH {RAW},
 latest AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id)
 SELECT r.id, r.title, CASE WHEN l.conv_id IS NULL THEN r.publisher ELSE l.text END AS publisher
@@ -226,8 +230,10 @@ SELECT a.page_id, coalesce(t.content, '') AS content FROM article a LEFT JOIN te
     "first_json_ld": """SELECT page_id, '{"creator":{"@type":"'
   || CASE WHEN url LIKE 'https%' THEN 'Organization' ELSE 'Person' END || '","name":"' || url
   || '"},"provider":{"@type":"Organization","name":"page ' || page_id || '"}}' AS json_ld FROM pages""",
-    "extract_pages": """SELECT page_id, CASE WHEN url LIKE 'https%' THEN url ELSE 'page ' || page_id END AS publisher,
-  url AS content FROM pages""",
+    "extract_pages": f"""WITH {BODY}
+SELECT page_id, CASE WHEN p.url LIKE 'https%' THEN p.url ELSE 'page ' || page_id END AS publisher,
+  CASE WHEN page_id % 2 = 0 AND a.tokens IS NOT NULL THEN coalesce(t.content, '') ELSE p.url END AS content
+FROM pages p LEFT JOIN article a USING (page_id) LEFT JOIN texts t USING (page_id)""",
     "classifier_text": f"""WITH {RAW}
 SELECT id AS news_id, '標題：' || title || '; 摘要：' || summary AS summary FROM raw""",
     "make_batches": f"""WITH {BATCHED} SELECT bucket, batch, articles, items FROM batches""",

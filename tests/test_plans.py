@@ -12,7 +12,7 @@ from newsloom.operators.upsert import first_per_key, unseen
 from newsloom.plans.catalog import registered
 from newsloom.plans.sample import Sample
 
-PYTHON = {"article_body", "first_json_ld", "extract_pages", "classify_articles", "join_back", "embed_chunks",
+PYTHON = {"article_body", "extract_pages", "classify_articles", "join_back", "embed_chunks",
           "embed_queries", "parse_answer", "resolve_references", "render_answer",
           "classify_batches", "classify_backlog", "embed_backlog"}
 
