@@ -8,8 +8,8 @@ is a template of its own, with its digits as fields. A template that occurs in s
 documents is recurring: its first line stays, all others are dropped.
 
 What shuffles for each line is its place and two hashes. Only lines of leaves that hold
-more than one text and several documents are compared as text; a Bloom filter of these
-leaves, of bounded size, finds them in the scan.
+more than one text and several documents are compared as text, each text once; a Bloom
+filter of their places, of bounded size, finds them in a second scan.
 """
 
 from __future__ import annotations
@@ -31,27 +31,43 @@ _BLANK = r"[\x20\x09-\x0D]"
 _DIGIT_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
+def tidy(line: Column) -> Column:
+    """The line with one blank between tokens. Most lines are tidy, which plain searches tell."""
+    untidy = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+    for blank in "\t\v\f\r":
+        untidy = untidy | F.contains(line, F.lit(blank))
+    return F.when(untidy, F.trim(F.regexp_replace(line, f"{_BLANK}+", " "))).otherwise(line)
+
+
 def masked(line: Column) -> Column:
-    """The line with one blank between tokens and a field for each token with a digit."""
-    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGIT_TOKEN, FIELD)).otherwise(line)
-    untidy = line.rlike(rf"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
-    return F.when(
-        untidy, F.trim(F.regexp_replace(line, f"{_BLANK}+", " "))
-    ).otherwise(line)
+    """The line with a field for each token with a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGIT_TOKEN, FIELD)).otherwise(line)
 
 
-def _parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
+def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = column(text_col)
-    rows = docs.select(
+    return docs.select(
         column(id_col).alias("doc_id"),
         F.xxhash64(text).alias("text_key"),
         F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
-    ).select("doc_id", "text_key", "line_no", masked(F.col("line")).alias("line"))
+    )
+
+
+def _parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return rows.withColumn("tokens", tokens).filter(F.col("tokens") >= min_tokens).select(
-        "*",
-        F.xxhash64("tokens", F.substring_index("line", " ", depth)).alias("leaf"),
-        F.xxhash64("line").alias("line_key"),
+    return (
+        _cut(docs, id_col, text_col)
+        .withColumn("line", tidy(F.col("line")))
+        .withColumn("tokens", tokens)
+        .filter(F.col("tokens") >= min_tokens)
+        .withColumn("line", masked(F.col("line")))
+        .select(
+            "doc_id",
+            "text_key",
+            "line_no",
+            F.xxhash64("tokens", F.substring_index("line", " ", depth)).alias("leaf"),
+            F.xxhash64("line").alias("line_key"),
+        )
     )
 
 
@@ -70,8 +86,7 @@ def line_templates(
     Rows that repeat id and text are one document. Null texts have no lines; shorter lines,
     empty ones among them, have no template. Null ids are ids and come first.
     """
-    parsed = _parsed(docs, id_col, text_col, depth, min_tokens)
-    lines = materialize(parsed.select("doc_id", "text_key", "line_no", "leaf", "line_key"), "lines")
+    lines = materialize(_parsed(docs, id_col, text_col, depth, min_tokens), "lines")
     document = ["doc_id", "text_key"]
     leaves = (
         lines.groupBy("leaf", *document)
@@ -81,23 +96,33 @@ def line_templates(
         .filter((F.col("n_docs") >= min_docs) & (F.col("low") < F.col("high")))
         .select("leaf")
     )
-    leaves = materialize(leaves, "leaves")
-    bits = bloom.bits_for(leaves.count())
-    words = materialize(bloom.filter_of(leaves, "leaf", bits), "bloom")
-    texts = (
-        bloom.tested(parsed, "leaf", words, bits, "maybe")
+    # one place at which each text of these leaves can be read
+    place = F.xxhash64("text_key", "line_no")
+    places = materialize(
+        lines.join(leaves, "leaf", "left_semi")
+        .groupBy("leaf", "line_key")
+        .agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")),
+        "places",
+    )
+    bits = bloom.bits_for(places.count())
+    words = materialize(bloom.filter_of(places, "place", bits), "bloom")
+    texts = materialize(
+        bloom.tested(_cut(docs, id_col, text_col).withColumn("place", place), "place", words, bits, "maybe")
         .filter("maybe")
+        .select("place", masked(tidy(F.col("line"))).alias("line"))
+        .join(places, "place")
         .groupBy("leaf", "line_key")
-        .agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
+        .agg(F.first("line").alias("line"), F.first("n").alias("n")),
+        "texts",
     )
-    texts = materialize(texts, "texts")
     seeds = texts.groupBy("leaf").agg(F.max_by("line", F.struct("n", "line")).alias("seed"))
     pairs = F.arrays_zip(F.split("line", " ").alias("a"), F.split("seed", " ").alias("b"))
     equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    joined = (
+    joined = materialize(
         texts.join(seeds, "leaf")
         .filter(equal >= agree * F.size(F.split("line", " ")))
-        .select("leaf", "line_key", F.lit(True).alias("joins"))
+        .select("leaf", "line_key", F.lit(True).alias("joins")),
+        "joined",
     )
     template = F.when(F.col("joins"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "line_key"))
     named = materialize(
@@ -106,12 +131,14 @@ def line_templates(
         ),
         "templates",
     )
-    recurring = (
+    # a table of its own, so that a join may split a template with very many lines
+    recurring = materialize(
         named.groupBy("template", *document)
         .agg(F.min("line_no").alias("line_no"))
         .groupBy("template")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct(*document, "line_no")).alias("first"))
-        .filter(F.col("n_docs") >= min_docs)
+        .filter(F.col("n_docs") >= min_docs),
+        "recurring",
     )
     return named, recurring
 
