@@ -14,18 +14,22 @@ from newsloom.functions.text import strip
 from newsloom.providers import Embedder
 
 
-def _encode(embed: Embedder, texts: list[str]) -> list[np.ndarray | None]:
+def _encode(
+    embed: Embedder, texts: list[str], fail_fast: bool, dim: int | None
+) -> list[np.ndarray | None]:
     """Vectors of `texts`; if the batch fails each text is tried alone, and one that
-    fails by itself has none."""
+    fails by itself has none, or ends the job if `fail_fast`."""
     try:
         vectors = np.asarray(embed(texts), dtype=np.float64)
-        if vectors.ndim == 2 and len(vectors) == len(texts):
-            return list(vectors)
+        if vectors.ndim != 2 or len(vectors) != len(texts) or dim not in (None, vectors.shape[1]):
+            raise ValueError(f"vectors of shape {vectors.shape} for {len(texts)} texts, dim {dim}")
+        return list(vectors)
     except Exception:
-        pass
-    if len(texts) == 1:
-        return [None]
-    return [vector for text in texts for vector in _encode(embed, [text])]
+        if len(texts) == 1:
+            if fail_fast:
+                raise
+            return [None]
+    return [vector for text in texts for vector in _encode(embed, [text], fail_fast, dim)]
 
 
 def _unit(vector: np.ndarray) -> np.ndarray:
@@ -34,7 +38,12 @@ def _unit(vector: np.ndarray) -> np.ndarray:
 
 
 def vectors_of(
-    text: Column, provider: Callable[[], Embedder], normalize: bool, batch_size: int = 256
+    text: Column,
+    provider: Callable[[], Embedder],
+    normalize: bool,
+    batch_size: int = 256,
+    fail_fast: bool = False,
+    dim: int | None = None,
 ) -> Column:
     """`array<float>` per text; null for null texts and for texts the model failed on."""
 
@@ -47,7 +56,7 @@ def vectors_of(
             out: list[np.ndarray | None] = [None] * len(texts)
             for lo in range(0, len(filled), batch_size):
                 part = filled[lo : lo + batch_size]
-                for i, vector in zip(part, _encode(embed, [texts[i] for i in part])):
+                for i, vector in zip(part, _encode(embed, [texts[i] for i in part], fail_fast, dim)):
                     if vector is not None:
                         out[i] = (_unit(vector) if normalize else vector).astype(np.float32)
             yield pa.array(out, type=pa.list_(pa.float32()))
@@ -61,15 +70,19 @@ def embed_chunks(
     provider: Callable[[], Embedder],
     text: str = "chunk_text",
     parallelism: int | None = None,
+    fail_fast: bool = False,
+    dim: int | None = None,
 ) -> DataFrame:
-    """Add `embedding`, of unit length; blank text has none and keeps its row.
+    """Add `embedding`, of unit length; blank text has none and keeps its row. A text that
+    the model fails on, or gives a vector of another length than `dim`, has none either, or
+    ends the job if `fail_fast`.
 
     Rows are spread over `parallelism` tasks first, by default as many as a shuffle has,
     since inputs behind a limit sit in one.
     """
     chunks = spread(chunks, parallelism)
     filled = F.when(strip(F.col(text)) != "", F.col(text))
-    return chunks.withColumn("embedding", vectors_of(filled, provider, normalize=True))
+    return chunks.withColumn("embedding", vectors_of(filled, provider, normalize=True, fail_fast=fail_fast, dim=dim))
 
 
 def embed_queries(

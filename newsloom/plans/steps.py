@@ -99,6 +99,8 @@ def embed_step(
     terminator: str = fv.SENTENCE_TERMINATOR,
     parallelism: int | None = None,
     require_metadata: bool = True,
+    fail_fast: bool = False,
+    dim: int | None = None,
 ) -> int:
     """Chunk and embed the articles without chunks and store the rows; returns their
     number. The write is committed whole, so a failed run is simply run again."""
@@ -112,7 +114,8 @@ def embed_step(
     pieces = chunk.chunk_metadata(
         chunk.chunk_articles(waiting, max_length, overlap, delimiters, terminator)
     )
-    return append(embed.embed_chunks(pieces, provider, parallelism=parallelism), chunks, id_col="id")
+    vectors = embed.embed_chunks(pieces, provider, parallelism=parallelism, fail_fast=fail_fast, dim=dim)
+    return append(vectors, chunks, id_col="id")
 
 
 def answer_queries(

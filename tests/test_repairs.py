@@ -144,3 +144,22 @@ def test_steps_leave_no_copies(spark, tmp_path):
     assert embed_step(spark, raw, metadata, chunks, HashedTokenEmbedder(8)) == 4
     assert sorted(r.id for r in spark.read.parquet(metadata).collect()) == [1, 2, 3, 4]
     assert set(os.listdir(folder)) == before
+
+
+def test_a_broken_model_may_end_the_job(spark):
+    from newsloom.operators.embed import embed_chunks
+
+    def broken():
+        def embed(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("bad text")
+            return [[1.0, 0.0]] * len(texts)
+
+        return embed
+
+    chunks = spark.createDataFrame([(1, "good"), (2, "bad")], "id bigint, chunk_text string")
+    got = {r.id: r.embedding for r in embed_chunks(chunks, broken).collect()}
+    assert got == {1: [1.0, 0.0], 2: None}
+    assert {r.embedding for r in embed_chunks(chunks, broken, dim=3).select("embedding").collect()} == {None}
+    with pytest.raises(Exception, match="bad text"):
+        embed_chunks(chunks, broken, fail_fast=True).collect()
