@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import column, free_name
+from newsloom.llm.common import column, free_name, join_apart
 from newsloom.llm.components import connected_components
 from newsloom.session import materialize
 
@@ -247,7 +247,7 @@ def near_duplicates(
         "value", "first_id", F.coalesce("least", "value").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("value", "component_id")
+    labels = join_apart(rooted, least, "root").select("value", "component_id")
     return marked.join(labels, "value").select(
         "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -257,16 +257,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents whose id is the smallest of their component, with all their columns.
 
     Ids are taken to be unique; rows that repeat the id of one that stays count as one with
-    it and are all dropped but one of each text. Components without any id are kept whole."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    it and are all dropped but one. Components without any id are kept whole."""
+    found = materialize(near_duplicates(docs, id_col, text_col, **options), "found")
     gone_id = free_name(docs, "gone_id")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
     kept = docs.join(gone, column(id_col).eqNullSafe(F.col(gone_id)), "left_anti")
     doubled = free_name(docs, "doubled_id")
-    again = (
+    again = materialize(
         found.filter(F.col("doc_id") == F.col("component_id"))
-        .groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doubled))
+        .groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doubled)),
+        "doubled",
     )
+    if again.isEmpty():  # ids are unique, as they should be: texts are joined once
+        return kept
     same = column(id_col) == F.col(doubled)
     return kept.join(again, same, "left_anti").unionByName(
         kept.join(again, same, "left_semi").dropDuplicates([id_col])
