@@ -71,7 +71,8 @@ def op5_bloom_dedup(docs: DataFrame) -> DataFrame:
 
 @_query
 def op6_backoff_scores(docs: DataFrame) -> DataFrame:
-    return ngram_lm.backoff_scores(docs)
+    scores = ngram_lm.backoff_scores(docs)
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 @_query

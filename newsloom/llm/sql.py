@@ -89,3 +89,74 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+SQL["op3_repetition_rules"] = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), windows AS (
+    SELECT doc_id, n, i, words[i : i + n - 1] AS part
+    FROM cut, (SELECT unnest(range(5, 11)) AS n), LATERAL (SELECT unnest(range(1, len(words) - n + 2)) AS i)
+), marked AS (
+    SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, part) AS often,
+           row_number() OVER (PARTITION BY doc_id, n, part ORDER BY i) AS turn
+    FROM windows
+), inside AS (
+    SELECT DISTINCT doc_id, n, turn > 1 AS later, unnest(range(i, i + n)) AS j FROM marked WHERE often > 1
+), repeated AS (
+    SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM inside WHERE n = 5 GROUP BY doc_id
+), shares AS (
+    SELECT doc_id, n, sum(length(words[j])) / list_sum(list_transform(any_value(words), lambda w: length(w))) AS share
+    FROM inside JOIN cut USING (doc_id) WHERE later GROUP BY doc_id, n
+), worst AS (
+    SELECT doc_id, max(share) FILTER (n = 5) AS ngram_share,
+           bool_or(share > [0.15, 0.14, 0.13, 0.12, 0.11, 0.10][n - 4]::DOUBLE) AS repetitive
+    FROM shares GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS i FROM cut
+), again AS (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS turn
+    FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+    SELECT doc_id, count(*) AS n_dup_lines, sum(length(line)) AS chars FROM again WHERE turn > 1 GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+           CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+           coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+           coalesce(CAST(ngram_share AS DOUBLE), 0) AS ngram_share,
+           coalesce(CAST(chars AS DOUBLE) / length(text), 0) AS line_share, coalesce(repetitive, false) AS repetitive
+    FROM cut LEFT JOIN repeated USING (doc_id) LEFT JOIN worst USING (doc_id) LEFT JOIN dup USING (doc_id)
+), judged AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ngram_share, line_share, base_failed,
+       NOT (base_failed OR repetitive OR line_share > 0.2) AS kept
+FROM judged
+"""
+
+SQL["op6_backoff_scores"] = r"""
+WITH cut AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM cut
+), pairs AS (
+    SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM placed
+), counted AS (
+    SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others,
+           count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS one,
+           count(*) OVER (PARTITION BY prev, word) - count(*) OVER (PARTITION BY doc_id, prev, word) AS two
+    FROM pairs
+), scored AS (
+    SELECT doc_id, CASE WHEN prev IS NOT NULL AND two > 0
+               THEN two / lag(one) OVER (PARTITION BY doc_id ORDER BY i)
+               ELSE CASE WHEN prev IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END * greatest(one, 1) / (others + 1) END AS score
+    FROM counted
+), summed AS (
+    SELECT doc_id, count(*) AS n_words, sum(ln(score)) AS total FROM scored GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(total, 0), 6) AS log_score,
+       round(total / n_words, 6) AS mean_log_score
+FROM documents d LEFT JOIN summed USING (doc_id)
+"""
