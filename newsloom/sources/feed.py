@@ -14,8 +14,9 @@ _TITLE = ("title",)
 _DATE = ("pubDate", "dc:date", "published", "updated")
 _SUMMARY = ("description", "summary", "content")
 
-# Names of characters in HTML, the five of XML among them.
-_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_XML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+# Names of characters in HTML.
+_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | _XML_NAMES
 _PIECE = r"&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
 
@@ -30,7 +31,10 @@ def decode_references(text: Column) -> Column:
         ).otherwise(F.regexp_extract(piece, "&#([0-9]+);", 1)).try_cast("int")
         known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         numbered = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
-        return F.when(F.startswith(piece, F.lit("&#")), F.coalesce(numbered, piece)).when(
+        plain = F.when(~F.startswith(piece, F.lit("&")), piece)  # the map is searched for rare names only
+        for name, mark in _XML_NAMES.items():
+            plain = plain.when(piece == f"&{name};", mark)
+        return plain.when(F.startswith(piece, F.lit("&#")), F.coalesce(numbered, piece)).when(
             F.startswith(piece, F.lit("&")),
             F.coalesce(F.try_element_at(names, F.substring_index(F.substring(piece, 2, 40), ";", 1)), piece),
         ).otherwise(piece)
@@ -39,49 +43,59 @@ def decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
-def _inside(entry: Column, element: str) -> Column:
-    """Text between the first tags of an element: marked sections as they are, references
-    decoded in the rest. Null if there is none or it is empty."""
-    body = F.regexp_extract(entry, rf"(?s)<{element}(?:\s[^>]*)?(?<!/)>(.*?)</{element}\s*>", 1)
-    sections = F.regexp_extract_all(body, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|(?:(?!<!\[CDATA\[).)+"), F.lit(0))
-    text = F.array_join(
-        F.transform(
-            sections,
-            lambda x: F.when(
-                x.startswith("<![CDATA["), F.regexp_extract(x, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
-            ).otherwise(decode_references(x)),
-        ),
-        "",
+def _body(entry: Column, elements: tuple[str, ...]) -> Column:
+    """What stands between the tags of the first of some elements that is there and not empty."""
+    return F.coalesce(
+        *[
+            F.nullif(
+                F.regexp_extract(entry, rf"(?s)<{e}(?:\s[^>]*)?(?<!/)>(.*?)</{e}\s*>", 1), F.lit("")
+            )
+            for e in elements
+        ]
     )
-    return F.when(text != "", text)
 
 
-def _first(entry: Column, elements: tuple[str, ...]) -> Column:
-    return F.coalesce(*[_inside(entry, e) for e in elements])
+def _text(body: Column) -> Column:
+    """Marked sections as they are, references decoded in the rest; null if nothing is left."""
+    sections = F.transform(
+        F.regexp_extract_all(body, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|[^<]+|<"), F.lit(0)),
+        lambda x: F.when(x.startswith("<![CDATA["), F.substring(x, F.lit(10), F.length(x) - 12)).otherwise(
+            decode_references(x)
+        ),
+    )
+    marked = F.contains(body, F.lit("<![CDATA["))
+    return F.nullif(F.when(marked, F.array_join(sections, "")).otherwise(decode_references(body)), F.lit(""))
 
 
-def _link(entry: Column) -> Column:
-    """Text of the element, or the address in the attribute of the first that is no link to
-    something beside the article."""
+def _address(entry: Column) -> Column:
+    """The address in the attribute of the first link that is none to something beside the
+    article."""
     tags = F.regexp_extract_all(entry, F.lit(r"<link\s[^>]*>"), F.lit(0))
     main = F.filter(tags, lambda t: ~t.rlike(r"\srel\s*=") | t.rlike(r"""\srel\s*=\s*["']?alternate\b"""))
-    address = F.regexp_extract(F.try_element_at(main, F.lit(1)), r"""\shref\s*=\s*(["'])(.*?)\1""", 2)
-    return F.trim(F.coalesce(_inside(entry, "link"), F.when(address != "", decode_references(address))))
+    return F.nullif(
+        F.regexp_extract(F.try_element_at(main, F.lit(1)), r"""\shref\s*=\s*(["'])(.*?)\1""", 2), F.lit("")
+    )
 
 
 def entries_of(pieces: DataFrame, row_tag: str) -> DataFrame:
     """One row per entry from texts cut where `<row_tag` stands. Each entry is read by itself,
     so that a broken one leaves its neighbours alone; one that is cut off gives no row."""
     whole = rf"(?s)^(?:\s[^>]*)?>(.*?)</{row_tag}\s*>"
-    entries = pieces.where(F.col("value").rlike(whole)).select(
-        F.regexp_extract("value", whole, 1).alias("entry")
+    entries = pieces.select(F.regexp_extract("value", whole, 1).alias("entry"), "value").where(
+        (F.col("entry") != "") | F.col("value").rlike(whole)
     )
     e = F.col("entry")
-    return entries.select(
-        _first(e, _TITLE).alias("title"),
-        _link(e).alias("link"),
-        parse_feed_date(_first(e, _DATE)).alias("published_at"),
-        _first(e, _SUMMARY).alias("summary"),
+    bodies = entries.select(
+        _body(e, _TITLE).alias("title"),
+        F.coalesce(_body(e, ("link",)), _address(e)).alias("link"),
+        _body(e, _DATE).alias("date"),
+        _body(e, _SUMMARY).alias("summary"),
+    )
+    return bodies.select(
+        _text(F.col("title")).alias("title"),
+        F.trim(_text(F.col("link"))).alias("link"),
+        parse_feed_date(_text(F.col("date"))).alias("published_at"),
+        _text(F.col("summary")).alias("summary"),
     )
 
 
