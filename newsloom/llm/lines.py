@@ -99,9 +99,9 @@ def line_templates(
     # one place at which each text of these leaves can be read
     place = F.xxhash64("text_key", "line_no")
     places = materialize(
-        lines.join(leaves, "leaf", "left_semi")
-        .groupBy("leaf", "line_key")
-        .agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")),
+        lines.groupBy("leaf", "line_key")  # before the join, so that a very common line is one row
+        .agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+        .join(leaves, "leaf", "left_semi"),
         "places",
     )
     bits = bloom.bits_for(places.count())
