@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 #: Words remembered by a task. More only cost time again, as all is forgotten then.
 REMEMBERED = 600_000
 #: UTF-8 bytes of text handled at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -83,12 +83,14 @@ class WordEncoder:
         codes = coded.indices.to_numpy()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         ids = [self.of_word(w) for w in words]
-        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # places fit 32 bits, as a chunk has far fewer ids
+        each = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        begins = np.cumsum(each) - each
+        begins = np.cumsum(each, dtype=np.int32) - each
         lengths = each[codes]
-        ends = np.cumsum(lengths)
-        places = np.repeat(begins[codes] - (ends - lengths), lengths) + np.arange(len(lengths) and ends[-1])
+        ends = np.cumsum(lengths, dtype=np.int32)
+        places = np.repeat(begins[codes] - (ends - lengths), lengths)
+        places += np.arange(len(places), dtype=np.int32)
         hashes = np.fromiter(
             (xxhash.xxh64_intdigest(w) if w else (1 << 64) - 1 for w in words), np.uint64, len(words)
         )
