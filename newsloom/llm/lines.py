@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import bloom
-from newsloom.llm.common import column, free_name
+from newsloom.llm.common import column, free_name, join_apart
 from newsloom.session import materialize
 
 DEPTH = 3
@@ -119,7 +119,7 @@ def line_templates(
     pairs = F.arrays_zip(F.split("line", " ").alias("a"), F.split("seed", " ").alias("b"))
     equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
     joined = materialize(
-        texts.join(seeds, "leaf")
+        join_apart(texts, seeds, "leaf")
         .filter(equal >= agree * F.size(F.split("line", " ")))
         .select("leaf", "line_key", F.lit(True).alias("joins")),
         "joined",
