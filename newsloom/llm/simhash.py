@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import column, free_name, join_apart
@@ -238,39 +238,60 @@ def near_duplicates(
         docs.select(column(id_col).alias("doc_id"), _fingerprints(shingle, SEED)(column(text_col)).alias("value")),
         "fingerprints",
     )
-    values = materialize(
-        marked.groupBy("value").agg(F.min("doc_id").alias("first_id")), "values"
+    return _with_least(marked, F.col("doc_id"), radius, spare, tile).select(
+        "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), F.col("least_first").alias("component_id")
     )
+
+
+def _with_least(marked: DataFrame, first: Column, radius: int, spare: int, tile: int) -> DataFrame:
+    """`marked` with least_first, the smallest `first` in the component of each row's `value`."""
+    values = materialize(marked.groupBy("value").agg(F.min(first).alias("first")), "values")
     links = materialize(near_links(values.select("value"), radius, spare, tile), "links")
     stars = connected_components(links)
     rooted = values.join(stars, F.col("value") == F.col("node"), "left").select(
-        "value", "first_id", F.coalesce("least", "value").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = join_apart(rooted, least, "root").select("value", "component_id")
-    return marked.join(labels, "value").select(
-        "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id"
+        "value", "first", F.coalesce("least", "value").alias("root")
     )
+    least = rooted.groupBy("root").agg(F.min("first").alias("least_first"))
+    labels = join_apart(rooted, least, "root").select("value", "least_first")
+    return marked.join(labels, "value")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns.
-
-    Ids are taken to be unique; rows that repeat the id of one that stays count as one with
-    it and are all dropped but one. Components without any id are kept whole."""
-    found = materialize(near_duplicates(docs, id_col, text_col, **options), "found")
-    gone_id = free_name(docs, "gone_id")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
-    kept = docs.join(gone, column(id_col).eqNullSafe(F.col(gone_id)), "left_anti")
-    doubled = free_name(docs, "doubled_id")
-    again = materialize(
-        found.filter(F.col("doc_id") == F.col("component_id"))
-        .groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doubled)),
-        "doubled",
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = RADIUS,
+    shingle: int = SHINGLE,
+    spare: int = SPARE,
+    tile: int = TILE,
+) -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest id, null ids
+    last, and of rows with one id that with the smallest hash of the text. Ids may repeat
+    and may be null. Rows that repeat id and text count as one."""
+    text_key = F.xxhash64(column(text_col))
+    marked = materialize(
+        docs.select(
+            column(id_col).alias("doc_id"),
+            text_key.alias("text_key"),
+            _fingerprints(shingle, SEED)(column(text_col)).alias("value"),
+        ),
+        "fingerprints",
+    )
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    chosen = F.col("doc_id").eqNullSafe(F.col("least_first.doc_id")) & (F.col("text_key") == F.col("least_first.text_key"))
+    found = materialize(
+        _with_least(marked, first, radius, spare, tile).select("doc_id", "text_key", chosen.alias("chosen"))
+        .groupBy("doc_id", "text_key", "chosen").agg(F.count(F.lit(1)).alias("n_rows")),
+        "found",
     )
-    if again.isEmpty():  # ids are unique, as they should be: texts are joined once
-        return kept
-    same = column(id_col) == F.col(doubled)
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates([id_col])
+    id_name, key_name, own_key = (free_name(docs, n) for n in ("found_id", "found_key", "text_key"))
+    found = found.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name), "chosen", "n_rows")
+    same = column(id_col).eqNullSafe(F.col(id_name)) & (text_key == F.col(key_name))
+    keys = [id_name, key_name]
+    again = found.filter("chosen and n_rows > 1").select(keys)
+    if again.isEmpty():  # no row repeats, as it should be: texts are joined once
+        return docs.join(found.filter("not chosen").select(keys), same, "left_anti")
+    repeated = docs.join(again, same, "left_semi").withColumn(own_key, text_key)
+    return docs.join(found.filter("not chosen or n_rows > 1").select(keys), same, "left_anti").unionByName(
+        repeated.dropDuplicates([id_col, own_key]).drop(own_key)
     )

@@ -126,3 +126,27 @@ def test_hot_line_keeps_its_first(spark):
     assert max(r.n_docs for r in recurring.collect()) == 300
     texts = [r.text for r in drop_recurring_lines(docs).collect()]
     assert sum("very same" in t for t in texts) == 1
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    rows, group = [], {}
+    for g in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for copy in range(1 + g % 3):
+            text = " ".join(words + ["end"] * copy)
+            group[text] = len(group)
+            # a third without ids; the others share few ids across components
+            rows.append((None if rng.random() < 0.4 else rng.randrange(8), text))
+    rows += [rows[5], rows[5], next(r for r in rows if r[0] is None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    prints = {t: simhash.fingerprint(t) for t in group}
+    for _ in range(3):  # a group is what chains of near fingerprints join
+        for t in group:
+            group[t] = min(group[o] for o in group if (prints[t] ^ prints[o]).bit_count() <= simhash.RADIUS)
+    kept = simhash.drop_near_duplicates(docs).collect()
+    least = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        least[group[t]] = min(least.get(group[t], key), key)
+    assert sorted((group[r.text], (r.doc_id is None, r.doc_id or 0)) for r in kept) == sorted(least.items())
