@@ -23,15 +23,28 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\b", re.I)
+#: The end of a tag whose slash belongs to a value without quotes.
+_SLASH_IN_VALUE = re.compile(r"""=\s*[^\s"'=<>`]+\Z""")
 
 #: Fixed names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _NEVER_SHOWN = frozenset(
-    "head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist "
-    "select meta link base param".split()
+    "head script style title template noscript noembed noframes iframe object audio video canvas datalist "
+    "meta link base param".split()
 )
+#: What is never drawn by itself inside svg and math.
+_NEVER_DRAWN = {
+    "svg": frozenset(
+        "defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()
+    ),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Labels of drawings and rows of formulas, which stand on lines of their own.
+_DRAWN_LINES = frozenset("text foreignobject mtr".split())
+_HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 _BLOCK = _APART | frozenset(
     "html body address article aside caption center dd details dialog dir div dt fieldset figcaption footer form header "
@@ -78,6 +91,7 @@ class Builder:
 
     def __init__(self) -> None:
         self.root = Node("html", {})
+        self.drawings = False
         self.open = [self.root]
 
     def build(self, page: str) -> Node:
@@ -94,6 +108,9 @@ class Builder:
                 self.end(name)
                 continue
             self.start(name, m[3])
+            if name not in _VOID and m[3].endswith("/") and not _SLASH_IN_VALUE.search(m[3]) and self._drawing():
+                self.open.pop()
+                continue
             if name in _RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
                 inside = page[at : close.start()]
@@ -126,6 +143,19 @@ class Builder:
                 found = i
         return found
 
+    def _drawing(self) -> bool:
+        """Whether the innermost open tag is one of svg or math, where a slash ends it."""
+        if not self.drawings:
+            return False
+        if self.open[-1].tag in ("svg", "math"):
+            return True
+        for node in reversed(self.open[:-1]):
+            if node.tag in ("svg", "math"):
+                return True
+            if node.tag in _HTML_INSIDE:
+                return False
+        return False
+
     def start(self, name: str, source: str) -> None:
         attributes = _attributes(source) if source and not source.isspace() else {}
         if name in ("html", "body") and (name == "html" or any(n.tag == "body" for n in self.open)):
@@ -140,6 +170,7 @@ class Builder:
                 del self.open[i:]
         if name in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push(Node("tr", {}))
+        self.drawings = self.drawings or name in ("svg", "math")
         node = Node(name, attributes)
         self.open[-1].children.append(node)
         if name not in _VOID:
@@ -164,16 +195,25 @@ class Builder:
                 return
 
 
-def shown(node: Node) -> bool:
+def shown(node: Node, realm: str = "") -> bool:
+    """Whether a node has a place on the page; `realm` is svg or math inside of these."""
     a = node.attributes
     return not (
         node.tag in _NEVER_SHOWN
+        or (realm and node.tag in _NEVER_DRAWN[realm])
         or "hidden" in a
         or (node.tag == "dialog" and "open" not in a)
-        or ("style" in a and _UNSEEN.search(a["style"]))
+        or ("style" in a and _NO_BOX.search(a["style"]))
     )
 
 
+def visible(node: Node, above: bool) -> bool:
+    """Whether the node's own text is seen, given that of its parent is."""
+    style = node.attributes.get("style")
+    told = _VISIBILITY.findall(style) if style else []
+    return told[-1].lower() in ("visible", "initial") if told else above
+
+
 class _Page:
     """Lines being written. `gap` is how many line ends are due before the next text."""
 
@@ -245,10 +285,13 @@ def _span(node: Node, name: str) -> int:
 def render(root: Node) -> str:
     page = _Page()
     pages, tables, lists, pre = [], [], [], 0
-    stack: list[tuple[Node | str, bool]] = [(root, True)]
+    # (node, entering, whether its text is seen, svg or math around it)
+    stack: list[tuple[Node | str, bool, bool, str]] = [(root, True, True, "")]
     while stack:
-        node, entering = stack.pop()
+        node, entering, seen, realm = stack.pop()
         if isinstance(node, str):
+            if not seen:
+                continue
             if pre:
                 first, *rest = node.split("\n")
                 if first:
@@ -262,14 +305,19 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if entering:
-            if not shown(node):
+            if not shown(node, realm):
                 continue
+            seen = visible(node, seen)
             if tag == "br":
                 if page.gap < 2 and page.parts:
                     page.gap, page.blank = page.gap + 1, False
                 continue
             if tag in _BLOCK:
                 page.block(1 if lists and tag in ("ul", "ol") else 2 if tag in _APART else 1)
+            elif realm and tag in _DRAWN_LINES:
+                page.block(1)
+            elif tag == "mtd":
+                page.blank = True
             if tag in _VOID:
                 continue
             if tag in ("ul", "ol", "menu", "dir"):
@@ -278,7 +326,7 @@ def render(root: Node) -> str:
                 page.indent += 1
             elif tag == "li":
                 number = lists[-1] if lists else None
-                page.mark = "- " if number is None else f"{number}. "
+                page.mark = "" if not seen else "- " if number is None else f"{number}. "
                 if number is not None:
                     lists[-1] += 1
             elif tag in ("dd", "blockquote"):
@@ -295,8 +343,17 @@ def render(root: Node) -> str:
             elif tag == "caption" and tables:
                 pages.append((page, lists, pre))
                 page, lists, pre = _Page(), [], 0
-            stack.append((node, False))
-            stack.extend((child, True) for child in reversed(node.children))
+            stack.append((node, False, seen, realm))
+            if tag in ("svg", "math"):
+                realm = tag
+            elif tag == "foreignobject":
+                realm = ""
+            label = node.attributes.get("label") if tag in ("option", "optgroup") else None
+            if label and seen:
+                page.inline(label)
+                page.block(1)
+            if not (label and tag == "option"):
+                stack.extend((child, True, seen, realm) for child in reversed(node.children))
             continue
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
@@ -332,6 +389,8 @@ def render(root: Node) -> str:
                 page.lines(lines)
         if tag in _BLOCK:
             page.block(1 if lists and tag in ("ul", "ol") else 2 if tag in _APART else 1)
+        elif realm and tag in _DRAWN_LINES:
+            page.block(1)
     return page.text()
 
 

@@ -187,3 +187,24 @@ def test_all_visible_words_of_the_pages_come_out(spark):
         plain.close()
         strip = lambda t: re.sub(r"\s+|- ", "", t)
         assert strip(html_text.page_text(r.html)) == strip("".join(plain.words))
+
+
+DRAWN = {
+    "<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>tex</annotation></semantics></math> hold.</p>": "Let x=2 hold.",
+    "<div>See<svg><title>T</title><desc>d</desc><defs><text>no</text></defs><path d='M0'/><text>North</text>"
+    "<text>South</text><script>s()</script></svg>after</div>": "See\nNorth\nSouth\nafter",
+    "<svg><title/><desc/><defs/><text>a</text></svg>b": "a\nb",
+    "<svg><foreignObject><p>Html<br/>two</p></foreignObject></svg>": "Html\ntwo",
+    "Size <select><option>Small<option selected>Large<optgroup label=Odd><option>XL</select> ok": "Size\nSmall\nLarge\nOdd\nXL\nok",
+    "<input list=d><datalist id=d><option>no</datalist>x": "x",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>end": "yes\nend",
+    "<div style='display:none'><b style='visibility:visible'>no</b></div>x": "x",
+    "<div hidden><b style='visibility:visible'>no</b></div>x": "x",
+    "<ol><li>a<li style='visibility:hidden'>no<li>c</ol>": "1. a\n3. c",
+    "<table><tr><td>a<td style='visibility:hidden'>no<td>c</table>": "a    c",
+}
+
+
+@pytest.mark.parametrize("page", DRAWN)
+def test_drawn_text_and_inherited_visibility(page):
+    assert html_text.page_text(page) == DRAWN[page]
