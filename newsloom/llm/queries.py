@@ -75,6 +75,12 @@ def op6_backoff_scores(docs: DataFrame) -> DataFrame:
     return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
+@_query
+def op6_trigram_scores(docs: DataFrame) -> DataFrame:
+    scores = ngram_lm.backoff_scores(docs, order=3)
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 @_query
 def op7_simhash_dedup(docs: DataFrame) -> DataFrame:
     return simhash.near_duplicates(docs)

@@ -160,3 +160,36 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(total, 0), 6) A
        round(total / n_words, 6) AS mean_log_score
 FROM documents d LEFT JOIN summed USING (doc_id)
 """
+
+SQL["op6_trigram_scores"] = r"""
+WITH cut AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM cut
+), triples AS (
+    SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev,
+           lag(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS before
+    FROM placed
+), counted AS (
+    SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others,
+           count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS one,
+           count(*) OVER (PARTITION BY prev, word) - count(*) OVER (PARTITION BY doc_id, prev, word) AS two,
+           count(*) OVER (PARTITION BY before, prev, word) - count(*) OVER (PARTITION BY doc_id, before, prev, word) AS three
+    FROM triples
+), backed AS (
+    SELECT *, lag(two) OVER (PARTITION BY doc_id ORDER BY i) AS two_known,
+           CASE WHEN prev IS NOT NULL AND two > 0
+               THEN two / lag(one) OVER (PARTITION BY doc_id ORDER BY i)
+               ELSE CASE WHEN prev IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END * greatest(one, 1) / (others + 1) END AS shorter
+    FROM counted
+), scored AS (
+    SELECT doc_id, CASE WHEN before IS NULL THEN shorter WHEN three > 0 THEN three / two_known
+               ELSE 0.4::DOUBLE * shorter END AS score
+    FROM backed
+), summed AS (
+    SELECT doc_id, count(*) AS n_words, sum(ln(score)) AS total FROM scored GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(total, 0), 6) AS log_score,
+       round(total / n_words, 6) AS mean_log_score
+FROM documents d LEFT JOIN summed USING (doc_id)
+"""
