@@ -8,15 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact, html_text, lines, mixing, ngram_lm, packing, repetition, secrets, sharding, simhash
+from newsloom.llm import (
+    bitsliced,
+    exact,
+    html_text,
+    lines,
+    mixing,
+    negatives,
+    ngram_lm,
+    packing,
+    prefix_trie,
+    repetition,
+    secrets,
+    sharding,
+    simhash,
+)
 from newsloom.llm.sql import SQL
 from newsloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Tables of the queries that do not read documents.
+_TABLES = {"op9": "pages", "op11": "conversations", "op12": "embeddings", "op13": "embeddings"}
 
 
 def _query(build: Callable[[DataFrame], DataFrame]):
-    table = "pages" if build.__name__.startswith("op9") else "documents"
+    table = _TABLES.get(build.__name__.partition("_")[0], "documents")
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
@@ -101,4 +117,20 @@ def op10_virtual_slots(docs: DataFrame) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
+@_query
+def op11_prefix_trie(conversations: DataFrame) -> DataFrame:
+    return prefix_trie.prefix_trie(conversations)
+
+
+@_query
+def op12_bitsliced_top_k(vectors: DataFrame) -> DataFrame:
+    return bitsliced.exact_top_k(vectors)
+
+
+@_query
+def op13_hard_negatives(vectors: DataFrame) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(vectors, label=relabelled)
+
+
 assert set(SQL) <= set(QUERIES)

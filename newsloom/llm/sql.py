@@ -193,3 +193,81 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(total, 0), 6) A
        round(total / n_words, 6) AS mean_log_score
 FROM documents d LEFT JOIN summed USING (doc_id)
 """
+
+SQL["op11_prefix_trie"] = """
+WITH RECURSIVE original AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), bits(conv_id, decimal, step, state) AS (
+    SELECT conv_id, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM original
+    UNION ALL
+    SELECT conv_id, decimal, step + 1, CASE WHEN mixed & 1 = 1 THEN xor(mixed >> 1, 3988292384) ELSE mixed >> 1 END
+    FROM (SELECT *, CASE WHEN step % 8 = 0 THEN xor(state, ascii(decimal[step // 8 + 1])) ELSE state END AS mixed
+          FROM bits WHERE step < 8 * length(decimal))
+), shares AS (
+    SELECT conv_id, xor(state, 4294967295) % 9 AS h FROM bits WHERE step = 8 * length(decimal)
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) AS turns
+    FROM original c JOIN shares USING (conv_id) LEFT JOIN original b ON b.conv_id = c.conv_id - c.conv_id % 5
+), prefixes AS (
+    SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS ends
+    FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+    SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY depth, path
+), children AS (
+    SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), counted AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children,
+           CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.path[n.depth].text) END AS saved
+    FROM nodes n LEFT JOIN children USING (depth, path)
+), sums AS (
+    SELECT up AS depth, path[1:up] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums USING (depth, path)
+LEFT JOIN counted p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
+
+_INTEGERS = """
+    SELECT {columns}, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+_PRODUCT = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT"
+
+SQL["op12_bitsliced_top_k"] = f"""
+WITH whole AS ({_INTEGERS.format(columns='vec_id')}),
+scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, {_PRODUCT} AS score
+    FROM whole a JOIN whole b ON a.vec_id IS DISTINCT FROM b.vec_id WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+SQL["op13_hard_negatives"] = f"""
+WITH whole AS (
+    {_INTEGERS.format(columns='vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label')}
+    AND label IS NOT NULL
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_PRODUCT} AS score
+    FROM whole a JOIN whole b ON a.vec_id IS DISTINCT FROM b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) AS nth
+          FROM scored WHERE same)
+    WHERE nth <= 5
+), negatives AS (
+    SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id NULLS LAST) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
+"""
