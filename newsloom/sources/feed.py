@@ -1,10 +1,20 @@
-"""Landed feed files and landed pages."""
+"""Landed feed files and landed pages.
+
+Feed files are cut where entries begin, so that one file may be read by many tasks. What looks
+like the begin of an entry may stand inside a marked section or a comment: pieces that begin
+there are put together again with the piece before them. Whether a piece ends inside follows
+from its own marks and from how it began, so that each task goes through its part of a file
+once; only how a part begins has to be known from the parts before it, and these are as many
+as a file has splits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_feed_date
@@ -14,6 +24,9 @@ _TITLE = ("title",)
 _DATE = ("pubDate", "dc:date", "published", "updated")
 _SUMMARY = ("description", "summary", "content")
 
+# A marked section or a comment.
+_SECTION = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->"
+
 _XML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 # Names of characters in HTML.
 _NAMES = {name: chr(code) for name, code in name2codepoint.items()} | _XML_NAMES
@@ -40,7 +53,14 @@ def decode_references(text: Column) -> Column:
         ).otherwise(piece)
 
     pieces = F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), decoded)
-    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+    plain = text
+    for name in ("lt", "gt", "quot", "apos", "amp"):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(_XML_NAMES[name]))
+    return (
+        F.when(~F.contains(text, F.lit("&")), text)
+        .when(~text.rlike("&(?!(?:lt|gt|quot|apos|amp);)"), plain)
+        .otherwise(F.array_join(pieces, ""))
+    )
 
 
 def _body(entry: Column, elements: tuple[str, ...]) -> Column:
@@ -56,15 +76,22 @@ def _body(entry: Column, elements: tuple[str, ...]) -> Column:
 
 
 def _text(body: Column) -> Column:
-    """Marked sections as they are, references decoded in the rest; null if nothing is left."""
-    sections = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|[^<]+|<"), F.lit(0)),
-        lambda x: F.when(x.startswith("<![CDATA["), F.substring(x, F.lit(10), F.length(x) - 12)).otherwise(
-            decode_references(x)
-        ),
-    )
-    marked = F.contains(body, F.lit("<![CDATA["))
-    return F.nullif(F.when(marked, F.array_join(sections, "")).otherwise(decode_references(body)), F.lit(""))
+    """References decoded; null if nothing is left."""
+    return F.nullif(decode_references(body), F.lit(""))
+
+
+def _without_sections(value: Column) -> Column:
+    """Marked sections as text with references, comments gone: what is left has tags only
+    where there are elements."""
+    parts = F.regexp_extract_all(value, F.lit(rf"{_SECTION}|[^<]+|<"), F.lit(0))
+
+    def as_text(part: Column) -> Column:
+        inner = F.substring(part, F.lit(10), F.length(part) - 12)
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(mark), F.lit(name))
+        return F.when(part.startswith("<![CDATA["), inner).when(part.startswith("<!--"), "").otherwise(part)
+
+    return F.when(F.contains(value, F.lit("<!")), F.array_join(F.transform(parts, as_text), "")).otherwise(value)
 
 
 def _address(entry: Column) -> Column:
@@ -81,7 +108,8 @@ def entries_of(pieces: DataFrame, row_tag: str) -> DataFrame:
     """One row per entry from texts cut where `<row_tag` stands. Each entry is read by itself,
     so that a broken one leaves its neighbours alone; one that is cut off gives no row."""
     whole = rf"(?s)^(?:\s[^>]*)?>(.*?)</{row_tag}\s*>"
-    entries = pieces.select(F.regexp_extract("value", whole, 1).alias("entry"), "value").where(
+    plain = pieces.select(_without_sections(F.col("value")).alias("value"))
+    entries = plain.select(F.regexp_extract("value", whole, 1).alias("entry"), "value").where(
         (F.col("entry") != "") | F.col("value").rlike(whole)
     )
     e = F.col("entry")
@@ -99,23 +127,183 @@ def entries_of(pieces: DataFrame, row_tag: str) -> DataFrame:
     )
 
 
+# Where a text may end: among elements, in a marked section, in a comment.
+_ELEMENTS, _MARKED, _COMMENT = range(3)
+_ENDS = {_MARKED: "]]>", _COMMENT: "-->"}
+
+
+def _after(value: Column, begun: int) -> Column:
+    """How a text ends that begins in one of the three ways."""
+    rest = value
+    if begun in _ENDS:
+        end = F.locate(_ENDS[begun], value)
+        rest = F.when(end > 0, F.substring(value, end + 3, F.length(value)))
+    opened = F.regexp_extract(F.regexp_replace(rest, _SECTION, " "), r"<!\[CDATA\[|<!--", 0)
+    return (
+        F.when(rest.isNull(), begun)
+        .when(~F.contains(rest, F.lit("<!")), _ELEMENTS)
+        .when(opened == "<![CDATA[", _MARKED)
+        .when(opened == "<!--", _COMMENT)
+        .otherwise(_ELEMENTS)
+    )
+
+
+def _with_places(texts: DataFrame) -> DataFrame:
+    """Pieces with their file and split, and `ends`: how each ends for the three ways in which it
+    may begin, as digits to the base of three."""
+    value = F.col("value")
+    return texts.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("in_splits"),
+        (_after(value, 0) + 3 * _after(value, 1) + 9 * _after(value, 2)).cast("int").alias("ends"),
+    )
+
+
+def _then(ends: int, begun: int) -> int:
+    return ends // 3**begun % 3
+
+
+def _begun_inside(pieces: DataFrame) -> dict[tuple[str, int], int]:
+    """The splits that begin inside a section, and in which. Each split sends one number; what is
+    kept is one entry for a split that begins inside."""
+
+    def ends_of_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = None, [0, 1, 2]
+        for batch in batches:
+            done = []
+            for file, split, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, split) != place:
+                    if place:
+                        done.append((*place, total))
+                    place, total = (file, split), [0, 1, 2]
+                total = [_then(ends, begun) for begun in total]
+            yield _split_rows(done)
+        yield _split_rows([(*place, total)] if place else [])
+
+    def _split_rows(rows: list) -> pa.RecordBatch:
+        files, splits, totals = zip(*rows) if rows else ((), (), ())
+        numbers = [t[0] + 3 * t[1] + 9 * t[2] for t in totals]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(files, pa.string()), pa.array(splits, pa.int64()), pa.array(numbers, pa.int32())],
+            ["file", "split", "ends"],
+        )
+
+    def begins(table: pa.Table) -> pa.Table:
+        begun, found = _ELEMENTS, []
+        for row in table.sort_by("split").to_pylist():
+            if begun:
+                found.append({"file": row["file"], "split": row["split"], "begun": begun})
+            begun = _then(row["ends"], begun)
+        return pa.Table.from_pylist(
+            found, pa.schema([("file", pa.string()), ("split", pa.int64()), ("begun", pa.int32())])
+        )
+
+    split = pieces.where("in_splits").select("file", "split", "ends")
+    split = split.mapInArrow(ends_of_splits, "file string, split bigint, ends int")
+    rows = split.groupBy("file").applyInArrow(begins, "file string, split bigint, begun int").collect()
+    return {(r["file"], r["split"]): r["begun"] for r in rows}
+
+
+def _joined(pieces: DataFrame, row_tag: str, begun: dict[tuple[str, int], int]) -> DataFrame:
+    """Pieces of each split put together where they begin inside: value, file, split, and `kind`:
+    whole, the end of what an earlier split began, or begun and not ended in this split."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, state, held, kind = None, _ELEMENTS, [], _WHOLE
+        for batch in batches:
+            ends = batch.column("ends").to_numpy()
+            if not begun and not held and not (ends % 3).any():
+                place = None
+                yield made(batch.column("value"), batch.column("file"), batch.column("split"), [_WHOLE] * len(ends))
+                continue
+            out = []
+            for value, file, split, end in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, split) != place:
+                    if held:
+                        out.append((f"<{row_tag}".join(held), *place, kind or _BEGUN))
+                    place, held = (file, split), []
+                    state = begun.get(place, _ELEMENTS)
+                    kind = _ENDED if state else _WHOLE
+                    if state:
+                        held = [""]  # the tag at which the piece was cut
+                held.append(value)
+                state = _then(end, state)
+                if not state:
+                    out.append((f"<{row_tag}".join(held), *place, kind))
+                    held, kind = [], _WHOLE
+            yield made(*(zip(*out) if out else ((), (), (), ())))
+        if held:
+            yield made([f"<{row_tag}".join(held)], [place[0]], [place[1]], [kind or _BEGUN])
+
+    def made(values, files, splits, kinds) -> pa.RecordBatch:
+        columns = [
+            x if isinstance(x, pa.Array) else pa.array(x, t)
+            for x, t in zip((values, files, splits, kinds), (pa.string(), pa.string(), pa.int64(), pa.int32()))
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["value", "file", "split", "kind"])
+
+    schema = "value string, file string, split bigint, kind int"
+    return pieces.select("value", "file", "split", "ends").mapInArrow(join, schema)
+
+
+_WHOLE, _ENDED, _BEGUN = range(3)
+
+
+def stitched(texts: DataFrame, row_tag: str = "item") -> DataFrame:
+    """`value`: the texts of feed files cut at `<row_tag`, with cuts inside marked sections and
+    comments undone. A section that never ends is none: its file is cut as if it were not there."""
+    pieces = _with_places(texts)
+    begun = _begun_inside(pieces)
+    joined = _joined(pieces, row_tag, begun)
+
+    def cut_again(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.split("value", f"<{row_tag}")).alias("value"))
+
+    if not begun:
+        # what is begun here ends nowhere
+        again = F.when(F.col("kind") == _WHOLE, F.array("value")).otherwise(F.split("value", f"<{row_tag}"))
+        return joined.select(F.explode(again).alias("value"))
+    # few rows: one or two for a split that begins inside
+    over = joined.where(F.col("kind") != _WHOLE)
+    order = Window.partitionBy("file").orderBy("split", "kind")
+    run = F.sum((F.col("kind") == _BEGUN).cast("int")).over(order)
+    texts_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "kind", "value"))), lambda x: x["value"]), "")
+    runs = over.withColumn("run", run).groupBy("file", "run").agg(texts_of.alias("value"))
+    # a run that begins in its file's last section may end nowhere, too
+    open_end = _after(F.col("value"), _ELEMENTS) != _ELEMENTS
+    return (
+        joined.where(F.col("kind") == _WHOLE)
+        .select("value")
+        .unionByName(runs.where(~open_end).select("value"))
+        .unionByName(cut_again(runs.where(open_end)))
+    )
+
+
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Entries of every feed file under `path`; a missing element is null.
 
     `row_tag` is `item` for RSS and `entry` for Atom. Files are split where entries begin,
     so that one file may be read by many tasks.
     """
-    return entries_of(spark.read.text(path, lineSep=f"<{row_tag}"), row_tag)
+    return entries_of(stitched(spark.read.text(path, lineSep=f"<{row_tag}"), row_tag), row_tag)
 
 
 def read_feed_stream(
     spark: SparkSession, path: str, row_tag: str = "item", max_files: int | None = None
 ) -> DataFrame:
-    """`read_feed` over files as they land, at most `max_files` per micro-batch."""
+    """Feed files as they land, cut where entries begin, at most `max_files` per micro-batch.
+    Hand each micro-batch to `feed_batch`."""
     reader = spark.readStream.option("lineSep", f"<{row_tag}")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return entries_of(reader.text(path), row_tag)
+    return reader.text(path).select("value", "_metadata")
+
+
+def feed_batch(batch: DataFrame, row_tag: str = "item") -> DataFrame:
+    """The entries of a micro-batch of `read_feed_stream`, as `read_feed` gives them."""
+    return entries_of(stitched(batch, row_tag), row_tag)
 
 
 def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.operators.extract import extract_pages
 from newsloom.plans.steps import ingest_batch
-from newsloom.sources.feed import read_feed_stream
+from newsloom.sources.feed import feed_batch, read_feed_stream
 from newsloom.sources.tables import read_table
 
 
@@ -35,7 +35,7 @@ def ingest_stream(
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest_batch(batch, read_table(batch.sparkSession, pages), raw, page_order, extract)
+        rows = ingest_batch(feed_batch(batch), read_table(batch.sparkSession, pages), raw, page_order, extract)
         if then is not None:
             then(batch_id, rows)
 
