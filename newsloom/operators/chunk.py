@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.functions.text import fold_chunks, split_sentences
+from newsloom.functions.text import split_sentences, with_chunks
 
 _BASE = ("news_id", "title", "published_at", "publisher", "category")
 
@@ -23,15 +23,13 @@ def chunk_articles(
 
     An article without any sentence gives one marker row: no text, status `no_content`.
     """
-    chunks = fold_chunks(
-        split_sentences(F.col("content"), delimiters), max_length, overlap, terminator
-    )
     marker = F.array(F.lit(None).cast("string"))
     # A null content leaves the size null, which the second branch catches.
     texts = F.when(F.size("_chunks") > 0, F.col("_chunks")).otherwise(marker)
     rest = [c for c in articles.columns if c != "content"]
+    sentences = split_sentences(F.col("content"), delimiters)
     return (
-        articles.select(*rest, chunks.alias("_chunks"))
+        with_chunks(articles, sentences, "_chunks", max_length, overlap, terminator)
         .select(*rest, F.posexplode(texts).alias("chunk_idx", "chunk_text"))
         .withColumn("status", F.when(F.col("chunk_text").isNull(), F.lit(fv.NO_CONTENT)))
     )

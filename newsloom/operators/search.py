@@ -176,7 +176,7 @@ def attach_links(
 _HIT = ("query_id", "rank", "id", "news_id", "similarity", "chunk_text", "link", "metadata")
 
 
-def _hit_columns(df: DataFrame) -> DataFrame:
+def hit_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in _HIT if c in df.columns])
 
 
@@ -197,7 +197,7 @@ def search_top_k(
         chunks = with_ids(chunks, "id", [r["id"] for r in rows])
         raw = with_ids(raw, "id", [r["news_id"] for r in rows])
     found = attach_links(attach_chunks(hits, chunks, k), raw, k, ids=hits)
-    return _hit_columns(found).orderBy("rank").limit(k)
+    return hit_columns(found).orderBy("rank").limit(k)
 
 
 def search_top_k_batch(
@@ -209,7 +209,7 @@ def search_top_k_batch(
 ) -> DataFrame:
     """`search_top_k` for a table of queries (`query_id, embedding`): adds `query_id`."""
     hits, max_hits = _nearest_batch(chunks, queries, k, max_query_bytes)
-    return _hit_columns(attach_links(attach_chunks(hits, chunks, max_hits), raw, max_hits, ids=hits))
+    return hit_columns(attach_links(attach_chunks(hits, chunks, max_hits), raw, max_hits, ids=hits))
 
 
 def _mark_wanted(hits: DataFrame, max_articles: int) -> DataFrame:

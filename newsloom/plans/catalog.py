@@ -11,14 +11,15 @@ from newsloom.functions.dates import parse_feed_date, stringify_timestamp
 from newsloom.functions.html import page_parts
 from newsloom.functions.text import classifier_text, split_sentences
 from newsloom.functions.vectors import cosine_similarity
-from newsloom.operators import analytics, answer, backlog, chunk, classify, constraints, embed, extract, search
+from newsloom.operators import analytics, answer, backlog, cells, chunk, classify, constraints, embed, extract, search
 from newsloom.operators.upsert import first_per_key, unseen, update_by_key
 from newsloom.plans.sample import Sample
 from newsloom.plans.steps import answer_queries
 from newsloom.providers import FirstHitAnswerer, HashedTokenEmbedder, KeywordClassifier, TextIds, Unsteady
 from newsloom.schemas import CONTEXT
-from newsloom.session import ship_package
+from newsloom.session import scratch, ship_package
 from newsloom.sources import attach_pages, full_articles, read_query
+from newsloom.sources import read_feed as read_feed_
 from newsloom.sources.feed import entries_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,21 @@ def read_feed(s: Sample) -> DataFrame:
     return entries_of(s.raw().select(F.concat(F.lit(">"), form).alias("value")), "item")
 
 
+@_query
+def read_feed_files(s: Sample) -> DataFrame:
+    """Every document as an entry of feed files that are written and read: marked sections and
+    comments hold tags that look like those of entries."""
+    held = F.concat(
+        F.lit("<item id='"), "id", F.lit("'><!-- <item><title>none</title></item> --><title><![CDATA["), "title",
+        F.lit(" <item> & ]]></title><media:x/><link>"), "link", F.lit("</link><body><![CDATA[<p></item><item>]]>"),
+        F.lit("</body><pubDate>"), F.date_format("published_at", "dd MMM yyyy HH:mm:ss"),
+        F.lit("</pubDate><description><![CDATA["), "content", F.lit("</item>]]> &lt;<![CDATA[<!-- ]]></description></item>"),
+    )
+    folder = scratch(s.spark, "feed")
+    s.raw().select(held.alias("value")).write.text(folder)
+    return read_feed_(s.spark, folder)
+
+
 @_query
 def attach_pages_(s: Sample) -> DataFrame:
     pages = s.table("pages")
@@ -374,6 +390,13 @@ def search_top_k_batch(s: Sample) -> DataFrame:
     return _rounded(search.search_top_k_batch(s.chunks(), s.raw(), s.queries()))
 
 
+@_query
+def search_pruned(s: Sample) -> DataFrame:
+    """`search_top_k_batch` over an index that is built and read back."""
+    index = cells.build_cells(s.chunks(), scratch(s.spark, "cells"), block_rows=64)
+    return _rounded(cells.search_pruned(index, s.chunks(), s.raw(), s.queries()))
+
+
 def _label_hits(s: Sample) -> tuple[DataFrame, int]:
     """Hits of every query and their greatest number; labels are the articles, so that
     many queries hit few of them."""

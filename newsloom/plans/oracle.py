@@ -177,6 +177,8 @@ SELECT id, content FROM raw WHERE id IN (SELECT vec_id FROM embeddings)""",
     "read_feed": f"""WITH {RAW}
 SELECT title || CASE WHEN id % 3 = 0 THEN chr(160) ELSE ' ' END || '& é中' AS title, link || '?a=1&b' AS link,
   published_at, content AS summary FROM raw""",
+    "read_feed_files": f"""WITH {RAW}
+SELECT title || ' <item> & ' AS title, link, published_at, content || '</item> <<!-- ' AS summary FROM raw""",
     "parse_feed_date": """SELECT event_id AS news_id, CASE event_id % 4 WHEN 1 THEN date_trunc('minute', ts)
   WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS published_at FROM events""",
     "append_new": f"""WITH {RAW}
@@ -377,3 +379,5 @@ SELECT * FROM categories UNION ALL SELECT * FROM publishers UNION ALL
 SELECT 'sentence', count(id) || ' was published from 2024-01-05 to 2024-01-20.', count(id)
 FROM metadata WHERE {IN_RANGE}""",
 }
+# The index changes what is read, not what is found.
+ORACLE["search_pruned"] = ORACLE["search_top_k_batch"]

@@ -43,6 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context._newsloom_folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -50,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     model responses. The copy outlives lost executors, until `discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     copy = spark.read.schema(df.schema).parquet(path)
     copy._newsloom_path = path

@@ -104,3 +104,33 @@ def test_classifier_text(spark):
     )
     got = [r[0] for r in df.select(classifier_text(F.col("title"), F.col("summary"))).collect()]
     assert got == ["標題：t; 摘要：s", "標題：t", "摘要：s", "無資料", "無資料"]
+
+
+def test_short_chunks_and_many_blocks(spark):
+    """Tails that reach over several chunks, and articles of many fold blocks."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["。".join("字" * rng.choice((1, 2, 3, 9, 40, 80)) for _ in range(n)) for n in (1, 63, 64, 65, 128, 1000)]
+    for limit, overlap in ((1, 50), (10, 7), (60, 59), (300, 50), (3, 100)):
+        got = chunked(spark, texts, max_length=limit, overlap=overlap)
+        assert got == [plain_chunks(t, limit, overlap) or [None] for t in texts]
+
+
+def test_time_grows_with_the_text(spark):
+    """Twice the sentences take about twice the time, and 80,000 a few seconds at most."""
+    import time
+
+    def seconds(n):
+        text = F.concat_ws("。", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.repeat(F.lit("字"), i % 190 + 1)))
+        df = spark.range(1).select(F.col("id").alias("news_id"), text.alias("content")).cache()
+        best = 1e9
+        for _ in range(3):
+            begun = time.perf_counter()
+            chunk_articles(df).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - begun)
+        return best
+
+    seconds(2000)
+    half, whole = seconds(40_000), seconds(80_000)
+    assert whole < 3.2 * half and whole < 8
