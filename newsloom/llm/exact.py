@@ -20,66 +20,78 @@ from newsloom.llm import bloom
 from newsloom.llm.common import column, free_name, join_apart
 from newsloom.session import materialize
 
-def mark_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    bits_per_row: int = bloom.BITS_PER_KEY,
-    max_bits: int = bloom.MAX_BITS,
-) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_rows.
 
-    Of equal texts the row with the largest id stays. Null text equals the empty text.
-    Rows that repeat both id and text are one document with `n_rows` rows; group_size
-    counts rows. A null id stays only in a group without any other. An empty table gives
-    an empty result. Other columns are not looked at.
-    """
+def _tested(
+    docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number and the test's verdict; and the groups of rows that may have copies:
+    text_sha256, keep_id, keep_row, group_size."""
     signed = materialize(
         docs.select(
             column(id_col).alias("doc_id"),
             F.sha2(F.coalesce(column(text_col), F.lit("")), 256).alias("text_sha256"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "signatures",
     )
     bits = bloom.bits_for(signed.count(), bits_per_row, max_bits)
     words = materialize(bloom.filter_of(signed, "text_sha256", bits, at_least=2), "bloom")
     tested = bloom.tested(signed, "text_sha256", words, bits, "maybe")
+    # null ids lose to any other
+    groups = tested.filter("maybe").groupBy("text_sha256").agg(
+        F.max("doc_id").alias("keep_id"),
+        F.min("row").alias("any_row"),
+        F.max_by("row", "doc_id").alias("best_row"),
+        F.count(F.lit(1)).alias("group_size"),
+    )
+    return tested, groups.withColumn("keep_row", F.coalesce("best_row", "any_row")).drop("best_row", "any_row")
+
+
+def mark_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bits_per_row: int = bloom.BITS_PER_KEY,
+    max_bits: int = bloom.MAX_BITS,
+) -> DataFrame:
+    """One row per row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the largest id stays; of rows that repeat both id and text
+    one stays. Null text equals the empty text. A null id stays only in a group without any
+    other. An empty table gives an empty result. Other columns are not looked at.
+    """
+    tested, groups = _tested(docs, id_col, text_col, bits_per_row, max_bits)
     alone = tested.filter(~F.col("maybe")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         "text_sha256",
-        F.lit(1).cast("long").alias("n_rows"),
-    )
-    documents = tested.filter("maybe").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n_rows"))
-    groups = documents.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")
     )
-    grouped = join_apart(documents, groups, "text_sha256").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-        "n_rows",
+    grouped = join_apart(tested.filter("maybe"), groups, "text_sha256").select(
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(grouped)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns, one row each."""
+    """The documents that stay, with all their columns, one row of each text."""
     id_name, sha_name = free_name(docs, "marked_id"), free_name(docs, "marked_sha256")
-    marked = mark_copies(docs, id_col, text_col).select(
-        F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name), "kept", "n_rows"
+    marked = mark_copies(docs, id_col, text_col)
+    # ids and hashes of which some rows go: all of them, or all but one
+    pairs = (
+        marked.filter("group_size > 1")
+        .groupBy(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name))
+        .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n_rows"))
+        .filter("not stays or n_rows > 1")
     )
+    pairs = materialize(pairs, "pairs")
     text = F.coalesce(column(text_col), F.lit(""))
 
     def same(rows: DataFrame):
         return column(id_col).eqNullSafe(rows[id_name]) & (F.sha2(text, 256) == rows[sha_name])
 
-    gone = marked.filter("not kept or n_rows > 1")
-    again = marked.filter("kept and n_rows > 1")
-    once = docs.join(gone, same(gone), "left_anti")
+    again = pairs.filter("stays")
+    once = docs.join(pairs, same(pairs), "left_anti")
     signed = docs.join(again, same(again), "left_semi").withColumn(sha_name, F.sha2(text, 256))
     return once.unionByName(signed.dropDuplicates([id_col, sha_name]).drop(sha_name))

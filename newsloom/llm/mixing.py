@@ -90,13 +90,14 @@ def mix(
     """All rows and columns of `docs`, with size, source_size, target, before, goal, taken,
     start and end under `prefix`.
 
-    Documents are taken in the order of a hash of their id, pass after pass, until the
+    Documents are taken in the order of a hash of id and text, pass after pass, until the
     target is reached to the word; the last document of a source gives a part. Null and
     empty texts have size 0 and are never taken. A null source is a source. Repeated rows
-    are documents of their own. An empty table gives an empty result.
+    are documents of their own, and interchangeable. An empty table gives an empty result.
     """
     id_, text, source = column(id_col), column(text_col), column(source_col)
-    key = F.md5(F.coalesce(id_.cast("string"), F.lit("")))
+    # of id and text, so that rows without an id, or of the same one, have places of their own
+    key = F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     p = prefix
     sized = docs.withColumns({f"{p}size": word_count(text), f"{p}key": key}).withColumn(
         f"{p}bin", F.substring(f"{p}key", 1, _BIN_DIGITS)
@@ -162,6 +163,13 @@ def position(turn: Column, prefix: str = "mix_") -> Column:
     return due_time(part, F.col(f"{p}start"), F.col(f"{p}end"))
 
 
+def in_training_order(placed: DataFrame, position_col: str, id_col: str) -> DataFrame:
+    """Rows sorted by range of their training position, then id."""
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [column(position_col).asc_nulls_last(), column(id_col)]
+    return placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def mixed_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -190,9 +198,4 @@ def mixed_documents(
     cut = copies.withColumn(
         text_col, F.when(F.col(f"{p}words") < size, part).otherwise(column(text_col))
     )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        cut.repartitionByRange(n, f"{p}position", column(id_col))
-        .sortWithinPartitions(f"{p}position", column(id_col))
-        .select(*[column(c) for c in docs.columns])
-    )
+    return in_training_order(cut, f"{p}position", id_col).select(*[column(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from newsloom.llm import (
     simhash,
 )
 from newsloom.llm.sql import SQL
-from newsloom.session import ship_package
+from newsloom.session import materialize, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Tables of the queries that do not read documents.
@@ -56,7 +56,7 @@ def op1_line_templates(docs: DataFrame) -> DataFrame:
 @_query
 def op2_curriculum_mix(docs: DataFrame) -> DataFrame:
     mixed = mixing.mix(docs)
-    return mixed.select(
+    placed = mixed.select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
@@ -64,6 +64,7 @@ def op2_curriculum_mix(docs: DataFrame) -> DataFrame:
         F.col("mix_taken").alias("taken"),
         F.when(F.col("mix_taken") > 0, mixing.position(F.lit(0))).alias("first_position"),
     )
+    return mixing.in_training_order(materialize(placed, "placed"), "first_position", "doc_id")
 
 
 @_query
@@ -82,7 +83,7 @@ def op4_bm25_packing(docs: DataFrame) -> DataFrame:
 
 @_query
 def op5_bloom_dedup(docs: DataFrame) -> DataFrame:
-    return exact.mark_copies(docs).drop("n_rows")
+    return exact.mark_copies(docs)
 
 
 @_query

@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-A record's hash names one of some thousand slots for good. Bytes are added up per slot, and
+A text's hash names one of some thousand slots for good, so that equal texts stay together. Bytes are added up per slot, and
 a versioned map says which shard holds which slot. Rebalancing edits the map: it moves as
 few slots as it can, and no record is hashed anew. The map and the bytes per slot have as
 many rows as there are slots, so that they may be planned on the driver and broadcast.
@@ -24,9 +24,9 @@ _BIN_BITS = 4
 MAP_SCHEMA = "version int, slot int, shard int, bytes long"
 
 
-def record_hash(id_: Column, text: Column) -> Column:
-    """Hash of the id, or of the text where the id is null."""
-    return F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_))
+def record_hash(text: Column) -> Column:
+    """Hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def slot_of(hashed: Column, slots: int = SLOTS) -> Column:
@@ -95,10 +95,11 @@ def shard_documents(
     virtual_slot, map_version.
 
     Size is the text's UTF-8 bytes plus 1 (null: 1). The law is `bytes`: sizes of shards are
-    near equal. `slot` is the record's place in its shard, gapless from 0, in the order of
-    virtual slot, bin, hash and id. With `map_path` the map stored there is edited if it
-    exists, and the version used is added to it. Null ids are hashed by text. Repeated rows
-    share a virtual slot and have places of their own. An empty table gives an empty result.
+    near equal. Equal texts, null and empty among them, lie in one shard; a group of them that
+    is larger than a shard's share is all that can make sizes uneven. `slot` is the record's
+    place in its shard, gapless from 0, in the order of virtual slot, bin, hash and id. With
+    `map_path` the map stored there is edited if it exists, and the version used is added to
+    it. Repeated rows have places of their own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     id_, text = column(id_col), column(text_col)
@@ -106,12 +107,10 @@ def shard_documents(
         id_.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        record_hash(id_, text).alias("hash"),
-    ).select(
-        "*",
-        slot_of(F.col("hash"), slots).alias("virtual_slot"),
-        F.shiftrightunsigned("hash", 64 - _BIN_BITS).cast("int").alias("bin"),
-    )
+        slot_of(record_hash(text), slots).alias("virtual_slot"),
+        # the rows of one text are spread over the bins of its slot
+        F.xxhash64(id_, text).alias("hash"),
+    ).withColumn("bin", F.shiftrightunsigned("hash", 64 - _BIN_BITS).cast("int"))
     hashed = materialize(hashed, "hashed")
     bins = materialize(
         hashed.groupBy(F.col("virtual_slot").alias("slot"), "bin").agg(

@@ -117,7 +117,7 @@ def test_positions_follow_the_schedule(spark):
 
 
 def test_shards_are_even_and_places_gapless(spark):
-    docs = spark.createDataFrame([(i, "x" * (i % 97)) for i in range(20_000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (i % 97)) for i in range(20_000)], "doc_id long, text string")
     rows = sharding.shard_documents(docs).collect()
     sizes, places = Counter(), {}
     for r in rows:
@@ -128,8 +128,30 @@ def test_shards_are_even_and_places_gapless(spark):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_equal_texts_share_a_shard(spark):
+    rows = [(i, f"text {i % 700}" if i % 3 else ("", None)[i % 2]) for i in range(9000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shards, places = {}, {}
+    for r in got:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 9000 and all(len(s) == 1 for s in shards.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_layout_of_the_table_does_not_show(spark):
+    rng = random.Random(8)
+    rows = [(i % 40 or None, " ".join("w" * rng.randrange(1, 9) for _ in range(i % 60)), f"s{i % 4}") for i in range(600)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1)
+    two = spark.createDataFrame(rows[::-1], one.schema).repartition(7)
+    for build in (mixing.mix, sharding.shard_documents):
+        assert sorted(map(repr, build(one).collect())) == sorted(map(repr, build(two).collect()))
+    order = [[r.text for r in mixing.mixed_documents(d).collect()] for d in (one, two)]
+    assert order[0] == order[1]
+
+
 def test_map_versions(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(5000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (i % 50)) for i in range(5000)], "doc_id long, text string")
     path = str(tmp_path / "map")
     first = {r.doc_id: r.shard for r in sharding.shard_documents(docs, map_path=path).collect()}
     again = {r.doc_id: r.shard for r in sharding.shard_documents(docs, map_path=path).collect()}
