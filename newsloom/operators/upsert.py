@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from newsloom.functions.sizes import BROADCAST_BYTES, measure
+from newsloom.functions.sizes import BROADCAST_BYTES, LITERAL_IDS, measure
+
+
+# Types of keys that may be written into a plan as literals.
+_PLAIN = (T.StringType, T.IntegralType, T.DateType)
+
+# Values in one list that Spark hands to the Parquet reader as values, not as a range.
+_IN_LIST = 10
+
+
+def any_of(column: Column, values: Iterable) -> Column:
+    """Whether a column has one of a few values, null among them, as a filter for which the Parquet
+    reader consults the Bloom filters of a file where it has some."""
+    values = list(values)
+    plain = [v for v in values if v is not None]
+    lists = [column.isin(plain[i : i + _IN_LIST]) for i in range(0, len(plain), _IN_LIST)]
+    if None in values:
+        lists.append(column.isNull())
+    return reduce(Column.__or__, lists) if lists else F.lit(False)
 
 
 def unseen(
@@ -17,13 +37,15 @@ def unseen(
     key: str,
     null_safe: bool = True,
     max_bytes: int = BROADCAST_BYTES,
+    max_literals: int = LITERAL_IDS,
 ) -> DataFrame:
     """Rows of `new` whose key does not occur in `stored`; duplicates within `new` stay.
 
-    A small batch meets a large table: the batch's distinct keys are measured and, while
-    they fit, broadcast against one scan of the stored key column, which leaves at most
-    those keys to exclude. A large batch is anti-joined by shuffle, against distinct keys
-    so that a frequent stored key travels once.
+    The batch's distinct keys are measured. A few are looked up as literals, for which the
+    reader skips what cannot hold them. While they fit, they are broadcast against one scan
+    of the stored key column, which leaves at most those keys to exclude. A large batch is
+    anti-joined by shuffle, against distinct keys so that a frequent stored key travels once.
+    `new` is evaluated for each of these, so hand it a stored copy where that is costly.
     """
 
     def same(left: Column, right: Column) -> Column:
@@ -31,7 +53,14 @@ def unseen(
 
     keys = new.select(F.col(key).alias("_incoming")).distinct()
     old = stored.select(F.col(key).alias("_stored"))
-    if measure(keys)[1] <= max_bytes:
+    count, size = measure(keys)
+    alike = new.schema[key].dataType == stored.schema[key].dataType and isinstance(new.schema[key].dataType, _PLAIN)
+    if count <= max_literals and alike:
+        wanted = [r[0] for r in keys.collect() if null_safe or r[0] is not None]
+        found = old.where(any_of(F.col("_stored"), wanted)).distinct()
+        known = [r[0] for r in found.collect()] if wanted else []
+        return new.where(~F.coalesce(any_of(F.col(key), known), F.lit(False)))
+    if size <= max_bytes:
         old = old.join(
             F.broadcast(keys), same(F.col("_stored"), F.col("_incoming")), "left_semi"
         ).distinct()

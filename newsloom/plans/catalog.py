@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,14 @@ from newsloom.plans.steps import answer_queries
 from newsloom.providers import FirstHitAnswerer, HashedTokenEmbedder, KeywordClassifier, TextIds, Unsteady
 from newsloom.schemas import CONTEXT
 from newsloom.session import scratch, ship_package
+from newsloom.sinks import append, ensure_table
+from newsloom.sinks import append_new as append_new_rows
+from newsloom.sinks import insert_if_absent as insert_rows
+from newsloom.sinks import update_partitions as update_in_place
 from newsloom.sources import attach_pages, full_articles, read_query
 from newsloom.sources import read_feed as read_feed_
 from newsloom.sources.feed import entries_of
+from newsloom.streaming import ingest_stream as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +164,65 @@ def update_by_key_(s: Sample) -> DataFrame:
     return update_by_key(table, updates, "id", ["publisher"], "turn")
 
 
+@_query
+def append_new_table(s: Sample) -> DataFrame:
+    """The labelled documents are appended to a new table, then all documents by link, twice; the
+    table is read back."""
+    table = f"articles_{uuid.uuid4().hex}"
+    ensure_table(s.spark, table, "id bigint, link string, title string", location=scratch(s.spark, "table"), key="link")
+    articles = s.raw().select("link", "title")
+    stored = s.labelled().select(F.concat(F.lit("doc://"), "news_id").alias("link"), F.lit("old").alias("title"))
+    append(stored, table, id_col="id")
+    rows = [append_new_rows(articles, table, "link", id_col="id") for _ in range(2)]
+    return s.spark.table(table).select("link", "title", F.lit(rows[1]).cast("bigint").alias("added_again"))
+
+
+@_query
+def insert_if_absent_table(s: Sample) -> DataFrame:
+    """First turns of conversations, inserted beside the labels, of which none is replaced."""
+    folder = scratch(s.spark, "table")
+    append(s.labelled().select("news_id", F.lit("label").alias("role"), F.lit(None).cast("bigint").alias("turn")), folder)
+    turns = s.table("conversations").select(F.col("conv_id").alias("news_id"), "role", "turn", "text")
+    for _ in range(2):
+        insert_rows(turns, folder, "news_id", ["turn"])
+    return s.spark.read.parquet(folder)
+
+
+@_query
+def update_partitions(s: Sample) -> DataFrame:
+    """Documents stored by publisher and language; conversations change the titles of some."""
+    folder = scratch(s.spark, "table")
+    articles = s.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang", "source")
+    articles.write.partitionBy("lang", "source").parquet(folder)
+    updates = s.table("conversations").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("title"))
+    update_in_place(s.spark, folder, updates, "id", ["title"], ["turn"])
+    return s.spark.read.parquet(folder).select("id", "title", "lang", "source")
+
+
+@_query
+def ingest_stream(s: Sample) -> DataFrame:
+    """Every document lands in feed files, most of them again in a second wave; the stream takes
+    each wave, and its table is read back."""
+    folder = scratch(s.spark, "stream")
+    raw = s.raw()
+    entry = F.concat(
+        F.lit("<item><title>"), "title", F.lit("</title><link>"), "link", F.lit("</link><pubDate>"),
+        F.date_format("published_at", "dd MMM yyyy HH:mm:ss"), F.lit("</pubDate></item>"),
+    )
+    page = F.concat(
+        F.lit("<script type='application/ld+json'>{\"creator\":{\"@type\":\"Organization\",\"name\":\""), "publisher",
+        F.lit("\"}}</script><div class='atoms'><p>article "), "id", F.lit("</p></div>"),
+    )
+    raw.where("id % 3 <> 1").select(F.col("link").alias("url"), page.alias("html")).write.parquet(f"{folder}/pages")
+    first = raw.where("id % 2 = 0")
+    for wave in (first, raw):
+        wave.select(entry.alias("value")).write.mode("append").text(f"{folder}/landed")
+        stream(
+            s.spark, f"{folder}/landed", f"{folder}/pages", f"{folder}/raw", f"{folder}/checkpoint"
+        ).awaitTermination()
+    return s.spark.read.parquet(f"{folder}/raw").select("title", "link", "published_at", "publisher", "content")
+
+
 @_query
 def check_constraints(s: Sample) -> DataFrame:
     metadata = s.table("events").select(

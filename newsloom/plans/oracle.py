@@ -194,6 +194,19 @@ QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY turn) = 1)""",
 latest AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id)
 SELECT r.id, r.title, CASE WHEN l.conv_id IS NULL THEN r.publisher ELSE l.text END AS publisher
 FROM raw r LEFT JOIN latest l ON l.conv_id = r.id""",
+    "append_new_table": f"""WITH {RAW}
+SELECT 'doc://' || doc_id AS link, 'old' AS title, CAST(0 AS BIGINT) AS added_again FROM labels
+UNION ALL SELECT link, title, 0 FROM raw WHERE link NOT IN (SELECT 'doc://' || doc_id FROM labels)""",
+    "insert_if_absent_table": """SELECT doc_id AS news_id, 'label' AS role, CAST(NULL AS BIGINT) AS turn FROM labels
+UNION ALL
+(SELECT conv_id, role, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)""",
+    "update_partitions": """WITH latest AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id)
+SELECT doc_id AS id, CASE WHEN l.conv_id IS NULL THEN source ELSE l.text END AS title, lang, source
+FROM documents LEFT JOIN latest l ON l.conv_id = doc_id""",
+    "ingest_stream": f"""WITH {RAW}
+SELECT title, link, published_at, CASE WHEN id % 3 <> 1 THEN publisher END AS publisher,
+  CASE WHEN id % 3 <> 1 THEN 'article ' || id END AS content FROM raw""",
     "check_constraints": """WITH metadata AS (SELECT user_id AS news_id, event_type AS category FROM events)
 SELECT 'metadata.news_id repeated' AS violation, CAST(news_id AS VARCHAR) AS key, count(*) AS rows
 FROM metadata GROUP BY news_id HAVING count(*) > 1

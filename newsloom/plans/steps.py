@@ -33,13 +33,14 @@ def ingest_batch(
     Stored links are dropped first, and only the pages of the remaining ones are parsed.
     """
     stored = read_if_present(feed.sparkSession, raw)
-    fresh = materialize(feed if stored is None else unseen(feed, stored, "link"), "fresh")
+    landed = materialize(feed, "landed")
+    fresh = landed if stored is None else materialize(unseen(landed, stored, "link"), "fresh")
     try:
         links = fresh.select(F.col("link").alias("url")).where("url IS NOT NULL").distinct()
-        landed = pages.join(broadcast_if_small(links), "url", "left_semi")
-        return append(attach_pages(fresh, extract(landed), page_order), raw, id_col="id")
+        found = pages.join(broadcast_if_small(links), "url", "left_semi")
+        return append(attach_pages(fresh, extract(found), page_order), raw, id_col="id", key="link")
     finally:
-        discard(fresh)
+        discard(*{id(copy): copy for copy in (landed, fresh)}.values())
 
 
 def classify_step(

@@ -3,7 +3,8 @@ from newsloom.sinks.tables import (
     append_new,
     ensure_table,
     insert_if_absent,
+    update_partitions,
     update_table,
 )
 
-__all__ = ["append", "append_new", "ensure_table", "insert_if_absent", "update_table"]
+__all__ = ["append", "append_new", "ensure_table", "insert_if_absent", "update_partitions", "update_table"]

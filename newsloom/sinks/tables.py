@@ -7,23 +7,33 @@ The rows written are counted while they are written.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.operators.upsert import first_per_key, unseen, update_by_key
+from newsloom.functions.sizes import broadcast_if_small
+from newsloom.operators.upsert import any_of, first_per_key, unseen, update_by_key
 from newsloom.session import discard, materialize
 from newsloom.sources.tables import is_path, partition_columns, read_if_present, read_table
 
 _MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
 
-def _write(df: DataFrame, target: str, mode: str = "append", partitions: Sequence[str] = ()) -> int:
+def _bloom(key: str | None) -> dict[str, str]:
+    """Writer option that gives files a Bloom filter of the key, by which a later lookup of a few
+    keys skips most of them."""
+    return {} if key is None else {f"parquet.bloom.filter.enabled#{key}": "true"}
+
+
+def _write(
+    df: DataFrame, target: str, mode: str = "append", partitions: Sequence[str] = (), key: str | None = None
+) -> int:
     """One write that keeps the target's partitioning, so that what it adds is read back."""
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**_bloom(key))
     if is_path(target):
         writer.partitionBy(*partitions).parquet(target)
     elif mode == "append" and df.sparkSession.catalog.tableExists(target):
@@ -85,6 +95,7 @@ def _store(
     id_col: str | None,
     strict: bool = True,
     mode: str = "append",
+    key: str | None = None,
 ) -> int:
     """Number, conform and write. Rows to be numbered, or that depend on what they replace,
     go through a copy in the shared folder, which is removed afterwards."""
@@ -100,7 +111,7 @@ def _store(
         if number:
             df = _numbered(df, conform_to, id_col)
         kept = [c for c in partitions if conform_to is not None or c in df.columns]
-        return _write(_conform(df, conform_to, strict), target, mode, kept)
+        return _write(_conform(df, conform_to, strict), target, mode, kept, key)
     finally:
         if copy is not None:
             discard(copy)
@@ -112,9 +123,15 @@ def ensure_table(
     schema: str,
     partition_by: Sequence[str] = (),
     location: str | None = None,
+    key: str | None = None,
 ) -> None:
-    """Create a Parquet table with the columns of the DDL text `schema` unless it exists."""
+    """Create a Parquet table with the columns of the DDL text `schema` unless it exists.
+
+    Files of a table with a `key` get Bloom filters of it, which keyed writes look into.
+    """
     ddl = f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet"
+    if key is not None:
+        ddl += f" OPTIONS ({', '.join(f'{_quoted(k)} = {_quoted(v)}' for k, v in _bloom(key).items())})"
     if partition_by:
         ddl += f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})"
     if location is not None:
@@ -122,12 +139,13 @@ def ensure_table(
     spark.sql(ddl)
 
 
-def append(df: DataFrame, target: str, id_col: str | None = None) -> int:
+def append(df: DataFrame, target: str, id_col: str | None = None, key: str | None = None) -> int:
     """Append every row, without looking for duplicates; returns the rows written.
 
-    `id_col` names a generated key: new rows get the ids that follow the stored ones.
+    `id_col` names a generated key: new rows get the ids that follow the stored ones. `key`
+    names the column by which later writes will look rows up.
     """
-    return _store(df, target, read_if_present(df.sparkSession, target), id_col)
+    return _store(df, target, read_if_present(df.sparkSession, target), id_col, key=key)
 
 
 def append_new(
@@ -155,9 +173,14 @@ def append_new(
     stored = read_if_present(df.sparkSession, target)
     if dedup_within:
         df = first_per_key(df, unique_col, *order)
-    if unique_col and stored is not None:
-        df = unseen(df, stored, unique_col)
-    return _store(df, target, stored, id_col, mode=_MODES[if_exists])
+    if unique_col is None or stored is None:
+        return _store(df, target, stored, id_col, mode=_MODES[if_exists], key=unique_col)
+    batch = materialize(df, "batch")  # is measured, looked up and written
+    try:
+        fresh = unseen(batch, stored, unique_col)
+        return _store(fresh, target, stored, id_col, mode=_MODES[if_exists], key=unique_col)
+    finally:
+        discard(batch)
 
 
 def insert_if_absent(
@@ -180,9 +203,14 @@ def insert_if_absent(
         df = df.where(~failed)
     stored = read_if_present(df.sparkSession, target)
     df = first_per_key(df, key, *order, nulls_distinct=True)
-    if stored is not None:
-        df = unseen(df, stored, key, null_safe=False)
-    return _store(df, target, stored, id_col, strict=False)
+    if stored is None:
+        return _store(df, target, stored, id_col, strict=False, key=key)
+    batch = materialize(df, "batch")
+    try:
+        fresh = unseen(batch, stored, key, null_safe=False)
+        return _store(fresh, target, stored, id_col, strict=False, key=key)
+    finally:
+        discard(batch)
 
 
 def update_table(
@@ -218,6 +246,63 @@ def update_table(
     return int(matched.get["rows"])
 
 
+def update_partitions(
+    spark: SparkSession,
+    target: str,
+    updates: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    order: Sequence[str | Column],
+) -> int:
+    """Update a partitioned table in place, rewriting only partitions that hold a row to be
+    updated; returns the number of rows that matched an update.
+
+    Keys and partition columns are read first, and tell which partitions match. Their new
+    rows are written to the shared folder and then take the place of the old by dynamic
+    partition overwrite, partition by partition; files of other partitions stay as they are.
+    A run that dies in between is run again with the same updates.
+    """
+    partitions = partition_columns(spark, target)
+    if not partitions:
+        raise ValueError("the table has no partitions; use update_table")
+    if set(partitions) & {*columns}:
+        raise ValueError("rows cannot be moved between partitions")
+    stored = read_table(spark, target)
+    changes = materialize(updates, "updates")
+    copies = [changes]
+    try:
+        keys = changes.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
+        touched = (
+            stored.select(key, *partitions)
+            .join(broadcast_if_small(keys), F.col(key) == F.col("_key"), "left_semi")
+            .select(*partitions)
+            .distinct()
+            .collect()
+        )
+        if not touched:
+            return 0
+        inside = any_of(F.col(partitions[0]), {row[0] for row in touched})
+        if len(partitions) > 1:
+            places = spark.createDataFrame(touched, stored.select(*partitions).schema)
+            same = reduce(Column.__and__, [stored[p].eqNullSafe(places[p]) for p in partitions])
+            old = stored.where(inside).join(F.broadcast(places), same, "left_semi")
+        else:
+            old = stored.where(inside)
+        new = materialize(update_by_key(old, changes, key, columns, *order, flag="_matched"), "updated")
+        copies.append(new)
+        # gathers a partition in few files, and splits one that holds most rows
+        rows = _conform(new.drop("_matched"), stored).hint("rebalance", *partitions)
+        writer = rows.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **_bloom(key))
+        if is_path(target):
+            writer.partitionBy(*partitions).parquet(target)
+        else:
+            writer.insertInto(target)
+            spark.catalog.refreshTable(target)
+        return new.where("_matched").count()
+    finally:
+        discard(*copies)
+
+
 def _point_partitions(spark: SparkSession, table: str, location: str) -> None:
     """Point every partition of a table into a new snapshot; those that have no rows there
     go, new ones come. This is one statement a partition, and moves no data."""

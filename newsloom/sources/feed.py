@@ -293,17 +293,13 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
 def read_feed_stream(
     spark: SparkSession, path: str, row_tag: str = "item", max_files: int | None = None
 ) -> DataFrame:
-    """Feed files as they land, cut where entries begin, at most `max_files` per micro-batch.
-    Hand each micro-batch to `feed_batch`."""
-    reader = spark.readStream.option("lineSep", f"<{row_tag}")
+    """`read_feed` over files as they land, at most `max_files` per micro-batch. Each file is read
+    whole, as feeds land in small files; a large dump is better read by `read_feed`."""
+    reader = spark.readStream.option("wholetext", True)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select("value", "_metadata")
-
-
-def feed_batch(batch: DataFrame, row_tag: str = "item") -> DataFrame:
-    """The entries of a micro-batch of `read_feed_stream`, as `read_feed` gives them."""
-    return entries_of(stitched(batch, row_tag), row_tag)
+    cut = F.explode(F.split(_without_sections(F.col("value")), f"<{row_tag}"))
+    return entries_of(reader.text(path).select(cut.alias("value")), row_tag)
 
 
 def attach_pages(feed: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:

@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators.extract import extract_pages
 from newsloom.plans.steps import ingest_batch
-from newsloom.sources.feed import feed_batch, read_feed_stream
+from newsloom.session import discard, materialize
+from newsloom.sources.feed import read_feed_stream
 from newsloom.sources.tables import read_table
 
+#: How long a link is remembered after it was last seen.
+REMEMBER = dt.timedelta(days=30)
+
+
+def unseen_in_stream(entries: DataFrame, key: str = "link", remember: dt.timedelta = REMEMBER) -> DataFrame:
+    """Rows of a stream whose key no earlier micro-batch has brought.
+
+    Keys are kept in the state store until they have not been seen for `remember`; then they
+    count as new again, and whoever writes them has to look. Rows that share a key within one
+    micro-batch all pass. A null key is never remembered, so that rows without one do not
+    gather in one task.
+    """
+    kept = int(remember.total_seconds() * 1000)
+    names = entries.columns
+
+    def pass_new(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.exists
+        if pd.isna(group[1]):
+            state.update((True,))
+            state.setTimeoutTimestamp(state.getCurrentProcessingTimeMs() + kept)
+        for rows in batches:
+            if not known:
+                yield rows[names]
+
+    # rows without a key are told apart by the rest
+    alone = F.when(F.col(key).isNull(), F.xxhash64(*names))
+    return (
+        # the watermark is the time at which the latest rows were taken
+        entries.select("*", alone.alias("_alone"), F.current_timestamp().alias("_taken"))
+        .withWatermark("_taken", "0 seconds")
+        .groupBy(key, "_alone")
+        .applyInPandasWithState(
+            pass_new, entries.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+
 
 def ingest_stream(
     spark: SparkSession,
@@ -24,6 +68,7 @@ def ingest_stream(
     page_order: str | None = None,
     extract: Callable[[DataFrame], DataFrame] = extract_pages,
     then: Callable[[int, int], None] | None = None,
+    remember: dt.timedelta | None = REMEMBER,
 ) -> StreamingQuery:
     """Append the entries of new feed files, with publisher and content of their pages,
     to the table `raw`; links already stored are left out.
@@ -32,17 +77,29 @@ def ingest_stream(
     "20 minutes", it keeps running. `then(batch_id, rows)` runs after each batch, for
     example to classify what came in. A batch that Spark repeats finds its links stored
     and adds nothing.
+
+    Feeds bring the same entries again and again. Links seen within `remember` are dropped by
+    the state store, so that a micro-batch without new ones does not look at `raw` at all, and
+    one with a few looks for these alone; links seen longer ago are found by that. None keeps
+    no state.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest_batch(feed_batch(batch), read_table(batch.sparkSession, pages), raw, page_order, extract)
-        if then is not None:
-            then(batch_id, rows)
-
-    writer = (
-        read_feed_stream(spark, feed_path, max_files=max_files)
-        .writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-    )
+        # what is behind the state store must run once
+        entries = materialize(batch, "entries")
+        try:
+            if entries.isEmpty():
+                return
+            stored_pages = read_table(batch.sparkSession, pages)
+            rows = ingest_batch(entries, stored_pages, raw, page_order, extract)
+            if then is not None:
+                then(batch_id, rows)
+        finally:
+            discard(entries)
+
+    entries = read_feed_stream(spark, feed_path, max_files=max_files)
+    if remember is not None:
+        entries = unseen_in_stream(entries, "link", remember)
+    writer = entries.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
