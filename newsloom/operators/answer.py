@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom import fixed_values as fv
 from newsloom import schemas
 from newsloom.functions.models import model_call, spread
+from newsloom.operators.responses import ResponseLog, logged
 from newsloom.providers import TextModel
 
 _PROMPT = (
@@ -55,13 +56,17 @@ def render_answer_prompt(query: Column, context: Column, template: str = _PROMPT
 
 
 def generate_answers(
-    prompts: DataFrame, provider: Callable[[], TextModel], parallelism: int | None = None
+    prompts: DataFrame,
+    provider: Callable[[], TextModel],
+    parallelism: int | None = None,
+    log: ResponseLog | None = None,
 ) -> DataFrame:
     """Add `response, status` from one call per row of `prompt, context`, without a retry.
 
     Status is ok, empty or error, and null where the prompt is null: no call is made
     then. Only prompt and context go to Python. `parallelism` spreads the calls over
-    that many tasks, by default as many as a shuffle has.
+    that many tasks, by default as many as a shuffle has. With a `log`, prompts whose answer
+    is there are not asked.
     """
 
     def ask(model: TextModel, prompt: str | None, context: str | None) -> dict:
@@ -73,10 +78,16 @@ def generate_answers(
             return {"response": None, "status": "error"}
         return {"response": response or None, "status": "ok" if response else "empty"}
 
-    prompts = spread(prompts, parallelism)
-    reply = model_call(ask, provider)(F.col("prompt"), F.col("context"))
-    return prompts.withColumn("_reply", reply).select(
-        *prompts.columns, "_reply.response", "_reply.status"
+    def replies(asked: DataFrame) -> DataFrame:
+        reply = model_call(ask, provider)(F.col("prompt"), F.col("context"))
+        return spread(asked, parallelism).withColumn("_reply", reply).select(
+            *asked.columns, "_reply.response", "_reply.status"
+        )
+
+    if log is None:
+        return replies(prompts)
+    return logged(
+        prompts, log, ("prompt", "context"), replies, ("response", "status"), F.col("status") == "ok"
     )
 
 

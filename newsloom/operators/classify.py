@@ -15,6 +15,7 @@ from newsloom import fixed_values as fv
 from newsloom import schemas
 from newsloom.functions.models import model_call, spread
 from newsloom.functions.text import classifier_text
+from newsloom.operators.responses import ResponseLog, logged
 from newsloom.providers import TextModel
 
 # Batches per bucket when the number of buckets follows from the row count.
@@ -116,19 +117,30 @@ def classify_batches(
     attempts: int = fv.ATTEMPTS,
     pause: float = fv.PAUSE_SECONDS,
     parallelism: int | None = None,
+    log: ResponseLog | None = None,
 ) -> DataFrame:
     """Call the model once per batch: adds `response` and `status`.
 
     `batches` has the columns of `make_batches` plus `prompt`. `parallelism` spreads the
-    calls over that many tasks, by default as many as a shuffle has. A task that Spark repeats repeats its calls, so store the
-    result before joining it (`session.materialize`).
+    calls over that many tasks, by default as many as a shuffle has. A task that Spark
+    repeats repeats its calls, so store the result before joining it
+    (`session.materialize`). With a `log`, batches whose answer is there are not asked.
     """
-    batches = spread(batches, parallelism, "bucket", "batch")
     ask = partial(_ask, attempts=attempts, pause=pause)
-    reply = model_call(ask, provider)(F.col("prompt"), F.col("items"))
-    return batches.withColumn("_reply", reply).select(
-        "bucket", "batch", "ids", "_reply.response", "_reply.status"
-    )
+
+    def replies(asked: DataFrame) -> DataFrame:
+        keys = [c for c in ("bucket", "batch") if c in asked.columns]
+        asked = spread(asked, parallelism, *keys)
+        reply = model_call(ask, provider)(F.col("prompt"), F.col("items"))
+        return asked.withColumn("_reply", reply).select(*asked.columns, "_reply.response", "_reply.status")
+
+    if log is None:
+        answered = replies(batches)
+    else:
+        answered = logged(
+            batches, log, ("prompt", "items"), replies, ("response", "status"), F.col("status") == "ok"
+        )
+    return answered.select("bucket", "batch", "ids", "response", "status")
 
 
 def explode_classified(responses: DataFrame) -> DataFrame:
@@ -160,8 +172,9 @@ def classify_articles(
     attempts: int = fv.ATTEMPTS,
     pause: float = fv.PAUSE_SECONDS,
     parallelism: int | None = None,
+    log: ResponseLog | None = None,
 ) -> DataFrame:
     """Batches through the model and back to rows, as one plan."""
     batches = make_batches(articles, size, buckets)
     prompts = batches.withColumn("prompt", render_classify_prompt(F.col("items"), categories))
-    return explode_classified(classify_batches(prompts, provider, attempts, pause, parallelism))
+    return explode_classified(classify_batches(prompts, provider, attempts, pause, parallelism, log))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.models import spread
 from newsloom.functions.text import strip
+from newsloom.operators.responses import ResponseLog, logged
 from newsloom.providers import Embedder
 
 
@@ -72,17 +73,29 @@ def embed_chunks(
     parallelism: int | None = None,
     fail_fast: bool = False,
     dim: int | None = None,
+    log: ResponseLog | None = None,
 ) -> DataFrame:
     """Add `embedding`, of unit length; blank text has none and keeps its row. A text that
     the model fails on, or gives a vector of another length than `dim`, has none either, or
     ends the job if `fail_fast`.
 
     Rows are spread over `parallelism` tasks first, by default as many as a shuffle has,
-    since inputs behind a limit sit in one.
+    since inputs behind a limit sit in one. With a `log`, texts whose vector is there are
+    not embedded again, and equal texts once.
     """
-    chunks = spread(chunks, parallelism)
     filled = F.when(strip(F.col(text)) != "", F.col(text))
-    return chunks.withColumn("embedding", vectors_of(filled, provider, normalize=True, fail_fast=fail_fast, dim=dim))
+
+    def embedded(asked: DataFrame, of: Column) -> DataFrame:
+        vectors = vectors_of(of, provider, normalize=True, fail_fast=fail_fast, dim=dim)
+        return spread(asked, parallelism).withColumn("embedding", vectors)
+
+    if log is None:
+        return embedded(chunks, filled)
+    asked = chunks.withColumn("_filled", filled)
+    found = logged(
+        asked, log, ("_filled",), lambda part: embedded(part, F.col("_filled")), ("embedding",), F.col("embedding").isNotNull()
+    )
+    return found.drop("_filled")
 
 
 def embed_queries(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from newsloom import fixed_values as fv
 from newsloom.functions.sizes import broadcast_if_small
 from newsloom.operators import answer, backlog, chunk, classify, embed, search
 from newsloom.operators.extract import extract_pages
+from newsloom.operators.responses import ResponseLog
+from newsloom.operators.retries import Retries, due, failed_now, settled
 from newsloom.operators.upsert import unseen
 from newsloom.providers import Embedder, TextModel
 from newsloom.schemas import CONTEXT
@@ -55,28 +58,45 @@ def classify_step(
     pause: float = fv.PAUSE_SECONDS,
     parallelism: int | None = None,
     skip_failed: bool = False,
+    log: ResponseLog | None = None,
+    retries: Retries | None = None,
+    now: dt.datetime | None = None,
 ) -> int:
     """Classify the articles without metadata and store the results; returns the rows
     inserted. Running it again inserts nothing new.
 
     The selection and the model's responses are written once, so that no call is
-    repeated by a later stage or a lost executor.
+    repeated by a later stage or a lost executor. With a `log`, neither are the calls of
+    earlier runs. With `retries`, articles that failed are left until they are due, and their
+    failure is stored after the last attempt; without, it is stored at once, or never with
+    `skip_failed`. `now` is the moment of the run.
     """
+    now = now or dt.datetime.now()
+    articles = read_table(spark, raw)
+    if retries is not None:
+        articles = due(articles.withColumn("news_id", F.col("id")), retries, now).drop("news_id")
     waiting = materialize(
-        backlog.unclassified_backlog(read_table(spark, raw), read_table(spark, metadata), limit),
+        backlog.unclassified_backlog(articles, read_table(spark, metadata), limit),
         "backlog",
     )
     copies = [waiting]
     try:
         results = materialize(
             classify.classify_articles(
-                waiting, provider, categories, size, None, attempts, pause, parallelism
+                waiting, provider, categories, size, None, attempts, pause, parallelism, log
             ),
             "classified",
         )
         copies.append(results)
+        rows = classify.join_back(results, waiting)
+        if retries is not None:
+            # what fails for good is stored before it is counted, so that a lost run counts less, not more
+            rows = settled(rows, retries)
+            stored = insert_if_absent(rows, metadata, "news_id", ("bucket", "batch", "place"), id_col="id")
+            append(failed_now(classify.join_back(results, waiting), now), retries.journal)
+            return stored
         return insert_if_absent(
-            classify.join_back(results, waiting),
+            rows,
             metadata,
             "news_id",
             ("bucket", "batch", "place"),
@@ -102,6 +122,7 @@ def embed_step(
     require_metadata: bool = True,
     fail_fast: bool = False,
     dim: int | None = None,
+    log: ResponseLog | None = None,
 ) -> int:
     """Chunk and embed the articles without chunks and store the rows; returns their
     number. The write is committed whole, so a failed run is simply run again."""
@@ -115,7 +136,7 @@ def embed_step(
     pieces = chunk.chunk_metadata(
         chunk.chunk_articles(waiting, max_length, overlap, delimiters, terminator)
     )
-    vectors = embed.embed_chunks(pieces, provider, parallelism=parallelism, fail_fast=fail_fast, dim=dim)
+    vectors = embed.embed_chunks(pieces, provider, parallelism=parallelism, fail_fast=fail_fast, dim=dim, log=log)
     return append(vectors, chunks, id_col="id")
 
 
@@ -128,6 +149,7 @@ def answer_queries(
     k: int = fv.TOP_K,
     max_articles: int = fv.MAX_FULL_ARTICLES,
     parallelism: int | None = None,
+    log: ResponseLog | None = None,
 ) -> DataFrame:
     """`query_id, query, results, answer, text` for a table of `query_id, query`.
 
@@ -144,7 +166,7 @@ def answer_queries(
         .withColumn("prompt", answer.render_answer_prompt(F.col("query"), F.col("context")))
     )
     answered = materialize(
-        answer.generate_answers(prompts, model, parallelism).drop("prompt", "context"), "answers"
+        answer.generate_answers(prompts, model, parallelism, log).drop("prompt", "context"), "answers"
     )
     discard(asked, hits)
     return answered.select(
