@@ -20,16 +20,16 @@ def in_range(metadata: DataFrame, start: Day = None, end: Day = None, today: Day
     return metadata.where(date_bounds(F.col("published_at"), start, end, today))
 
 
-def _top(metadata: DataFrame, by: str, limit: int, *days: Day) -> DataFrame:
+def ranked_names(counted: DataFrame, by: str, limit: int) -> DataFrame:
+    """The most frequent of some counted names; ties by name, the missing one last."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    return (
-        in_range(metadata, *days)
-        .groupBy(by)
-        .agg(F.count("news_id").alias("count"))
-        .orderBy(F.desc("count"), F.asc_nulls_last(by))
-        .limit(limit)
-    )
+    return counted.orderBy(F.desc("count"), F.asc_nulls_last(by)).limit(limit)
+
+
+def _top(metadata: DataFrame, by: str, limit: int, *days: Day) -> DataFrame:
+    counted = in_range(metadata, *days).groupBy(by).agg(F.count("news_id").alias("count"))
+    return ranked_names(counted, by, limit)
 
 
 def top_categories(
@@ -93,16 +93,18 @@ def trend_table(
     return named.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
+def trend_sentence(total: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+    """`total, sentence`: the total and the days asked for."""
+    days = [F.lit(fv.ALL_TIME if day is None else str(day)[:10]) for day in (start, end)]
+    return total.select("total", F.format_string(fv.TREND_SENTENCE, F.col("total"), *days).alias("sentence"))
+
+
 def trend_report(
     metadata: DataFrame, start: Day = None, end: Day = None, limit: int = fv.TREND_LIMIT, today: Day = None
 ) -> TrendReport:
     """Both top lists, and one sentence with the total and the days asked for."""
-    total = total_in_range(metadata, start, end, today)
-    days = [F.lit(fv.ALL_TIME if day is None else str(day)[:10]) for day in (start, end)]
     return TrendReport(
         top_categories(metadata, start, end, limit, today),
         top_publishers(metadata, start, end, limit, today),
-        total.select(
-            "total", F.format_string(fv.TREND_SENTENCE, F.col("total"), *days).alias("sentence")
-        ),
+        trend_sentence(total_in_range(metadata, start, end, today), start, end),
     )

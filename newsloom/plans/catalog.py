@@ -12,7 +12,20 @@ from newsloom.functions.dates import parse_feed_date, stringify_timestamp
 from newsloom.functions.html import page_parts
 from newsloom.functions.text import classifier_text, split_sentences
 from newsloom.functions.vectors import cosine_similarity
-from newsloom.operators import analytics, answer, backlog, cells, chunk, classify, constraints, embed, extract, search
+from newsloom.operators import (
+    analytics,
+    answer,
+    backlog,
+    cells,
+    chunk,
+    classify,
+    constraints,
+    daily,
+    embed,
+    extract,
+    search,
+)
+from newsloom.operators.responses import ResponseLog
 from newsloom.operators.upsert import first_per_key, unseen, update_by_key
 from newsloom.plans.sample import Sample
 from newsloom.plans.steps import answer_queries
@@ -411,6 +424,18 @@ def embed_chunks(s: Sample) -> DataFrame:
     ).select("news_id", "dim", F.round("value", 6).alias("value"))
 
 
+@_query
+def embed_logged(s: Sample) -> DataFrame:
+    """Every document embedded through a log of vectors, twice: the second run asks for none."""
+    log = ResponseLog(scratch(s.spark, "vectors"), "hashed tokens, 64")
+    chunks = s.articles().select("news_id", F.col("content").alias("chunk_text"))
+    for _ in range(2):
+        found = embed.embed_chunks(chunks, HashedTokenEmbedder(64), log=log)
+    return found.select(
+        "news_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")
+    ).select("news_id", "dim", F.round("value", 6).alias("value"))
+
+
 @_query
 def embed_backlog(s: Sample) -> DataFrame:
     waiting = backlog.unembedded_backlog(s.raw(), s.metadata(), s.chunks(), limit=None)
@@ -602,11 +627,28 @@ def trend_table(s: Sample) -> DataFrame:
     return analytics.trend_table(s.metadata(), START, END)
 
 
-@_query
-def trend_report(s: Sample) -> DataFrame:
-    report = analytics.trend_report(s.metadata(), START, END)
+def _report(report: analytics.TrendReport) -> DataFrame:
     return (
         report.categories.select(F.lit("category").alias("kind"), F.col("category").alias("name"), "count")
         .union(report.publishers.select(F.lit("publisher"), "publisher", "count"))
         .union(report.summary.select(F.lit("sentence"), "sentence", "total"))
     )
+
+
+@_query
+def trend_report(s: Sample) -> DataFrame:
+    return _report(analytics.trend_report(s.metadata(), START, END))
+
+
+@_query
+def daily_report(s: Sample) -> DataFrame:
+    """The report from counts kept by day: one batch comes with wrong categories that are put
+    right, the other is recorded twice."""
+    folder, metadata = scratch(s.spark, "daily"), s.metadata()
+    first, rest = metadata.where("id % 3 = 0"), metadata.where("id % 3 <> 0")
+    wrong = first.withColumn("category", F.lit("unknown")).withColumn("published_at", F.expr("published_at - interval 9 days"))
+    daily.record(wrong, folder, "first")
+    daily.record(rest, folder, "rest")
+    daily.record(rest, folder, "rest")
+    daily.record_change(wrong, first, folder, "mended")
+    return _report(daily.trend_report(s.spark.read.parquet(folder), START, END))

@@ -394,3 +394,6 @@ FROM metadata WHERE {IN_RANGE}""",
 }
 # The index changes what is read, not what is found.
 ORACLE["search_pruned"] = ORACLE["search_top_k_batch"]
+# Kept counts give what the articles give, and a log what the model gives.
+ORACLE["daily_report"] = ORACLE["trend_report"]
+ORACLE["embed_logged"] = ORACLE["embed_chunks"]
