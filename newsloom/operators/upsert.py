@@ -44,7 +44,8 @@ def unseen(
     The batch's distinct keys are measured. A few are looked up as literals, for which the
     reader skips what cannot hold them. While they fit, they are broadcast against one scan
     of the stored key column, which leaves at most those keys to exclude. A large batch is
-    anti-joined by shuffle, against distinct keys so that a frequent stored key travels once.
+    anti-joined by shuffle, against distinct keys so that a frequent stored key travels once;
+    of a table that is bucketed by the key only the batch is shuffled.
     `new` is evaluated for each of these, so hand it a stored copy where that is costly.
     """
 
@@ -55,7 +56,7 @@ def unseen(
     old = stored.select(F.col(key).alias("_stored"))
     count, size = measure(keys)
     alike = new.schema[key].dataType == stored.schema[key].dataType and isinstance(new.schema[key].dataType, _PLAIN)
-    if count <= max_literals and alike:
+    if count <= max_literals and size <= max_bytes and alike:
         wanted = [r[0] for r in keys.collect() if null_safe or r[0] is not None]
         found = old.where(any_of(F.col("_stored"), wanted)).distinct()
         known = [r[0] for r in found.collect()] if wanted else []
@@ -64,10 +65,12 @@ def unseen(
         old = old.join(
             F.broadcast(keys), same(F.col("_stored"), F.col("_incoming")), "left_semi"
         ).distinct()
-        old = F.broadcast(old)
-    else:
-        old = old.distinct()
-    return new.join(old, same(F.col(key), F.col("_stored")), "left_anti")
+        return new.join(F.broadcast(old), same(F.col(key), F.col("_stored")), "left_anti")
+    # plain equality, which a table bucketed by the key needs no shuffle for; nulls apart
+    if null_safe and not old.where("_stored IS NULL").isEmpty():
+        new = new.where(F.col(key).isNotNull())
+    old = old.where("_stored IS NOT NULL").distinct()
+    return new.join(old, F.col(key) == F.col("_stored"), "left_anti")
 
 
 def first_per_key(

@@ -28,15 +28,30 @@ def _bloom(key: str | None) -> dict[str, str]:
     return {} if key is None else {f"parquet.bloom.filter.enabled#{key}": "true"}
 
 
+def _by_bucket(df: DataFrame, table: str) -> DataFrame:
+    """Rows for a bucketed table with those of a bucket together, so that a write adds few files;
+    a bucket of very many rows may be split. Rows for other tables stay as they are."""
+    spark = df.sparkSession
+    keys = [c.name for c in spark.catalog.listColumns(table) if c.isBucket]
+    if not keys:
+        return df
+    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    bucket = F.pmod(F.hash(*keys), F.lit(int(facts["Num Buckets"])))
+    return df.withColumn("_bucket", bucket).hint("rebalance", "_bucket").drop("_bucket")
+
+
 def _write(
     df: DataFrame, target: str, mode: str = "append", partitions: Sequence[str] = (), key: str | None = None
 ) -> int:
     """One write that keeps the target's partitioning, so that what it adds is read back."""
     seen = Observation()
+    into = mode == "append" and not is_path(target) and df.sparkSession.catalog.tableExists(target)
+    if into:
+        df = _by_bucket(df, target)
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**_bloom(key))
     if is_path(target):
         writer.partitionBy(*partitions).parquet(target)
-    elif mode == "append" and df.sparkSession.catalog.tableExists(target):
+    elif into:
         writer.insertInto(target)  # by position, which _conform has put right
     else:
         writer.format("parquet").partitionBy(*partitions).saveAsTable(target)
@@ -124,16 +139,23 @@ def ensure_table(
     partition_by: Sequence[str] = (),
     location: str | None = None,
     key: str | None = None,
+    buckets: int | None = None,
 ) -> None:
     """Create a Parquet table with the columns of the DDL text `schema` unless it exists.
 
-    Files of a table with a `key` get Bloom filters of it, which keyed writes look into.
+    Files of a table with a `key` get Bloom filters of it, which keyed writes look into. With
+    `buckets` rows are stored by the key's hash, so that keyed writes of large batches need not
+    shuffle what is stored; choose as many as a shuffle has partitions, or more.
     """
+    if buckets is not None and key is None:
+        raise ValueError("buckets need a key")
     ddl = f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet"
     if key is not None:
         ddl += f" OPTIONS ({', '.join(f'{_quoted(k)} = {_quoted(v)}' for k, v in _bloom(key).items())})"
     if partition_by:
         ddl += f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})"
+    if buckets is not None:
+        ddl += f" CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS"
     if location is not None:
         ddl += f" LOCATION '{location}'"
     spark.sql(ddl)

@@ -175,3 +175,37 @@ def test_partitioned_table(spark):
     assert append_new(batch, "by_day", "k") == 1
     assert append_new(batch, "by_day", "k") == 0
     assert spark.table("by_day").where("day = '2025-01-01'").select("k", "v").first() == ("a", 1)
+
+
+def _exchanges(df):
+    """Columns that the plan shuffles by, before adaptive execution."""
+    import re
+
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
+
+
+def test_stored_side_of_a_bucketed_table_is_not_shuffled(spark):
+    ensure_table(spark, "bucketed", "id bigint, k string, v int", key="k", buckets=8)
+    ensure_table(spark, "unbucketed", "id bigint, k string, v int", key="k")
+    old = spark.range(3000).selectExpr("if(id % 100 = 0, null, concat('k', id % 1900)) AS k", "int(id) AS v")
+    new = spark.range(3000).selectExpr("if(id % 70 = 0, null, concat('k', id + 1000)) AS k", "int(id) AS v")
+    for table in ("bucketed", "unbucketed"):
+        append(old, table, id_col="id")
+    found = {}
+    for table in ("bucketed", "unbucketed"):
+        for null_safe in (True, False):
+            got = unseen(new, spark.table(table), "k", null_safe, max_bytes=0)
+            found[table, null_safe] = rows(got)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+            shuffled = _exchanges(unseen(new, spark.table(table), "k", null_safe, max_bytes=0))
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert any(c.startswith("k#") for c in shuffled)
+            assert any("_stored" in c for c in shuffled) == (table == "unbucketed")
+    for null_safe in (True, False):
+        assert found["bucketed", null_safe] == found["unbucketed", null_safe]
+    assert append_new(new, "bucketed", "k", id_col="id") == len(found["bucketed", True])
+    assert append_new(new, "bucketed", "k", id_col="id") == 0
+    assert sorted(r.id for r in spark.table("bucketed").collect()) == list(range(1, 3001 + len(found["bucketed", True])))
+    with pytest.raises(ValueError, match="key"):
+        ensure_table(spark, "keyless", "k string", buckets=4)
