@@ -69,11 +69,30 @@ class WordEncoder:
     def of_word(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
             ids = self.known[word] = self._new(word)
         return ids
 
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Words of ASCII letters, which are most of the new ones, take a
+        short way of their own."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        known, tokenize, marks = self.known, self.model.tokenize, string.punctuation
+        out = []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                core = word if word.isalpha() else word.rstrip(marks)
+                if core.isascii() and core.isalpha() and "'" not in word:
+                    ids = array("I", [t.id for t in tokenize(core.lower())]).tobytes()
+                    if len(core) < len(word):
+                        ids += self.of_word(word[len(core) :])
+                else:
+                    ids = self._new(word)
+                known[word] = ids
+            out.append(ids)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and, last, end, smallest word hash
         of each text). A null text is empty; no words have the largest hash."""
@@ -82,7 +101,7 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         codes = coded.indices.to_numpy()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        ids = [self.of_word(w) for w in words]
+        ids = self.of_words(words)
         # places fit 32 bits, as a chunk has far fewer ids
         each = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
