@@ -262,16 +262,14 @@ def build_context(hits: DataFrame) -> DataFrame:
     )
 
 
-def metadata_search(
+def metadata_filter(
     metadata: DataFrame,
-    raw: DataFrame,
     category: str | None = None,
     publisher: str | None = None,
     start: dt.datetime | str | None = None,
     end: dt.datetime | str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(`total_count`, rows of `title, publisher, link`) of the articles that match
-    every condition given; both dates are inclusive moments."""
+) -> DataFrame:
+    """Rows that match every condition given; both dates are inclusive moments."""
     found = metadata
     if category is not None:
         found = found.where(F.col("category") == category)
@@ -281,6 +279,20 @@ def metadata_search(
         found = found.where(F.col("published_at") >= F.lit(str(start)).cast("timestamp_ntz"))
     if end is not None:
         found = found.where(F.col("published_at") <= F.lit(str(end)).cast("timestamp_ntz"))
+    return found
+
+
+def metadata_search(
+    metadata: DataFrame,
+    raw: DataFrame,
+    category: str | None = None,
+    publisher: str | None = None,
+    start: dt.datetime | str | None = None,
+    end: dt.datetime | str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(`total_count`, rows of `title, publisher, link`) of the articles that match
+    every condition given; both dates are inclusive moments."""
+    found = metadata_filter(metadata, category, publisher, start, end)
     links = raw.select(F.col("id").alias("_article"), "link")
     rows = found.join(links, F.col("news_id") == F.col("_article"), "left").select(
         "title", "publisher", "link"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from newsloom.operators import (
     cells,
     chunk,
     classify,
+    clustered,
     constraints,
     daily,
     embed,
@@ -531,6 +533,22 @@ def metadata_search_total(s: Sample) -> DataFrame:
     return search.metadata_search(s.metadata(), s.raw(), publisher="u7", end=END)[0]
 
 
+@_query
+def metadata_pages(s: Sample) -> DataFrame:
+    """All pages of a search, one after the other, over metadata stored along a curve."""
+    folder = scratch(s.spark, "metadata")
+    clustered.write_clustered(s.metadata(), folder)
+    metadata, raw = s.spark.read.parquet(folder), s.raw()
+    size, after, pages = max(50, metadata.count() // 40), None, []
+    while not pages or after is not None:
+        page = clustered.metadata_page(
+            metadata, raw, size, after, category="purchase", start=f"{START} 06:00:00", end=f"{END} 18:00:00"
+        )
+        pages.append(page.rows)
+        after = page.after
+    return reduce(DataFrame.union, pages)
+
+
 # Answers
 
 

@@ -397,3 +397,4 @@ ORACLE["search_pruned"] = ORACLE["search_top_k_batch"]
 # Kept counts give what the articles give, and a log what the model gives.
 ORACLE["daily_report"] = ORACLE["trend_report"]
 ORACLE["embed_logged"] = ORACLE["embed_chunks"]
+ORACLE["metadata_pages"] = ORACLE["metadata_search"]
