@@ -6,7 +6,8 @@ The rows written are counted while they are written.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import unquote
 
@@ -268,6 +269,19 @@ def update_table(
     return int(matched.get["rows"])
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Overwrites replace the partitions they have rows for. The writer's option of that name does
+    not hold for tables of the catalog, the session's setting does."""
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def update_partitions(
     spark: SparkSession,
     target: str,
@@ -314,12 +328,13 @@ def update_partitions(
         copies.append(new)
         # gathers a partition in few files, and splits one that holds most rows
         rows = _conform(new.drop("_matched"), stored).hint("rebalance", *partitions)
-        writer = rows.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **_bloom(key))
-        if is_path(target):
-            writer.partitionBy(*partitions).parquet(target)
-        else:
-            writer.insertInto(target)
-            spark.catalog.refreshTable(target)
+        writer = rows.write.mode("overwrite").options(**_bloom(key))
+        with _dynamic_overwrite(spark):
+            if is_path(target):
+                writer.partitionBy(*partitions).parquet(target)
+            else:
+                writer.insertInto(target)
+                spark.catalog.refreshTable(target)
         return new.where("_matched").count()
     finally:
         discard(*copies)
