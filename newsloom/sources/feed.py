@@ -75,11 +75,6 @@ def _body(entry: Column, elements: tuple[str, ...]) -> Column:
     )
 
 
-def _text(body: Column) -> Column:
-    """References decoded; null if nothing is left."""
-    return F.nullif(decode_references(body), F.lit(""))
-
-
 def _without_sections(value: Column) -> Column:
     """Marked sections as text with references, comments gone: what is left has tags only
     where there are elements."""
@@ -120,10 +115,10 @@ def entries_of(pieces: DataFrame, row_tag: str) -> DataFrame:
         _body(e, _SUMMARY).alias("summary"),
     )
     return bodies.select(
-        _text(F.col("title")).alias("title"),
-        F.trim(_text(F.col("link"))).alias("link"),
-        parse_feed_date(_text(F.col("date"))).alias("published_at"),
-        _text(F.col("summary")).alias("summary"),
+        decode_references(F.col("title")).alias("title"),
+        F.trim(decode_references(F.col("link"))).alias("link"),
+        parse_feed_date(decode_references(F.col("date"))).alias("published_at"),
+        decode_references(F.col("summary")).alias("summary"),
     )
 
 
