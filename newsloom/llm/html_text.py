@@ -4,13 +4,16 @@ A page becomes a tree: tags that the author left out are implied, end tags close
 may close. A walk over the tree drops what a browser does not show and writes the rest:
 blanks collapse, blocks stand on lines of their own, paragraphs and tables are set apart by
 an empty line, list items carry their mark and depth, table cells stand in columns. Neither
-the builder nor the walk recurses, so that depth has no limit.
+the builder nor the walk recurses, so that depth has no limit. Blanks that set text in
+columns or in depth are bounded in front of each piece of text, so that a page's text is at
+most a small multiple of the page; no text is left out for that.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +28,8 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\b", re.I)
+#: What begins a tag. Behind the last `>` of a page nothing ends it, and a browser shows no more.
+_BEGUN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 #: The end of a tag whose slash belongs to a value without quotes.
 _SLASH_IN_VALUE = re.compile(r"""=\s*[^\s"'=<>`]+\Z""")
 
@@ -71,6 +76,10 @@ _IMPLIED_END = {
 _HEAD_ONLY = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 _SCOPE = frozenset("table td th caption html button object".split())
 
+#: Widest cell line that others are aligned with, most blanks in front of a piece of text,
+#: deepest indent, and tables inside each other that are set in columns.
+WIDEST, GAP, DEEPEST, NESTED = 60, 120, 20, 64
+
 
 class Node:
     __slots__ = ("tag", "attributes", "children")
@@ -93,10 +102,11 @@ class Builder:
         self.root = Node("html", {})
         self.drawings = False
         self.open = [self.root]
+        self.names: Counter[str] = Counter()  # of the open tags
 
     def build(self, page: str) -> Node:
-        at = 0
-        while (m := _TAG.search(page, at)) is not None:
+        at, last = 0, page.rfind(">")
+        while at <= last and (m := _TAG.search(page, at)) is not None and m.start() < last:
             if m.start() > at:
                 self.text(html.unescape(page[at : m.start()]))
             at = m.end()
@@ -109,20 +119,26 @@ class Builder:
                 continue
             self.start(name, m[3])
             if name not in _VOID and m[3].endswith("/") and not _SLASH_IN_VALUE.search(m[3]) and self._drawing():
-                self.open.pop()
+                self._close(-1)
                 continue
             if name in _RAW:
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)|\Z", re.I).search(page, at)
                 inside = page[at : close.start()]
                 if name == "textarea":
                     inside = html.unescape(inside)
                 self.open[-1].children.append(inside)
-                self.open.pop()
+                self._close(-1)
                 at = close.end()
-        if at < len(page):
-            self.text(html.unescape(page[at:]))
+        begun = _BEGUN.search(page, at)
+        if at < (end := begun.start() if begun else len(page)):
+            self.text(html.unescape(page[at:end]))
         return self.root
 
+    def _close(self, i: int) -> None:
+        """Close the open tags from place `i` on."""
+        self.names.subtract(node.tag for node in self.open[i:])
+        del self.open[i:]
+
     def text(self, text: str) -> None:
         if text.strip(" \t\n\r\f"):
             self._leave_head()
@@ -130,11 +146,13 @@ class Builder:
 
     def _leave_head(self) -> None:
         if len(self.open) > 1 and self.open[1].tag == "head":
-            del self.open[1:]
+            self._close(1)
 
     def _depth(self, names, stop) -> int | None:
         """Place of the outermost open tag of `names` inside the innermost of `stop`."""
         found = None
+        if not any(self.names[name] for name in names):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in stop:
@@ -158,36 +176,38 @@ class Builder:
 
     def start(self, name: str, source: str) -> None:
         attributes = _attributes(source) if source and not source.isspace() else {}
-        if name in ("html", "body") and (name == "html" or any(n.tag == "body" for n in self.open)):
+        if name in ("html", "body") and (name == "html" or self.names["body"] > 0):
             return
         if name not in _HEAD_ONLY:
             self._leave_head()
         if name in _CLOSE_P and (i := self._depth({"p"}, _SCOPE)) is not None:
-            del self.open[i:]
+            self._close(i)
         if name in _IMPLIED_END:
             names, stop = _IMPLIED_END[name]
             if (i := self._depth(names, stop)) is not None:
-                del self.open[i:]
+                self._close(i)
         if name in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push(Node("tr", {}))
         self.drawings = self.drawings or name in ("svg", "math")
         node = Node(name, attributes)
-        self.open[-1].children.append(node)
-        if name not in _VOID:
-            self.open.append(node)
+        if name in _VOID:
+            self.open[-1].children.append(node)
+        else:
+            self._push(node)
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.names[node.tag] += 1
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
             return
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.names[name] > 0 else ():
             tag = self.open[i].tag
             if tag == name:
-                del self.open[i:]
+                self._close(i)
                 return
             if tag in _SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
@@ -214,6 +234,17 @@ def visible(node: Node, above: bool) -> bool:
     return told[-1].lower() in ("visible", "initial") if told else above
 
 
+def _seen_children(node: Node) -> list[Node | str]:
+    """Of a closed `details` only its summary is seen."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
+
+
+def _leading(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
 class _Page:
     """Lines being written. `gap` is how many line ends are due before the next text."""
 
@@ -229,7 +260,7 @@ class _Page:
         if self.gap and self.parts:
             self.parts.append("\n" * self.gap)
         if self.gap or not self.parts:
-            self.parts.append("  " * max(self.indent - bool(self.mark), 0) + self.mark)
+            self.parts.append("  " * min(max(self.indent - bool(self.mark), 0), DEEPEST) + self.mark)
             self.mark = ""
         elif self.blank:
             self.parts.append(" ")
@@ -248,7 +279,9 @@ class _Page:
 
     def lines(self, lines: list[str]) -> None:
         self._begin()
-        self.parts.append(("\n" + "  " * self.indent).join(lines))
+        indent = 2 * min(self.indent, DEEPEST)
+        first, *rest = lines
+        self.parts.append("\n".join([first, *(" " * min(indent, max(GAP - _leading(x), 0)) + x for x in rest)]))
         self.block(1)
 
     def text(self) -> str:
@@ -256,24 +289,39 @@ class _Page:
 
 
 def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell text, columns spanned) as lines with columns two blanks apart."""
+    """Rows of (cell text, columns spanned) as lines with columns two blanks apart. A column
+    is as wide as its longest cell line of at most WIDEST characters; behind a longer one
+    the row goes on two blanks further. At most GAP blanks stand in front of any text."""
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
         for text, span in row:
+            widths.setdefault(at, 0)
             if span == 1:
-                widths[at] = max([widths.get(at, 0), *map(len, text.split("\n"))])
+                widths[at] = max([widths[at], *(n for n in map(len, text.split("\n")) if n <= WIDEST)])
             at += span
+    places, total = {}, 0
+    for at in sorted(widths):
+        places[at] = total
+        total += widths[at] + 2
     lines = []
     for row in rows:
-        cells = [text.split("\n") for text, _ in row]
-        for k in range(max(map(len, cells), default=0)):
-            line, at = "", 0
-            for (_, span), cell in zip(row, cells):
-                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                line += (cell[k] if k < len(cell) else "").ljust(width) + "  "
-                at += span
-            lines.append(line.rstrip())
+        pieces: list[list[tuple[int, str]]] = []
+        at = 0
+        for text, span in row:
+            for k, piece in enumerate(text.split("\n") if text else ()):
+                if k == len(pieces):
+                    pieces.append([])
+                if piece:
+                    pieces[k].append((places[at], piece))
+            at += span
+        for line in pieces:
+            parts, length = [], 0
+            for place, piece in line:
+                gap = min(max(place - length, 2 if parts else 0), max(GAP - _leading(piece), 0))
+                parts.append(" " * gap + piece)
+                length += gap + len(piece)
+            lines.append("".join(parts).rstrip())
     return [line for line in lines if line]
 
 
@@ -285,6 +333,7 @@ def _span(node: Node, name: str) -> int:
 def render(root: Node) -> str:
     page = _Page()
     pages, tables, lists, pre = [], [], [], 0
+    plain = 0  # open tables that lie too deep for columns
     # (node, entering, whether its text is seen, svg or math around it)
     stack: list[tuple[Node | str, bool, bool, str]] = [(root, True, True, "")]
     while stack:
@@ -298,7 +347,7 @@ def render(root: Node) -> str:
                     page._begin()
                     page.parts.append(first)
                 for line in rest:
-                    page.parts.append("\n" + "  " * page.indent + line)
+                    page.parts.append("\n" + "  " * min(page.indent, DEEPEST) + line)
                 page.blank = False
             else:
                 page.inline(node)
@@ -334,9 +383,17 @@ def render(root: Node) -> str:
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                tables.append(([], {}))
+                if plain or len(tables) == NESTED:
+                    plain += 1
+                else:
+                    tables.append(([], {}, [0]))
+            elif plain and tag in ("td", "th"):
+                page.blank = True
+            elif plain:
+                pass
             elif tag == "tr" and tables:
                 tables[-1][0].append([])
+                tables[-1][2][0] = 0
             elif tag in ("td", "th") and tables:
                 pages.append((page, lists, pre))
                 page, lists, pre = _Page(), [], 0
@@ -353,7 +410,7 @@ def render(root: Node) -> str:
                 page.inline(label)
                 page.block(1)
             if not (label and tag == "option"):
-                stack.extend((child, True, seen, realm) for child in reversed(node.children))
+                stack.extend((child, True, seen, realm) for child in reversed(_seen_children(node)))
             continue
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
@@ -364,6 +421,10 @@ def render(root: Node) -> str:
             page.mark = ""
         elif tag == "pre":
             pre -= 1
+        elif tag == "table" and plain:
+            plain -= 1
+        elif plain:
+            pass
         elif tag == "caption" and tables:
             text = page.text()
             page, lists, pre = pages.pop()
@@ -372,19 +433,20 @@ def render(root: Node) -> str:
         elif tag in ("td", "th") and tables:
             text = page.text()
             page, lists, pre = pages.pop()
-            rows, held = tables[-1]
+            rows, held, place = tables[-1]
             row = rows[-1] if rows else rows.append([]) or rows[-1]
-            at = sum(span for _, span in row)
-            while held.get((len(rows) - 1, at)):
-                row.append(("", 1))
-                at += 1
+            at = place[0]
+            # cells of rows above that reach down: first column -> (columns, last row)
+            while at in held and held[at][1] >= len(rows):
+                row.append(("", held[at][0]))
+                at += held[at][0]
             across, down = _span(node, "colspan"), _span(node, "rowspan")
             row.append((text, across))
-            for r in range(len(rows), len(rows) - 1 + down):
-                for c in range(at, at + across):
-                    held[r, c] = True
+            place[0] = at + across
+            if down > 1:
+                held[at] = (across, len(rows) - 1 + down)
         elif tag == "table" and tables:
-            rows, _ = tables.pop()
+            rows, _, _ = tables.pop()
             if lines := aligned([row for row in rows if row]):
                 page.lines(lines)
         if tag in _BLOCK:

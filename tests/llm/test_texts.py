@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -159,6 +160,37 @@ def test_depth_has_no_limit():
     assert html_text.page_text("<table><tr><td>" * 3000 + "x") == "x"
 
 
+HARD = {
+    "tags that never end": "<a " * 350_000,
+    "many open tags": "<p>" * 100_000 + "x",
+    "end tags of nothing": "<div>" * 20_000 + "</b>" * 100_000,
+    "a script that never ends": "<script>" + "</script " * 100_000,
+    "one wide cell": "<table><tr><td>" + "w" * 200_000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>",
+    "a wide row over short ones": "<table><tr>" + "<td>abc" * 10_000 + "<tr><td colspan=999>x<td>y" * 3000 + "</table>",
+    "spans": "<table>" + "<tr><td colspan=1000 rowspan=1000>a<td colspan=1000 rowspan=1000>b" * 300 + "</table>",
+    "lists in lists": "<ul><li>x" * 10_000,
+    "tables in tables": "<table><tr><td>" + ("a" * 50 + "<td><table><tr><td>") * 500 + "x<br>" * 3000,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_take_little_time_and_room(name):
+    start = time.process_time()
+    text = html_text.page_text(HARD[name])
+    assert time.process_time() - start < 6
+    assert len(text) < 25 * len(HARD[name])
+    assert text.count("w") in (0, 200_000)
+
+
+def test_details_long_cells_and_unfinished_tags():
+    assert html_text.page_text("<details><summary>s</summary>no<p>no</details>x") == "s\nx"
+    assert html_text.page_text("<details open><summary>s</summary>yes</details>x") == "s\nyes\nx"
+    assert html_text.page_text("a <b") == html_text.page_text("a<!-- x > y") == "a"
+    assert html_text.page_text("1 > 0 < 2") == "1 > 0 < 2"
+    long = "w" * 100
+    assert html_text.page_text(f"<table><tr><td>{long}<td>b<tr><td>aa<td>c</table>") == f"{long}  b\naa  c"
+
+
 def test_all_visible_words_of_the_pages_come_out(spark):
     """The words of every shown text, in order, counted by a plain parser."""
     from html.parser import HTMLParser
