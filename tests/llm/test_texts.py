@@ -120,6 +120,37 @@ def test_formats_find_unmarked_credentials(spark):
     assert not any("format" in got[i].spans for i in range(400))
 
 
+def test_parts_of_runs_few_labels_and_short_values(spark):
+    rng = random.Random(8)
+    short = lambda rng: "".join(rng.choice("0123456789abcdef") for _ in range(12))
+    for labels, made, least in ((200, _credential, 45), (5, _credential, 30), (200, short, 40)):
+        rows = [(i, f'some words token = "{made(rng)}" and more') for i in range(labels)]
+        rows += [(1000 + i, f"see section-{i % 9}.html of report_{i % 13}.pdf, released 2024-01-{i % 28 + 1:02d}") for i in range(200)]
+        bare, rests = {}, ["private_key={}", "host/path/{}", "sig={}", "a=1/b={}", "{}"]
+        for i in range(50):
+            value = made(rng)
+            text = "seen " + rests[i % len(rests)].format(value) + " there"
+            bare[2000 + i] = f"format:{text.index(value)}:{text.index(value) + len(value)}"
+            rows.append((2000 + i, text))
+        got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(span in got[i] for i, span in bare.items()) >= least
+        assert sum("format" in got[i] for i in got if i < 2000) <= 10
+
+
+def test_runs_and_parts_of_long_texts():
+    assert secrets.runs("a1b2c3 abcdef 123456 x1", []) == [(0, 6)]
+    assert secrets.runs("a1b2c3 abcdef", [], digit=False) == [(0, 6), (7, 13)]
+    assert secrets.runs("a1b2c3 d4e5f6", [(2, 4)]) == [(7, 13)]
+    assert {"key=abcdef=="[a:b] for a, b in secrets.parts("key=abcdef==")} == {"key=abcdef==", "abcdef==", "abcdef"}
+    rng = random.Random(9)
+    block = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(5000))
+    values = [block[i:] + block[:i] for i in range(500)]
+    start = time.process_time()
+    formats = secrets.Formats({"assign": values[:250]}, values[250:])
+    formats.inside("x=" + block * 200)
+    assert time.process_time() - start < 20
+
+
 def test_automaton_merges_and_ranks():
     rng = random.Random(6)
     values = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(400)]
