@@ -2,10 +2,13 @@
 
 Lines are parsed to a fixed depth: by their number of tokens, then by their first tokens,
 in which every token with a digit counts as the field `<*>`. That is the leaf. Each leaf's
-most frequent line is its template. A line of the leaf that agrees with it in most places
-belongs to it, and the places where any of them differ become fields too. Every other line
-is a template of its own, with its digits as fields. A template that occurs in several
-documents is recurring: its first line stays, all others are dropped.
+most frequent line is a template. A line of the leaf that agrees with it in most constant
+tokens belongs to it, and the places where any of them differ become fields too. Of the
+lines left over, tokens that stand nowhere else at their place of the leaf become fields:
+lines with the same constant tokens are one template, so that a leaf holds as many as it
+needs. Short lines, and those with hardly any constant token, are templates by exact text.
+A template that occurs in several documents is recurring: its first line stays, all others
+are dropped.
 
 What shuffles for each line is its place and two hashes. Only lines of leaves that hold
 more than one text and several documents are compared as text, each text once; a Bloom
@@ -22,9 +25,13 @@ from newsloom.llm.common import column, free_name, join_apart
 from newsloom.session import materialize
 
 DEPTH = 3
+#: Lines of fewer tokens, or of fewer constant ones, are compared as they are.
 MIN_TOKENS = 5
-MIN_DOCS = 3
-AGREE = 0.7
+MIN_CONSTANT = 3
+MIN_DOCS = 2
+#: Share of the constant tokens that lines of a template have in common, and of those behind
+#: the leading ones.
+AGREE, AGREE_BEHIND = 0.7, 0.5
 FIELD = "<*>"
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -55,22 +62,58 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    line = F.col("line")
+    digits = F.when(line.rlike("[0-9]"), F.regexp_count(line, F.lit(_DIGIT_TOKEN))).otherwise(0)
+    exact = (F.col("tokens") < min_tokens) | (F.col("tokens") - F.col("digits") < MIN_CONSTANT)
     return (
         _cut(docs, id_col, text_col)
-        .withColumn("line", tidy(F.col("line")))
+        .withColumn("line", tidy(line))
+        .filter(line != "")
         .withColumn("tokens", tokens)
-        .filter(F.col("tokens") >= min_tokens)
-        .withColumn("line", masked(F.col("line")))
+        .withColumn("digits", digits)
+        .withColumn("exact", exact)
+        .withColumn("line", F.when(F.col("exact") | (F.col("digits") == 0), line).otherwise(masked(line)))
         .select(
             "doc_id",
             "text_key",
             "line_no",
-            F.xxhash64("tokens", F.substring_index("line", " ", depth)).alias("leaf"),
-            F.xxhash64("line").alias("line_key"),
+            F.when(F.col("exact"), F.xxhash64("line"))
+            .otherwise(F.xxhash64("tokens", F.substring_index("line", " ", depth)))
+            .alias("leaf"),
+            F.xxhash64("line", "exact").alias("line_key"),
         )
     )
 
 
+def _signatures(texts: DataFrame, depth: int, min_docs: int, agree: float) -> DataFrame:
+    """leaf, line_key, signature of the lines whose constant tokens make a template: those
+    that stand `min_docs` times or more at their place of the leaf."""
+    place = F.xxhash64("leaf", "at", "token")
+    tokens = (
+        texts.select("leaf", "line_key", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
+        .filter(F.col("token") != FIELD)
+        .withColumn("place", place)
+    )
+    constant = tokens.groupBy("place").agg(F.sum("n").alias("often")).filter(F.col("often") >= min_docs).select("place")
+    behind = F.count_if(F.col("at") >= depth)
+    all_tokens = tokens.groupBy("leaf", "line_key").agg(F.count(F.lit(1)).alias("all"), behind.alias("all_behind"))
+    kept = (
+        join_apart(tokens, constant, "place")
+        .groupBy("leaf", "line_key")
+        .agg(
+            F.xxhash64(F.sort_array(F.collect_list(F.struct("at", "token")))).alias("signature"),
+            F.count(F.lit(1)).alias("kept"),
+            behind.alias("kept_behind"),
+        )
+    )
+    return (
+        kept.join(all_tokens, ["leaf", "line_key"])
+        .filter((F.col("kept") >= MIN_CONSTANT) & (F.col("kept") >= agree * F.col("all")))
+        .filter(F.col("kept_behind") >= AGREE_BEHIND * F.col("all_behind"))
+        .select("leaf", "line_key", "signature")
+    )
+
+
 def line_templates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -80,11 +123,12 @@ def line_templates(
     min_docs: int = MIN_DOCS,
     agree: float = AGREE,
 ) -> tuple[DataFrame, DataFrame]:
-    """(lines, templates). `lines`: doc_id, text_key, line_no, template of every line of
-    `min_tokens` tokens or more. `templates`: template, n_docs, first, for recurring ones.
+    """(lines, templates). `lines`: doc_id, text_key, line_no, template of every line with a
+    token. `templates`: template, n_docs, first, for recurring ones. Lines of less than
+    `min_tokens` tokens recur by exact text, blanks aside.
 
-    Rows that repeat id and text are one document. Null texts have no lines; shorter lines,
-    empty ones among them, have no template. Null ids are ids and come first.
+    Rows that repeat id and text are one document. Null texts have no lines; blank lines
+    have no template. Null ids are ids and come first.
     """
     lines = materialize(_parsed(docs, id_col, text_col, depth, min_tokens), "lines")
     document = ["doc_id", "text_key"]
@@ -117,14 +161,34 @@ def line_templates(
     )
     seeds = texts.groupBy("leaf").agg(F.max_by("line", F.struct("n", "line")).alias("seed"))
     pairs = F.arrays_zip(F.split("line", " ").alias("a"), F.split("seed", " ").alias("b"))
-    equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
+    places = F.filter(pairs, lambda p: (p["a"] != FIELD) | (p["b"] != FIELD))
+    behind = F.filter(
+        F.slice(pairs, depth + 1, F.greatest(F.size(pairs) - depth, F.lit(0))),
+        lambda p: (p["a"] != FIELD) | (p["b"] != FIELD),
+    )
+    same = lambda found: F.size(F.filter(found, lambda p: p["a"] == p["b"]))
+    judged = materialize(
+        join_apart(texts, seeds, "leaf").select(
+            "leaf",
+            "line_key",
+            "line",
+            "n",
+            (
+                (same(places) >= MIN_CONSTANT)
+                & (same(places) >= agree * F.size(places))
+                & (same(behind) >= AGREE_BEHIND * F.size(behind))
+            ).alias("joins"),
+        ),
+        "judged",
+    )
+    rest = _signatures(judged.filter(~F.col("joins")), depth, min_docs, agree)
     joined = materialize(
-        join_apart(texts, seeds, "leaf")
-        .filter(equal >= agree * F.size(F.split("line", " ")))
-        .select("leaf", "line_key", F.lit(True).alias("joins")),
+        judged.filter("joins")
+        .select("leaf", "line_key", F.xxhash64("leaf", F.lit("leaf")).alias("group"))
+        .unionAll(rest.select("leaf", "line_key", F.xxhash64("leaf", "signature", F.lit("rest")).alias("group"))),
         "joined",
     )
-    template = F.when(F.col("joins"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "line_key"))
+    template = F.coalesce("group", F.xxhash64("leaf", "line_key"))
     named = materialize(
         lines.join(joined, ["leaf", "line_key"], "left").select(
             *document, "line_no", template.alias("template")

@@ -7,33 +7,54 @@ WITH cut AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
     FROM documents
-), masked AS (
-    SELECT doc_id, line_no, raw,
-           list_transform(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-                          lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+), parted AS (
+    SELECT doc_id, line_no, list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS words
     FROM cut
+), masked AS (
+    SELECT *, len(words) AS n, len(words) < 5 OR len(list_filter(words, lambda t: NOT regexp_matches(t, '[0-9]'))) < 3 AS exact
+    FROM parted WHERE len(words) > 0
 ), lines AS (
-    SELECT *, len(tokens) AS n, tokens[1:3] AS lead, array_to_string(tokens, ' ') AS line
-    FROM masked WHERE len(tokens) >= 5
+    SELECT doc_id, line_no, n, exact, CASE WHEN exact THEN words ELSE tokens END AS tokens,
+           CASE WHEN exact THEN words ELSE tokens[1:3] END AS lead,
+           array_to_string(CASE WHEN exact THEN words ELSE tokens END, ' ') AS line
+    FROM (SELECT *, list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+          FROM masked)
 ), texts AS (
-    SELECT n, lead, line, any_value(tokens) AS tokens, count(*) AS c FROM lines GROUP BY ALL
+    SELECT n, lead, line, any_value(tokens) AS tokens, count(*) AS c FROM lines WHERE NOT exact GROUP BY n, lead, line
 ), leaves AS (
-    SELECT n, lead FROM lines GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT line) > 1
+    SELECT n, lead FROM lines WHERE NOT exact GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT line) > 1
 ), ranked AS (
     SELECT t.*, first_value(tokens) OVER (PARTITION BY n, lead ORDER BY c DESC, encode(line) DESC) AS seed
     FROM texts t JOIN leaves USING (n, lead)
-), joined AS (
-    SELECT n, lead, line FROM ranked
-    WHERE len(list_filter(list_zip(tokens, seed), lambda p: p[1] = p[2])) >= 0.7 * n
+), compared AS (
+    SELECT *, list_filter(list_zip(tokens, seed), lambda p: p[1] <> '<*>' OR p[2] <> '<*>') AS places,
+           list_filter(list_zip(tokens, seed)[4:], lambda p: p[1] <> '<*>' OR p[2] <> '<*>') AS behind
+    FROM ranked
+), judged AS (
+    SELECT n, lead, line, tokens, c,
+           len(list_filter(places, lambda p: p[1] = p[2])) >= greatest(3, 0.7 * len(places))
+           AND len(list_filter(behind, lambda p: p[1] = p[2])) >= 0.5 * len(behind) AS joins
+    FROM compared
+), tokens AS (
+    SELECT n, lead, line, c, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM judged WHERE NOT joins
+), supported AS (
+    SELECT *, sum(c) OVER (PARTITION BY n, lead, i, token) >= 2 AS constant FROM tokens WHERE token <> '<*>'
+), signed AS (
+    SELECT n, lead, line, list({'i': i, 'token': token} ORDER BY i) FILTER (constant) AS signature
+    FROM supported GROUP BY n, lead, line
+    HAVING count(*) FILTER (constant) >= greatest(3, 0.7 * count(*))
+       AND count(*) FILTER (constant AND i > 3) >= 0.5 * count(*) FILTER (i > 3)
 ), named AS (
-    SELECT l.doc_id, l.line_no, l.n, l.lead, CASE WHEN j.line IS NULL THEN l.line END AS own
-    FROM lines l LEFT JOIN joined j USING (n, lead, line)
+    SELECT l.doc_id, l.line_no, l.n, l.lead,
+           {'exact': exact, 'signature': s.signature, 'line': CASE WHEN s.line IS NULL AND coalesce(NOT j.joins, true) THEN l.line END} AS own
+    FROM lines l LEFT JOIN judged j ON NOT exact AND l.n = j.n AND l.lead = j.lead AND l.line = j.line
+    LEFT JOIN signed s ON NOT exact AND l.n = s.n AND l.lead = s.lead AND l.line = s.line
 ), counted AS (
     SELECT *, min((doc_id, line_no)) OVER same AS first, dense_rank() OVER (PARTITION BY n, lead, own ORDER BY doc_id) AS dr
     FROM named WINDOW same AS (PARTITION BY n, lead, own)
 ), dropped AS (
     SELECT doc_id, line_no FROM (SELECT *, max(dr) OVER (PARTITION BY n, lead, own) AS docs FROM counted)
-    WHERE docs >= 3 AND (doc_id, line_no) <> first
+    WHERE docs >= 2 AND (doc_id, line_no) <> first
 ), kept AS (
     SELECT c.doc_id, string_agg(raw, chr(10) ORDER BY c.line_no) FILTER (d.doc_id IS NULL) AS text,
            count(d.doc_id) AS n_dropped

@@ -113,10 +113,32 @@ def test_templates(spark):
     assert got[0] == rows[0][1]
     assert got[1] == "" and got[4] == ""
     assert got[9] == "short line"
-    assert [got[i] for i in (10, 11, 12)] == ["short line"] * 3
+    assert [got[i] for i in (10, 11, 12)] == [""] * 3
     assert got[20] == rows[-1][1]
 
 
+def test_a_leaf_holds_several_templates(spark):
+    names = [f"{a}{b}" for a in ("ann", "bob", "cat", "dan") for b in ("elm", "fir", "oak", "yew", "ash")]
+    footer = lambda name: f"last edited today by {name} here"
+    rows = [(i, footer(n)) for i, n in enumerate(names)]
+    rows += [(100 + i, "last edited today in some office") for i in range(30)]
+    rows += [(200, "last edited today after lunch outside"), (201, "last edited today without any reason")]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(20) if got[i]] == [0]
+    assert [i for i in range(100, 130) if got[i]] == [100]
+    assert got[200] and got[201]
+
+
+def test_tables_of_numbers_stay_and_passages_of_two_documents_go(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    rows = [(i, "\n".join(f"{i}.{j} {i * j} {j} {i + j} {i - j}" for j in range(5))) for i in range(4)]
+    rows += [(10, f"before it\n{passage}\nafter it"), (11, f"other\n{passage}"), (12, "Read more here"), (13, " Read  more here\n\nx")]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == rows[i][1] for i in range(4))
+    assert got[10] == rows[4][1] and got[11] == "other"
+    assert got[12] == "Read more here" and got[13] == "\nx"
+
+
 def test_hot_line_keeps_its_first(spark):
     rows = [(i, f"the very same line in each document\nline {'xyz'[i % 3]} that only a third share {i} " + "q" * i) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
