@@ -39,7 +39,7 @@ ADDED, ORDINARY = "format", "ordinary"
 
 #: Distinct values a kind, and ordinary tokens, that the automata are learned from, and the
 #: characters of each that are learned. All values are scored whole.
-SAMPLE, LEARNED_CHARS = 1000, 64
+SAMPLE, LEARNED_CHARS, BUCKETS = 1000, 64, 64
 #: Shortest run that is looked at: the least length of a base value.
 SHORTEST = 6
 #: One in HELD labelled values sets the bar; below FEW values each one does in turn.
@@ -111,7 +111,8 @@ def parts(value: str) -> list[tuple[int, int]]:
 
 
 def _observed(sample: int):
-    """Per batch and kind the distinct values with the smallest MD5, at most `sample`."""
+    """Per batch and kind the distinct values, cut to what is learned, with the smallest
+    MD5, at most `sample`."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
@@ -120,9 +121,9 @@ def _observed(sample: int):
                 text = text or ""
                 base = base_spans(text)
                 for kind, _, _, value in base:
-                    values.setdefault(kind, set()).add(value)
+                    values.setdefault(kind, set()).add(value[:LEARNED_CHARS])
                 usual = values.setdefault(ORDINARY, set())
-                usual.update(text[a:b] for a, b in runs(text, [(s, e) for _, s, e, _ in base]))
+                usual.update(text[a : min(b, a + LEARNED_CHARS)] for a, b in runs(text, [(s, e) for _, s, e, _ in base]))
             rows = [
                 (kind, v)
                 for kind, found in values.items()
@@ -310,15 +311,19 @@ def learn_formats(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
     of ordinary tokens, at most `sample` distinct values with the smallest MD5 are learned
     from, LEARNED_CHARS characters each; that much goes to the driver."""
     texts = docs.select(column(text_col).alias("text"))
+    # first within buckets, so that what one task sorts for a kind does not grow with the input
+    bucket = Window.partitionBy("kind", "bucket").orderBy("key", "value")
     key = Window.partitionBy("kind").orderBy("key", "value")
     rows = (
         texts.mapInPandas(_observed(sample), _LEARNED)
         .distinct()
-        .withColumn("key", F.md5("value"))
+        .withColumns({"key": F.md5("value"), "bucket": F.pmod(F.hash("value"), F.lit(BUCKETS))})
+        .withColumn("nth", F.row_number().over(bucket))
+        .filter(F.col("nth") <= sample)
         .withColumn("nth", F.row_number().over(key))
         .filter(F.col("nth") <= sample)
         .orderBy("kind", "nth")
-        .select("kind", F.substring("value", 1, LEARNED_CHARS).alias("value"))
+        .select("kind", "value")
         .collect()
     )
     values: dict[str, list[str]] = {}
