@@ -21,38 +21,57 @@ from newsloom.sources.tables import read_table
 REMEMBER = dt.timedelta(days=30)
 
 
-def unseen_in_stream(entries: DataFrame, key: str = "link", remember: dt.timedelta = REMEMBER) -> DataFrame:
+#: Groups in which links are remembered. A group costs a call a micro-batch, and what it remembers is
+#: written when one of its links comes.
+BUCKETS = 2048
+
+
+def unseen_in_stream(
+    entries: DataFrame, key: str = "link", remember: dt.timedelta = REMEMBER, buckets: int = BUCKETS
+) -> DataFrame:
     """Rows of a stream whose key no earlier micro-batch has brought.
 
     Keys are kept in the state store until they have not been seen for `remember`; then they
     count as new again, and whoever writes them has to look. Rows that share a key within one
-    micro-batch all pass. A null key is never remembered, so that rows without one do not
-    gather in one task.
+    micro-batch all pass. A null key is never remembered, and rows without one are spread over
+    the groups.
+
+    The state is one row for each of `buckets` groups of keys by hash, with the keys themselves and
+    when each is forgotten, so that calls do not grow with the keys. A checkpoint keeps the number
+    it began with.
     """
     kept = int(remember.total_seconds() * 1000)
     names = entries.columns
 
     def pass_new(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = dict(zip(*state.get)) if state.exists else {}
+        brought = {}
+        if not state.hasTimedOut:
+            until = state.getCurrentProcessingTimeMs() + kept
+            for rows in batches:
+                keys = rows[key].astype(object).where(rows[key].notna(), None).tolist()
+                brought.update((k, until) for k in keys if k is not None)
+                fresh = [k not in known for k in keys]
+                if any(fresh):
+                    yield rows.loc[fresh, names]
+        mark = state.getCurrentWatermarkMs()
+        known = {k: until for k, until in known.items() if until >= mark} | brought
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(max(min(known.values()), mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        known = state.exists
-        if pd.isna(group[1]):
-            state.update((True,))
-            state.setTimeoutTimestamp(state.getCurrentProcessingTimeMs() + kept)
-        for rows in batches:
-            if not known:
-                yield rows[names]
 
     # rows without a key are told apart by the rest
-    alone = F.when(F.col(key).isNull(), F.xxhash64(*names))
+    place = F.when(F.col(key).isNull(), F.xxhash64(*names)).otherwise(F.xxhash64(key))
+    kind = entries.schema[key].dataType.simpleString()
     return (
         # the watermark is the time at which the latest rows were taken
-        entries.select("*", alone.alias("_alone"), F.current_timestamp().alias("_taken"))
+        entries.select("*", F.pmod(place, F.lit(buckets)).alias("_bucket"), F.current_timestamp().alias("_taken"))
         .withWatermark("_taken", "0 seconds")
-        .groupBy(key, "_alone")
+        .groupBy("_bucket")
         .applyInPandasWithState(
-            pass_new, entries.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout
+            pass_new, entries.schema, f"keys array<{kind}>, until array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

@@ -1,6 +1,7 @@
 """Links remembered by the stream, and lookups of few keys."""
 
 import datetime as dt
+import json
 import os
 import time
 
@@ -13,6 +14,7 @@ from newsloom.operators.upsert import any_of, unseen
 from newsloom.sinks import append, append_new, ensure_table, update_partitions
 from newsloom.sources import read_table
 from newsloom.streaming import ingest_stream
+from newsloom.streaming.ingest import BUCKETS, unseen_in_stream
 
 
 class Landing:
@@ -159,3 +161,41 @@ def test_a_table_without_partitions_is_refused(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     with pytest.raises(ValueError, match="update_table"):
         update_partitions(spark, str(tmp_path / "t"), df, "k", ["v"], ["v"])
+
+
+def test_links_share_a_bounded_number_of_states(spark, tmp_path):
+    landing = Landing(spark, tmp_path)
+    links = [f"http://n/{i}" for i in range(5000)]
+    landing.land("a.xml", *links, None)
+    landing.run()
+    landing.land("b.xml", *links[:2500], "http://n/new", None)
+    landing.run()
+    assert landing.batches == [5001, 1]  # null is stored: a value of the key
+    states = spark.read.format("statestore").load(str(tmp_path / "checkpoint"))
+    assert 0 < states.count() <= BUCKETS
+
+
+def test_rows_of_one_state_are_kept_apart(spark, tmp_path):
+    """All links in one group: each is known, forgotten and repeated by itself."""
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+
+    def run(name, remember, *links):
+        (folder / name).write_text("".join(f"{json.dumps({'link': x, 'n': i})}\n" for i, x in enumerate(links)))
+        entries = spark.readStream.schema("link string, n int").json(str(folder))
+        query = (
+            unseen_in_stream(entries, "link", remember, buckets=1)
+            .writeStream.foreachBatch(lambda batch, _: seen.extend((r.link, r.n) for r in batch.collect()))
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(120)
+        got = sorted(seen, key=repr)
+        seen.clear()
+        return got
+
+    day, moment = dt.timedelta(days=1), dt.timedelta(milliseconds=1)
+    assert run("a", day, "1", "1", None) == [("1", 0), ("1", 1), (None, 2)]
+    assert run("b", moment, "1", "2", None) == [("2", 1), (None, 2)]  # seen again: "1", too, for a moment from now
+    time.sleep(0.1)
+    assert run("c", day, "3", None) == [("3", 0), (None, 1)]
+    assert run("d", day, "1", "2", "3", None) == [("1", 0), ("2", 1), (None, 3)]
