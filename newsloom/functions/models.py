@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.providers import TextModel
@@ -13,11 +13,15 @@ from newsloom.providers import TextModel
 _REPLY = pa.struct([("response", pa.string()), ("status", pa.string())])
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, parallelism: int | None = None, *keys: str) -> DataFrame:
     """Rows dealt out for model calls, which take far longer than their shuffle. The number
     of tasks is set, so that adaptive execution does not put small rows together again."""
     if parallelism is None:
-        parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parallelism = shuffle_tasks(df.sparkSession)
     return df.repartition(parallelism, *keys)
 
 

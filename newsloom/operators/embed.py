@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.models import spread
+from newsloom.functions.models import shuffle_tasks, spread
 from newsloom.functions.text import strip
 from newsloom.operators.responses import ResponseLog, logged
 from newsloom.providers import Embedder
 
+# Texts handed to the model at once.
+_BATCH = 256
+
 
 def _encode(
     embed: Embedder, texts: list[str], fail_fast: bool, dim: int | None
@@ -42,7 +45,7 @@ def vectors_of(
     text: Column,
     provider: Callable[[], Embedder],
     normalize: bool,
-    batch_size: int = 256,
+    batch_size: int = _BATCH,
     fail_fast: bool = False,
     dim: int | None = None,
 ) -> Column:
@@ -81,19 +84,20 @@ def embed_chunks(
 
     Rows are spread over `parallelism` tasks first, by default as many as a shuffle has,
     since inputs behind a limit sit in one. With a `log`, texts whose vector is there are
-    not embedded again, and equal texts once.
+    not embedded again, and equal texts once; a round has no more tasks than it has batches.
     """
     filled = F.when(strip(F.col(text)) != "", F.col(text))
 
-    def embedded(asked: DataFrame, of: Column) -> DataFrame:
+    def embedded(asked: DataFrame, of: Column, tasks: int | None = parallelism) -> DataFrame:
         vectors = vectors_of(of, provider, normalize=True, fail_fast=fail_fast, dim=dim)
-        return spread(asked, parallelism).withColumn("embedding", vectors)
+        return spread(asked, tasks).withColumn("embedding", vectors)
 
     if log is None:
         return embedded(chunks, filled)
     asked = chunks.withColumn("_filled", filled)
+    tasks = parallelism or min(shuffle_tasks(chunks.sparkSession), -(-log.round_rows // _BATCH))
     found = logged(
-        asked, log, ("_filled",), lambda part: embedded(part, F.col("_filled")), ("embedding",), F.col("embedding").isNotNull()
+        asked, log, ("_filled",), lambda part: embedded(part, F.col("_filled"), tasks), ("embedding",), F.col("embedding").isNotNull()
     )
     return found.drop("_filled")
 

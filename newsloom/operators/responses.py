@@ -37,6 +37,45 @@ def content_key(model: str, *parts: Column) -> Column:
     )
 
 
+def _ask_in_rounds(
+    questions: DataFrame,
+    new: DataFrame,
+    log: ResponseLog,
+    rounds: int,
+    ask: Callable[[DataFrame], DataFrame],
+    outputs: Sequence[str],
+    answered: Column,
+) -> None:
+    """Ask the questions whose key is in `new`, each once, and add the answers to the log. The
+    questions are stored by round, so that a round reads its own only."""
+    turn = F.pmod(F.xxhash64(_KEY), F.lit(rounds)).cast("int")
+    missing = (
+        questions.dropDuplicates([_KEY])
+        .join(new, _KEY, "left_semi")
+        .withColumn("_round", turn)
+        .hint("rebalance", "_round")
+    )
+    missing = materialize(missing, "missing", "_round")
+    for i in range(rounds):
+        (
+            ask(missing.where(F.col("_round") == i).drop("_round"))
+            .select(
+                _KEY,
+                F.lit(log.model).alias("model"),
+                *outputs,
+                F.coalesce(answered, F.lit(False)).alias("answered"),
+                F.current_timestamp().alias("asked_at"),
+            )
+            .hint("rebalance")  # as many tasks ask as there are; few files are written
+            .write.mode("append")
+            .option(f"parquet.bloom.filter.enabled#{_KEY}", "true")
+            # without it, each file has a filter for as many keys as fit in 1 MB
+            .option(f"parquet.bloom.filter.expected.ndv#{_KEY}", str(log.round_rows))
+            .parquet(log.folder)
+        )
+    discard(missing)
+
+
 def logged(
     rows: DataFrame,
     log: ResponseLog,
@@ -53,28 +92,17 @@ def logged(
     """
     spark = rows.sparkSession
     keyed = materialize(rows.withColumn(_KEY, content_key(log.model, *[F.col(c) for c in inputs])), "questions")
-    missing = keyed.where(F.col(inputs[0]).isNotNull()).select(_KEY, *inputs).dropDuplicates([_KEY])
+    questions = keyed.where(F.col(inputs[0]).isNotNull())
+    # keys alone tell how many rounds there are, so that a table that is all there is not shuffled
+    keys = questions.select(_KEY).distinct()
     stored = read_if_present(spark, log.folder)
     if stored is not None:
-        missing = missing.join(stored.where("answered").select(_KEY).distinct(), _KEY, "left_anti")
-    missing = materialize(missing, "missing")
-    rounds = -(-missing.count() // log.round_rows)
-    for turn in range(rounds):
-        asked = missing.where(F.pmod(F.xxhash64(_KEY), F.lit(rounds)) == turn)
-        (
-            ask(asked)
-            .select(
-                _KEY,
-                F.lit(log.model).alias("model"),
-                *outputs,
-                F.coalesce(answered, F.lit(False)).alias("answered"),
-                F.current_timestamp().alias("asked_at"),
-            )
-            .write.mode("append")
-            .option(f"parquet.bloom.filter.enabled#{_KEY}", "true")
-            .parquet(log.folder)
-        )
-    discard(missing)
+        keys = keys.join(stored.where("answered").select(_KEY).distinct(), _KEY, "left_anti")
+    new = materialize(keys, "new")
+    rounds = -(-new.count() // log.round_rows)
+    if rounds:
+        _ask_in_rounds(questions.select(_KEY, *inputs), new, log, rounds, ask, outputs, answered)
+    discard(new)
     stored = read_if_present(spark, log.folder)
     if stored is None:
         empty = ask(keyed.limit(0)).select(*outputs).schema

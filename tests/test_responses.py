@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from test_stream_state import _rows_scanned
 
 from newsloom import schemas
 from newsloom.operators import answer, classify, embed
@@ -66,6 +67,23 @@ def test_equal_texts_are_embedded_once(spark, tmp_path):
     assert set(_asked(tmp_path).values()) == {2}  # another model is asked anew
 
 
+def test_a_round_reads_its_own_questions(spark, tmp_path):
+    read = []
+
+    def ask(part):
+        read.append(_rows_scanned(part))
+        return part.withColumn("answer", F.upper("q"))
+
+    log = ResponseLog(str(tmp_path / "log"), "m", round_rows=20)
+    questions = spark.range(300).select(F.concat(F.lit("q"), F.col("id") % 100).alias("q")).repartition(7)
+    for _ in range(2):
+        got = logged(questions, log, ("q",), ask, ("answer",), F.lit(True))
+        assert rows(got) == sorted((f"q{i}", f"Q{i}") for i in range(100) for _ in range(3))
+    assert len(read) == 5 and sum(read) == 100
+    sizes = [p.stat().st_size for p in (tmp_path / "log").glob("part-*.parquet")]
+    assert len(sizes) == 5 and max(sizes) < 100_000  # a file for a round, with a filter for its keys
+
+
 def test_a_killed_run_is_taken_up_where_it_was(spark, tmp_path):
     log = ResponseLog(str(tmp_path / "log"), "hashed 8", round_rows=4)
     provider = Noted(HashedTokenEmbedder(8), tmp_path)
