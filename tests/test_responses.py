@@ -84,6 +84,14 @@ def test_a_round_reads_its_own_questions(spark, tmp_path):
     assert len(sizes) == 5 and max(sizes) < 100_000  # a file for a round, with a filter for its keys
 
 
+def test_tasks_of_a_worker_share_the_buckets_of_tokens(monkeypatch):
+    from newsloom import providers
+
+    want = HashedTokenEmbedder(8)()(["shared token once", "", "other"]).tolist()
+    monkeypatch.setattr(providers.hashlib, "md5", None)  # nothing is left to be hashed
+    assert HashedTokenEmbedder(8)()(["shared token once", "", "other"]).tolist() == want
+
+
 def test_a_killed_run_is_taken_up_where_it_was(spark, tmp_path):
     log = ResponseLog(str(tmp_path / "log"), "hashed 8", round_rows=4)
     provider = Noted(HashedTokenEmbedder(8), tmp_path)
